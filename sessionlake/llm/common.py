@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer document makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,17 +111,18 @@ _powers: dict = {}
 
 
 def _tables(n: int, seed: int):
-    """Per-byte values and the powers of an odd base and of its inverse modulo 2**64."""
-    size, byte, up, down = _powers.get(seed, (0, None, None, None))
-    if size < n:
+    """Per-byte values, and the powers of one odd base and of its inverse modulo 2**64."""
+    if _powers.get("size", 0) < n:
         n = max(n, STEP_BYTES + 4096)
-        base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
+        base = 0xD6E8FEB86659FD93
         up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        byte = mix(np.arange(1, 257, dtype=np.uint64) * _M + np.uint64(seed))
-        _powers[seed] = (n, byte, up, down)
-    return byte, up, down
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        _powers.update(size=n, up=up, down=down)
+    if seed not in _powers:
+        _powers[seed] = mix(np.arange(1, 257, dtype=np.uint64) * _M + np.uint64(seed))
+    return _powers[seed], _powers["up"], _powers["down"]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:

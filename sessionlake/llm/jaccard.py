@@ -15,10 +15,11 @@ Within a region
   difference, so it bounds the Jaccard similarity from above; it rejects most pairs;
 - what remains is settled on the shingle sets themselves.
 - a larger region takes its first set as pivot.  Sets within eps of the pivot are one class with
-  it and need no pairs among themselves.  The others form the next region, together with the
-  boundary: members a of the pivot's ball with d(a, p) >= d(b, p) - eps for some b outside.  Such
-  regions are joined again, until leaves remain.  Regions whose map block holds more than LEAF
-  of their sets are pre-aggregated there to one local pivot.
+  it and need no pairs among themselves.  The sets outside the region's largest component become
+  pivots in turn, at most LEAF at a time; each meets the members of other components whose
+  distance to the first pivot lies in its triangle-inequality window, then leaves the region.
+  That repeats until a region is one component.  Regions of which a map block holds more than
+  LEAF sets are pre-aggregated there to one local pivot.
 
 Equal sets are one class and joined once.  Only classes that are not connected yet are compared
 again, so components are exact without listing every link inside them.
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -41,7 +43,7 @@ WORDS, PERCENT = 5, 75
 #: Sets of a region that are compared pair by pair.
 LEAF = 48
 #: Documents that are sampled for the shingle order, and frequent shingles kept from them.
-SAMPLE, FREQUENT = 8192, 1 << 19
+SAMPLE, FREQUENT = 8192, 1 << 17
 #: Prefix shingles that one bucket gathers about.
 BUCKET = 1 << 20
 
@@ -342,41 +344,38 @@ class Join:
         more = C.materialize(self.exact(rest).where(self.near()).select("a", "b"), "links")
         return edges.unionByName(more)
 
-    def divided(self, region: DataFrame, edges: DataFrame) -> DataFrame:
-        """Members of the regions that hold more than one component so far."""
-        roots = C.components(edges)
-        of = region.join(roots, region["cid"] == roots["node"], "left").select("h", "cid", F.coalesce("root", "cid").alias("root"))
-        split = of.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
-        return C.materialize(region.join(split, "h"), "region")
-
     def edges(self) -> DataFrame:
         self.prepare()
         pairs, region = self.candidates()
         edges = self.settle(self.bounded(pairs), None)
-        # large regions: the pivot's ball is settled; the rest and its boundary are joined again
-        region = self.divided(region, edges)
-        eps = (100 - self.percent) / 100
-        while not region.isEmpty():
-            pivot = region.groupBy("h").agg(F.min("cid").alias("p"))
-            region = region.join(pivot, "h").where("cid != p")
-            bounds = self.bounded(region.select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct())
-            bounds = C.materialize(bounds.where(self.near(25)), "bounds")
-            met = C.materialize(self.exact(bounds.where(self.near())), "met")
-            edges = C.materialize(edges.unionByName(met.where(self.near()).select("a", "b")).distinct(), "links")
-            apart = F.expr("1 - shared / (na + nb - shared)")  # exact where it was settled, else at least this
-            known = bounds.join(met.select("a", "b"), ["a", "b"], "left_anti").unionByName(met)
-            known = known.select(F.col("a").alias("p"), F.col("b").alias("cid"), apart.alias("d"))
-            ball = C.materialize(region.join(known, ["p", "cid"], "left").select("h", "cid", F.coalesce("d", F.lit(1.0)).alias("d")), "ball")
-            outer = ball.where(f"d > {eps} + 1e-12").groupBy("h").agg(F.min("d").alias("nearest"))
-            region = ball.join(outer, "h").where(f"d > {eps} + 1e-12 OR d >= nearest - {eps} - 1e-12").select("h", "cid")
-            region = self.divided(C.materialize(region, "region"), edges)
-            sized = region.join(region.groupBy("h").agg(F.count("*").alias("size")), "h")
-            leaf = sized.where(f"size <= {LEAF}").select("h", "cid")
-            pairs = leaf.select("h", F.col("cid").alias("a")).join(leaf.select("h", F.col("cid").alias("b")), "h").where("a < b").select("a", "b").distinct()
+        if region.isEmpty():
+            return edges
+        # large regions: distances to the pivot settle its ball and give every member a window
+        region = region.join(region.groupBy("h").agg(F.min("cid").alias("p")), "h")
+        bounds = self.bounded(region.where("cid != p").select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct())
+        bounds = C.materialize(bounds.where(self.near(25)), "bounds")
+        met = C.materialize(self.exact(bounds.where(self.near())), "met")
+        edges = C.materialize(edges.unionByName(met.where(self.near()).select("a", "b")).distinct(), "links")
+        known = bounds.join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("settled", F.lit(False)).unionByName(met.withColumn("settled", F.lit(True)))
+        known = known.select(F.col("a").alias("p"), F.col("b").alias("cid"), F.expr("1 - shared / (na + nb - shared)").alias("d"), "settled")
+        own = F.col("cid") == F.col("p")
+        region = region.join(known, ["p", "cid"], "left").select("h", "cid", F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.5))).alias("d"), (own | F.coalesce("settled", F.lit(False))).alias("settled"))
+        region = C.materialize(region, "region")
+        eps = (100 - self.percent) / 100 + 1e-9
+        while True:
+            # sets outside the largest component of their region become pivots against all its members, LEAF at a time
+            roots = C.components(edges)
+            of = C.materialize(region.join(roots, region["cid"] == roots["node"], "left").select("h", "cid", "d", "settled", F.coalesce("root", "cid").alias("root")), "region")
+            main = of.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("m.root").alias("main"))
+            region = of.join(main, "h")
+            outer = region.where("root != main").withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("cid"))).where(f"k <= {LEAF}")
+            outer = C.materialize(outer.select("h", F.col("cid").alias("b"), F.col("d").alias("db"), F.col("settled").alias("sb"), F.col("root").alias("rb")), "outer")
+            if outer.isEmpty():
+                return edges
+            window = f"NOT (settled AND db > d + {eps}) AND NOT (sb AND d > db + {eps})"
+            pairs = region.join(outer, "h").where("root != rb").where(window).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
             edges = C.materialize(self.settle(self.bounded(pairs), edges), "links")
-            region = C.materialize(sized.where(f"size > {LEAF}").select("h", "cid"), "region")
-        return edges
-
+            region = region.join(outer.select("h", F.col("b").alias("cid")), ["h", "cid"], "left_anti").select("h", "cid", "d", "settled")
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id per row."""
         roots = C.components(self.edges())
