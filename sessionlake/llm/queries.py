@@ -8,23 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, jaccard, linededup, packing, toxicity
+from . import decontam, jaccard, linededup, packing, rabitq, secretscan, suffixtree, tokenfile, toxicity, urltree
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(spark, C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(C.table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_deleted"), F.col("__empty").alias("emptied"), "text")
 
 
+def op4_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(C.table(spark, sf_dir, "pages"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(C.table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     return toxicity.score(toxicity.fit(docs, C.table(spark, sf_dir, "labels")), docs)
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.index(tokenfile.write(C.table(spark, sf_dir, "documents")))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_dedup(C.table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(C.table(spark, sf_dir, "documents"))
 
@@ -40,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_decontamination, op3_line_dedup, op6_toxicity, op9_jaccard_join, op10_packing, pipeline]
+    made = [op1_decontamination, op2_secret_scan, op3_line_dedup, op4_url_tree, op5_suffix_tree, op6_toxicity, op7_token_file, op8_near_vectors, op9_jaccard_join, op10_packing, pipeline]
     return {f.__name__: f for f in made}
 
 
