@@ -18,7 +18,7 @@ import numpy as np
 from . import common as C
 
 #: Pieces that are kept between steps at most.
-KEEP = 3 << 20
+KEEP = 1 << 20
 #: A special token of both files.  Added tokens are cut out before anything else, so pieces joined with it are encoded each by itself.
 MARK = "<|endoftext|>"
 #: Pieces in one call of the library.
@@ -45,15 +45,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
-        self.tokenizer.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(vocabulary(path))
-        self.mark = self.joined.token_to_id(MARK)
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.drops_space = drops_space
         self.reset()
 
     def reset(self) -> None:
         self.key, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def library(self, texts: list[str], marks: bool = False) -> list[list[int]]:
+        """Ids of texts by the tokenizers library; without marks, special tokens in a text are ordinary text."""
+        self.tokenizer.encode_special_tokens = not marks
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, data: np.ndarray, off: np.ndarray):
         """(starts, ends, first piece of each document + total)."""
@@ -91,7 +94,7 @@ class Encoder:
             self.learn(key[new], second[new], flat, size)
             at = np.searchsorted(self.key, distinct)
         place = at[of]
-        size = self.size[place]
+        size = self.size[place].astype(np.int64)
         bounds = np.append(0, np.cumsum(size))[first]
         ids = self.ids[C.ragged(self.at[place], size)]
         if len(self.key) > KEEP:
@@ -105,12 +108,12 @@ class Encoder:
             part = texts[i : i + CALL]
             ids = None
             if self.mark is not None and not any("<|" in x for x in part):
-                ids = np.array(self.joined.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, np.int32)
+                ids = np.array(self.library([MARK.join(part)], marks=True)[0], np.int32)
                 marks = np.flatnonzero(ids == self.mark)
                 size = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
                 ids = ids[ids != self.mark] if len(size) == len(part) else None
             if ids is None:
-                each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                each = self.library(part)
                 ids, size = np.array([k for x in each for k in x], np.int32), np.array([len(x) for x in each])
             flat.append(ids)
             sizes.append(size)
@@ -122,11 +125,11 @@ class Encoder:
         key, second = np.concatenate([self.key, key]), np.concatenate([self.second, second])
         at, size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         order = np.argsort(key)
-        self.key, self.second, self.at, self.size = key[order], second[order], at[order], size[order]
+        self.key, self.second, self.at, self.size = key[order], second[order], at[order].astype(np.int32), size[order].astype(np.int32)
 
     def plainly(self, data, off):
         raw = data.tobytes()
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)]
+        ids = self.library([raw[s:e].decode("utf-8", "replace") for s, e in zip(off[:-1], off[1:], strict=True)])
         return np.array([i for x in ids for i in x], np.int32), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
 
 
