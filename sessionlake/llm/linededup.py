@@ -162,7 +162,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text rewritten, and __lines, __gone (lines before, lines deleted), __empty (nothing left of a text that lost lines)."""
     masks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("mask").alias("__mask"))
     text = F.col("text").cast("string")
-    out = docs.join(masks, (docs["doc_id"].cast("bigint") == masks["__d"]) & (F.xxhash64(docs["text"].cast("string")) == masks["__t"]), "left")
+    # texts are always shuffled to the masks: their number follows the repeats in the data, so they are never broadcast
+    out = docs.hint("merge").join(masks.hint("merge"), (docs["doc_id"].cast("bigint") == masks["__d"]) & (F.xxhash64(docs["text"].cast("string")) == masks["__t"]), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("__mask", i), F.lit(False))), "\n")
     out = out.withColumns({
         "__lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint"),
