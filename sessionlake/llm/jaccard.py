@@ -14,15 +14,17 @@ Within a region
 - a bound: the L1 distance of two folded count vectors (sketches) never exceeds the symmetric
   difference, so it bounds the Jaccard similarity from above; it rejects most pairs;
 - what remains is settled on the shingle sets themselves.
-- a larger region takes its first set as pivot.  Sets within eps of the pivot are one class with
-  it and need no pairs among themselves.  The sets outside the region's largest component become
-  pivots in turn, at most LEAF at a time; each meets the members of other components whose
-  distance to the first pivot lies in its triangle-inequality window, then leaves the region.
-  That repeats until a region is one component.  Regions of which a map block holds more than
-  LEAF sets are pre-aggregated there to one local pivot.
+- a larger region takes its most central set as pivot, the one that lies in most regions, and
+  regions with one pivot are joined.  Sets within eps of the pivot are one class with it and need
+  no pairs among themselves.  Only the sets outside the region's largest component meet the
+  members of other components, in chunks of both, where the triangle-inequality window on the
+  distances to the pivot and the bound let them; the exact test follows.  Regions of which a map
+  block holds more than LEAF sets are pre-aggregated there to one local pivot.
 
 Equal sets are one class and joined once.  Only classes that are not connected yet are compared
-again, so components are exact without listing every link inside them.
+again, so components are exact without listing every link inside them.  Texts are not shuffled:
+the sets of candidates are made again in a scan that skips other documents by a bit map of fixed
+size, and the class keys drop what passes it by chance.
 
 Defined cases: null text and texts without words have an empty set, link with nothing and are
 their own component; a null doc_id takes part but gives no component id of its own (its class is
@@ -35,13 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common as C
 
 WORDS, PERCENT = 5, 75
 #: Sets of a region that are compared pair by pair.
-LEAF = 48
+LEAF = 8
+#: Members and outer sets of one task, and bits of the candidate map.
+MEMBERS, OUTER, MAP = 2048, 256, 1 << 24
 #: Documents that are sampled for the shingle order, and frequent shingles kept from them.
 SAMPLE, FREQUENT = 8192, 1 << 17
 #: Prefix shingles that one bucket gathers about.
@@ -255,9 +258,11 @@ def _intersections(batches):
         yield pa.RecordBatch.from_pydict({"a": b["a"], "b": b["b"], "na": b["na"], "nb": b["nb"], "shared": pa.array(got, pa.int64())})
 
 
-def _full(k: int):
+def _full(k: int, bits: np.ndarray):
     def run(batches):
         for b in batches:
+            spot = np.asarray(b.column(2))
+            b = b.take(pa.array(np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)))
             data, off = C.buffers(b.column(1))
             for i, j in C.steps(off):
                 h, bounds = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
@@ -267,6 +272,58 @@ def _full(k: int):
     return run
 
 
+class _Sketches:
+    """Sketches of one width each, folded on demand."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) for x in raw])
+        self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
+        self.made = {(w, w): np.frombuffer(b"".join(raw[i] for i in r), np.uint8).reshape(len(r), w).astype(np.int32) for w, r in self.rows.items()}
+        self.capped = np.array([255 in x for x in raw])
+
+    def folded(self, w: int, to: int) -> np.ndarray:
+        if (w, to) not in self.made:
+            x = self.made[w, w]
+            self.made[w, to] = x.reshape(len(x), w // to, to).sum(1)
+        return self.made[w, to]
+
+    def least(self, one: bytes) -> np.ndarray:
+        """least_difference of one sketch against all."""
+        x = np.frombuffer(one, np.uint8).astype(np.int32)
+        out = np.zeros(len(self.width), np.int64)
+        for w, r in self.rows.items():
+            to = min(w, len(x))
+            d = np.abs(self.folded(w, to) - x.reshape(-1, to).sum(0)).sum(1)
+            if w != len(x):
+                d = np.where(self.capped[r] | (255 in one), 0, d)
+            out[r] = d
+        return out
+
+
+def _outer(percent: int):
+    """Pairs of outer sets and members of other components that may be within eps."""
+    eps = (100 - percent) / 100 + 1e-9
+
+    def run(table: pa.Table) -> pa.Table:
+        member = np.asarray(table["member"])
+        m, o = table.filter(pa.array(member)), table.filter(pa.array(~member))
+        found = [np.zeros((4, 0), np.int64)]
+        if m.num_rows and o.num_rows:
+            cid, root, n, d, settled = (np.asarray(m[c]) for c in ("cid", "root", "n", "d", "settled"))
+            sk = _Sketches(m["sketch"].to_pylist())
+            for x in o.to_pylist():
+                ok = (root != x["root"]) & (100 * np.minimum(n, x["n"]) >= percent * np.maximum(n, x["n"]))
+                ok &= ~(settled & (x["d"] > d + eps)) & ~(x["settled"] & (d > x["d"] + eps))
+                most = np.minimum(np.minimum(n, x["n"]), (n + x["n"] - sk.least(x["sketch"])) // 2)
+                ok &= 100 * most >= percent * (n + x["n"] - most)
+                hit = cid[ok]
+                found.append(np.stack([np.minimum(hit, x["cid"]), np.maximum(hit, x["cid"]), np.full(len(hit), x["cid"]), most[ok] * 1_000_000 // (n[ok] + x["n"])]))
+        pair = np.concatenate(found, axis=1)
+        return pa.table({"a": pair[0], "b": pair[1], "x": pair[2], "score": pair[3]})
+
+    return run
+
+
 class Join:
     """The steps of one join, which share its materialised tables."""
 
@@ -290,9 +347,9 @@ class Join:
         """Pairs of classes that share a region, and the members of large regions: (h, cid)."""
         total = self.sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
         bits = max(8, int(total // 8 // BUCKET).bit_length())
-        post = C.materialize(self.sets.where("n > 0").select("uid", "n", "s1", "s2", "prefix").mapInArrow(_postings(bits), _POST), "postings")
-        shared = C.materialize(post.where("kind = 0").groupBy("bucket").applyInArrow(_regions(self.percent), _POST), "regions")
-        both = post.where("kind > 0").unionByName(shared)
+        post = self.sets.where("n > 0").select("uid", "n", "s1", "s2", "prefix").mapInArrow(_postings(bits), _POST)
+        shared = post.where("kind = 0").groupBy("bucket").applyInArrow(_regions(self.percent), _POST)
+        both = C.materialize(post.where("kind > 0").unionByName(shared), "regions")
         pairs = both.where("kind = 1").mapInArrow(_unpack, "h bigint, a bigint, b bigint").select("a", "b").distinct()
         large = both.where("kind = 2").mapInArrow(_unpack, "h bigint, a bigint, b bigint")
         large = large.select("h", F.col("a").alias("uid")).unionByName(large.select("h", F.col("b").alias("uid"))).distinct()
@@ -313,69 +370,87 @@ class Join:
         right = s.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
         return pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {self.percent - 25} * greatest(na, nb)").mapInArrow(_bounds, _BOUND)
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """The same pairs with their exact number of shared shingles."""
+    def full(self, pairs: DataFrame) -> DataFrame:
+        """(cid, h): the shingle sets of the pairs' classes."""
         need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(self.classes, "cid")
-        ids = need.select("doc_id").distinct()
-        text = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        full = text.mapInArrow(_full(self.k), "n bigint, s1 bigint, s2 bigint, h binary")
-        full = full.join(need.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"]).select("cid", "h").dropDuplicates(["cid"])
-        full = C.materialize(full, "full", "none")
+        spot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP))
+        need = C.materialize(need.withColumn("spot", spot), "need")
+        words = need.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("x")).toArrow()  # MAP / 64 rows at most
+        bits = np.zeros(MAP // 64, np.int64)
+        bits[np.asarray(words["w"])] = np.asarray(words["x"])
+        made = self.docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(_full(self.k, bits), "n bigint, s1 bigint, s2 bigint, h binary")
+        made = made.hint("merge").join(need.select("n", "s1", "s2", "cid").hint("merge"), ["n", "s1", "s2"]).select("cid", "h").dropDuplicates(["cid"])
+        return C.materialize(made, "full", "none")
+
+    def exact(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold, of pairs with na and nb."""
         left = full.select(F.col("cid").alias("a"), F.col("h").alias("ha"))
         right = full.select(F.col("cid").alias("b"), F.col("h").alias("hb"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(_intersections, _BOUND)
+        joined = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
+        return C.materialize(joined.mapInArrow(_intersections, _BOUND), "met")
 
-    def apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    def apart(self, pairs: DataFrame, edges: DataFrame) -> DataFrame:
         """Pairs whose classes are not connected yet."""
+        roots = C.components(edges)
         left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = pairs.join(left, "a", "left").join(right, "b", "left")
-        return joined.where("coalesce(ra, a) != coalesce(rb, b)").drop("ra", "rb")
-
-    def settle(self, pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
-        """Edges after the pairs (with bounds) are settled: each class with its first partner, then what is still apart."""
-        pairs = C.materialize(pairs.where(self.near()), "near")
-        first = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "shared")).alias("f")).select("f.a", "b", "f.na", "f.nb", "f.shared")
-        found = C.materialize(self.exact(first).where(self.near()).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        rest = C.materialize(self.apart(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), C.components(edges)), "apart")
-        if rest.isEmpty():
-            return edges
-        more = C.materialize(self.exact(rest).where(self.near()).select("a", "b"), "links")
-        return edges.unionByName(more)
+        return C.materialize(joined.where("coalesce(ra, a) != coalesce(rb, b)").drop("ra", "rb"), "apart")
+
+    def linked(self, met: DataFrame) -> DataFrame:
+        return met.where(self.near()).select("a", "b")
 
     def edges(self) -> DataFrame:
         self.prepare()
-        pairs, region = self.candidates()
-        edges = self.settle(self.bounded(pairs), None)
+        pairs, large = self.candidates()
+        # the most central set of a large region is its pivot, and regions are named by pivots
+        degree = large.groupBy("cid").agg(F.count("*").alias("degree"))
+        pivot = large.join(degree, "cid").groupBy("h").agg(F.max(F.struct("degree", F.expr("-cid").alias("c"))).alias("m")).select("h", F.expr("-m.c").alias("p"))
+        region = C.materialize(large.join(pivot, "h").select("p", "cid").distinct(), "region")
+        star = region.where("p != cid").select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b"))
+        bounds = C.materialize(self.bounded(pairs.unionByName(star).distinct()).where(self.near(25)), "bounds")
+        near = bounds.where(self.near())
+        full = self.full(near)
+        # first each set with its pivot, or its first partner, then the pairs that are still apart
+        centre = region.select(F.col("p").alias("c")).distinct()
+        ranked = near.join(centre.withColumn("pa", F.lit(0)), F.col("a") == F.col("c"), "left").drop("c").join(centre.withColumn("pb", F.lit(0)), F.col("b") == F.col("c"), "left").drop("c")
+        own = ranked.select("a", "b", "na", "nb", F.coalesce("pa", F.lit(1)).alias("pa"), F.coalesce("pb", F.lit(1)).alias("pb"))
+        picks = own.select(F.col("b").alias("x"), F.struct("pa", "a", "b", "na", "nb").alias("f")).unionByName(own.where("pb = 0").select(F.col("a").alias("x"), F.struct(F.col("pb").alias("pa"), "a", "b", "na", "nb").alias("f")))
+        first = C.materialize(picks.groupBy("x").agg(F.min("f").alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct(), "first")
+        met = self.exact(first, full)
+        edges = C.materialize(self.linked(met), "links")
+        rest = self.apart(near.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), edges)
+        more = self.exact(rest, full)
+        edges = C.materialize(edges.unionByName(self.linked(more)), "links")
         if region.isEmpty():
             return edges
-        # large regions: distances to the pivot settle its ball and give every member a window
-        region = region.join(region.groupBy("h").agg(F.min("cid").alias("p")), "h")
-        bounds = self.bounded(region.where("cid != p").select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct())
-        bounds = C.materialize(bounds.where(self.near(25)), "bounds")
-        met = C.materialize(self.exact(bounds.where(self.near())), "met")
-        edges = C.materialize(edges.unionByName(met.where(self.near()).select("a", "b")).distinct(), "links")
-        known = bounds.join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("settled", F.lit(False)).unionByName(met.withColumn("settled", F.lit(True)))
-        known = known.select(F.col("a").alias("p"), F.col("b").alias("cid"), F.expr("1 - shared / (na + nb - shared)").alias("d"), "settled")
-        own = F.col("cid") == F.col("p")
-        region = region.join(known, ["p", "cid"], "left").select("h", "cid", F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.5))).alias("d"), (own | F.coalesce("settled", F.lit(False))).alias("settled"))
-        region = C.materialize(region, "region")
-        eps = (100 - self.percent) / 100 + 1e-9
-        while True:
-            # sets outside the largest component of their region become pivots against all its members, LEAF at a time
-            roots = C.components(edges)
-            of = C.materialize(region.join(roots, region["cid"] == roots["node"], "left").select("h", "cid", "d", "settled", F.coalesce("root", "cid").alias("root")), "region")
-            main = of.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("m.root").alias("main"))
-            region = of.join(main, "h")
-            outer = region.where("root != main").withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("cid"))).where(f"k <= {LEAF}")
-            outer = C.materialize(outer.select("h", F.col("cid").alias("b"), F.col("d").alias("db"), F.col("settled").alias("sb"), F.col("root").alias("rb")), "outer")
-            if outer.isEmpty():
-                return edges
-            window = f"NOT (settled AND db > d + {eps}) AND NOT (sb AND d > db + {eps})"
-            pairs = region.join(outer, "h").where("root != rb").where(window).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
-            edges = C.materialize(self.settle(self.bounded(pairs), edges), "links")
-            region = region.join(outer.select("h", F.col("b").alias("cid")), ["h", "cid"], "left_anti").select("h", "cid", "d", "settled")
+        # sets outside the largest component of their region, against its other components
+        settled = met.unionByName(more).withColumn("settled", F.lit(True))
+        known = bounds.join(settled.select("a", "b"), ["a", "b"], "left_anti").withColumn("settled", F.lit(False)).unionByName(settled)
+        known = known.select("a", "b", F.expr("1 - shared / (na + nb - shared)").alias("d"), "settled")
+        roots = C.components(edges)
+        of = region.join(roots, region["cid"] == roots["node"], "left").select("p", "cid", F.coalesce("root", "cid").alias("root"))
+        of = of.withColumns({"a": F.least("p", "cid"), "b": F.greatest("p", "cid")}).join(known, ["a", "b"], "left")
+        self_ = F.col("p") == F.col("cid")
+        of = C.materialize(of.select("p", "cid", "root", F.when(self_, 0.0).otherwise(F.coalesce("d", F.lit(0.5))).alias("d"), (self_ | F.coalesce("settled", F.lit(False))).alias("settled")), "region")
+        parts = of.groupBy("p", "root").agg(F.count("*").alias("n"))
+        main = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        main = main.select("p", F.col("m.root").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("mc"), F.ceil((F.col("all") - F.col("m.n")) / OUTER).cast("int").alias("oc"))
+        rows = of.join(main, "p").join(self.sets.select(F.col("uid").alias("cid"), "n", "sketch"), "cid")
+        cols = ["cid", "root", "n", "d", "settled", "sketch"]
+        ours = rows.select("p", F.expr("cast(pmod(xxhash64(cid), mc) as int)").alias("mi"), F.explode(F.expr("sequence(0, oc - 1)")).alias("oi"), F.lit(True).alias("member"), *cols)
+        theirs = rows.where("root != main").select("p", F.explode(F.expr("sequence(0, mc - 1)")).alias("mi"), F.expr("cast(pmod(xxhash64(cid, 1), oc) as int)").alias("oi"), F.lit(False).alias("member"), *cols)
+        tasks = ours.unionByName(theirs).groupBy("p", "mi", "oi").applyInArrow(_outer(self.percent), "a bigint, b bigint, x bigint, score bigint")
+        size = self.sets.select("uid", "n")
+        last = tasks.join(size.select(F.col("uid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("uid").alias("b"), F.col("n").alias("nb")), "b")
+        last = C.materialize(last.join(settled.select("a", "b"), ["a", "b"], "left_anti"), "outer")
+        # again each with its likeliest partner first, then what is still apart
+        full = self.full(last)
+        best = last.groupBy("x").agg(F.max(F.struct("score", "a", "b", "na", "nb")).alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct()
+        edges = C.materialize(edges.unionByName(self.linked(self.exact(best, full))), "links")
+        rest = self.apart(last.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb").distinct(), edges)
+        return edges.unionByName(self.linked(self.exact(rest, full)))
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id per row."""
         roots = C.components(self.edges())
