@@ -76,8 +76,8 @@ def set_keys(h: np.ndarray, bounds: np.ndarray):
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Counts of a set's hashes in a power of two of cells, about four a cell; capped counts only lower the L1 distance."""
-    cells = max(16, 1 << max(0, (len(h) // 4).bit_length()))
+    """Counts of a set's hashes in a power of two of cells, about one or two a cell; capped counts only lower the L1 distance."""
+    cells = max(16, 1 << max(0, (len(h) // 2).bit_length()))
     return np.minimum(np.bincount((h >> _U(20)).astype(np.int64) & (cells - 1), minlength=cells), 255).astype(np.uint8)
 
 
@@ -307,7 +307,7 @@ def _outer(percent: int):
     def run(table: pa.Table) -> pa.Table:
         member = np.asarray(table["member"])
         m, o = table.filter(pa.array(member)), table.filter(pa.array(~member))
-        found = [np.zeros((4, 0), np.int64)]
+        found = [np.zeros((6, 0), np.int64)]
         if m.num_rows and o.num_rows:
             cid, root, n, d, settled = (np.asarray(m[c]) for c in ("cid", "root", "n", "d", "settled"))
             sk = _Sketches(m["sketch"].to_pylist())
@@ -316,10 +316,11 @@ def _outer(percent: int):
                 ok &= ~(settled & (x["d"] > d + eps)) & ~(x["settled"] & (d > x["d"] + eps))
                 most = np.minimum(np.minimum(n, x["n"]), (n + x["n"] - sk.least(x["sketch"])) // 2)
                 ok &= 100 * most >= percent * (n + x["n"] - most)
-                hit = cid[ok]
-                found.append(np.stack([np.minimum(hit, x["cid"]), np.maximum(hit, x["cid"]), np.full(len(hit), x["cid"]), most[ok] * 1_000_000 // (n[ok] + x["n"])]))
+                hit, size, own = cid[ok], n[ok], np.full(int(ok.sum()), x["cid"])
+                less = hit < x["cid"]
+                found.append(np.stack([np.minimum(hit, own), np.maximum(hit, own), np.where(less, size, x["n"]), np.where(less, x["n"], size), own, most[ok] * 1_000_000 // (size + x["n"])]))
         pair = np.concatenate(found, axis=1)
-        return pa.table({"a": pair[0], "b": pair[1], "x": pair[2], "score": pair[3]})
+        return pa.table(dict(zip(("a", "b", "na", "nb", "x", "score"), pair, strict=True)))
 
     return run
 
@@ -440,10 +441,8 @@ class Join:
         cols = ["cid", "root", "n", "d", "settled", "sketch"]
         ours = rows.select("p", F.expr("cast(pmod(xxhash64(cid), mc) as int)").alias("mi"), F.explode(F.expr("sequence(0, oc - 1)")).alias("oi"), F.lit(True).alias("member"), *cols)
         theirs = rows.where("root != main").select("p", F.explode(F.expr("sequence(0, mc - 1)")).alias("mi"), F.expr("cast(pmod(xxhash64(cid, 1), oc) as int)").alias("oi"), F.lit(False).alias("member"), *cols)
-        tasks = ours.unionByName(theirs).groupBy("p", "mi", "oi").applyInArrow(_outer(self.percent), "a bigint, b bigint, x bigint, score bigint")
-        size = self.sets.select("uid", "n")
-        last = tasks.join(size.select(F.col("uid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("uid").alias("b"), F.col("n").alias("nb")), "b")
-        last = C.materialize(last.join(settled.select("a", "b"), ["a", "b"], "left_anti"), "outer")
+        tasks = ours.unionByName(theirs).groupBy("p", "mi", "oi").applyInArrow(_outer(self.percent), "a bigint, b bigint, na bigint, nb bigint, x bigint, score bigint")
+        last = C.materialize(tasks.join(settled.select("a", "b"), ["a", "b"], "left_anti"), "outer")
         # again each with its likeliest partner first, then what is still apart
         full = self.full(last)
         best = last.groupBy("x").agg(F.max(F.struct("score", "a", "b", "na", "nb")).alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct()
@@ -470,5 +469,4 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     Rows without an id or without words are kept."""
     found = join(docs, percent, k)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
-    return kept
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
