@@ -469,4 +469,5 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     Rows without an id or without words are kept."""
     found = join(docs, percent, k)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    # never broadcast: the number of dropped ids follows the input
+    return docs.hint("merge").join(gone.hint("merge"), docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
