@@ -9,13 +9,15 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as X
 
-_ORDER = Window.partitionBy("conv_id").orderBy("idx")
+def _order():
+    return Window.partitionBy("conv_id").orderBy("idx")
+
 LAST = {"problems": 40, "decisions": 50, "gates": 40, "signals": 20, "attempts": 80}
 
 
 def marked(turns: DataFrame) -> DataFrame:
     """Turns with what the rules see in them and in their neighbours."""
-    after_tool = F.coalesce(F.lag(F.col("tool").isNotNull()).over(_ORDER), F.lit(False))
+    after_tool = F.coalesce(F.lag(F.col("tool").isNotNull()).over(_order()), F.lit(False))
     c = F.col("content")
     return turns.withColumn("after_tool", after_tool).withColumns({
         "problem": (F.col("role") == "user") & ~F.col("after_tool") & X.matches(c, R.PROBLEM),
@@ -47,7 +49,7 @@ def gates(turns: DataFrame) -> DataFrame:
 
 def attempts(turns: DataFrame) -> DataFrame:
     """Tool turns of the assistant with the next turn's signal as outcome."""
-    m = marked(turns).withColumn("next", F.lead("signal").over(_ORDER))
+    m = marked(turns).withColumn("next", F.lead("signal").over(_order()))
     rows = m.where("role = 'assistant' AND tool IS NOT NULL").withColumn("outcome", F.coalesce("next", F.lit("unknown")))
     return newest(rows, LAST["attempts"]).select("conv_id", "idx", "tool", "outcome")
 

@@ -9,12 +9,14 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as X
 
-_ORDER = Window.partitionBy("conv_id").orderBy("idx")
+def _order():
+    return Window.partitionBy("conv_id").orderBy("idx")
+
 
 
 def operator_turns(turns: DataFrame) -> DataFrame:
     """What a person typed: user turns that follow no tool call and are no machine envelope."""
-    after_tool = F.coalesce(F.lag(F.col("tool").isNotNull()).over(_ORDER), F.lit(False))
+    after_tool = F.coalesce(F.lag(F.col("tool").isNotNull()).over(_order()), F.lit(False))
     c = X.trim(F.col("content"))
     t = turns.withColumn("after_tool", after_tool)
     return t.where((F.col("role") == "user") & ~F.col("after_tool") & (c != "") & ~X.matches(c, R.MACHINE_ENVELOPE) & ~X.matches(c, R.NOTIFICATION)).drop("after_tool")
@@ -79,8 +81,8 @@ def relations(events: DataFrame) -> DataFrame:
 def coalesced(turns: DataFrame) -> DataFrame:
     """Consecutive turns of one role as one message, with strictly increasing times."""
     t = turns.where("role IN ('user', 'assistant')")
-    new = F.when(F.col("role") == F.lag("role").over(_ORDER), 0).otherwise(1)
-    t = t.withColumn("part", F.sum(F.col("__new")).over(_ORDER)) if "__new" in t.columns else t.withColumn("__new", new).withColumn("part", F.sum("__new").over(_ORDER))
+    new = F.when(F.col("role") == F.lag("role").over(_order()), 0).otherwise(1)
+    t = t.withColumn("part", F.sum(F.col("__new")).over(_order())) if "__new" in t.columns else t.withColumn("__new", new).withColumn("part", F.sum("__new").over(_order()))
     m = t.groupBy("conv_id", "part").agg(F.first("role").alias("role"), F.count("*").alias("turns"), F.min("at_s").alias("own_s"), F.sum(F.length("content")).alias("characters"))
     w = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     return m.withColumn("at_s", F.max(F.col("own_s") - F.col("part")).over(w) + F.col("part"))
