@@ -56,7 +56,7 @@ def signal(text: Column) -> Column:
 
 
 def pointer(conversation: Column, turn: Column) -> Column:
-    return F.concat(F.lit("chatlog://conversation/"), conversation, F.lit("/turn/"), turn.cast("string"))
+    return F.concat(F.lit(f"{R.POINTER_SCHEME}://conversation/"), conversation, F.lit("/turn/"), turn.cast("string"))
 
 
 def half_up(value: Column, places: int = 4) -> Column:

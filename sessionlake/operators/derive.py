@@ -9,10 +9,19 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as X
 
+LAST = {"problems": 40, "decisions": 50, "gates": 40, "signals": 20, "attempts": 80}
+
+
 def _order():
     return Window.partitionBy("conv_id").orderBy("idx")
 
-LAST = {"problems": 40, "decisions": 50, "gates": 40, "signals": 20, "attempts": 80}
+
+def control(content):
+    """Messages that a harness puts in a person's place."""
+    hit = X.matches(content, R.CONTROL_MESSAGE)
+    for mark in R.CONTROL_MARKS:
+        hit = hit | F.contains(content, F.lit(mark))
+    return hit
 
 
 def marked(turns: DataFrame) -> DataFrame:
@@ -20,7 +29,7 @@ def marked(turns: DataFrame) -> DataFrame:
     after_tool = F.coalesce(F.lag(F.col("tool").isNotNull()).over(_order()), F.lit(False))
     c = F.col("content")
     return turns.withColumn("after_tool", after_tool).withColumns({
-        "problem": (F.col("role") == "user") & ~F.col("after_tool") & X.matches(c, R.PROBLEM),
+        "problem": (F.col("role") == "user") & ~F.col("after_tool") & X.matches(c, R.PROBLEM) & ~control(c),
         "decision": F.col("role").isin("assistant", "system") & X.matches(c, R.DECISION),
         "gate": ((F.col("role") == "assistant") | (F.col("role") == "tool") | F.col("after_tool")) & X.matches(c, R.GATE),
         "signal": X.signal(c),
@@ -39,34 +48,62 @@ def problems(turns: DataFrame) -> DataFrame:
 
 def gate_result():
     """A zero exit code is a success unless the text also tells of failure alone."""
-    zero = X.matches(F.col("content"), r"(?i)\bexit(?:ed)?(?: code)?\s*[:=]?\s*0\b")
-    return F.when(zero & (F.col("signal") != "failure"), "success").otherwise(F.col("signal"))
+    return F.when(X.matches(F.col("content"), R.ZERO_EXIT) & (F.col("signal") != "failure"), "success").otherwise(F.col("signal"))
 
 
 def gates(turns: DataFrame) -> DataFrame:
-    return newest(marked(turns).where("gate"), LAST["gates"]).withColumn("result", gate_result())
+    """Turns that tell how a gate went."""
+    told = marked(turns).where("gate").withColumn("result", gate_result()).where("result != 'unknown'")
+    return newest(told, LAST["gates"])
 
 
 def attempts(turns: DataFrame) -> DataFrame:
-    """Tool turns of the assistant with the next turn's signal as outcome."""
-    m = marked(turns).withColumn("next", F.lead("signal").over(_order()))
-    rows = m.where("role = 'assistant' AND tool IS NOT NULL").withColumn("outcome", F.coalesce("next", F.lit("unknown")))
-    return newest(rows, LAST["attempts"]).select("conv_id", "idx", "tool", "outcome")
+    """Tool turns of the assistant: what was meant (its own text, else that of up to four turns before), tools, and the next turn's signal."""
+    c = F.when((F.col("role") == "assistant") & (F.col("content") != ""), F.col("content"))
+    before = F.last(c, ignorenulls=True).over(_order().rowsBetween(-4, -1))
+    used = F.col("tools") if "tools" in turns.columns else F.array_compact(F.array("tool"))
+    m = marked(turns).withColumns({"next": F.lead("signal").over(_order()), "before": before, "tools": used})
+    meant = F.coalesce(F.nullif(F.col("content"), F.lit("")), "before", F.concat(F.lit("Called "), F.array_join("tools", ", ")))
+    rows = m.where("role = 'assistant' AND tool IS NOT NULL").withColumns({"outcome": F.coalesce("next", F.lit("unknown")), "meant": meant})
+    return newest(rows, LAST["attempts"]).select("conv_id", "idx", "tool", "tools", "outcome", X.snippet(F.col("meant")).alias("snippet"))
+
+
+def decisions(turns: DataFrame) -> DataFrame:
+    return newest(marked(turns).where("decision"), LAST["decisions"]).select("conv_id", "idx", X.snippet(F.col("content")).alias("snippet"))
+
+
+def told(turns: DataFrame) -> DataFrame:
+    """conv_id, idx, signal, snippet of turns that tell of success or failure: the assistant's and gates'."""
+    own = newest(marked(turns).where("role = 'assistant' AND signal != 'unknown'"), LAST["signals"])
+    cut = X.snippet(F.col("content")).alias("snippet")
+    return own.select("conv_id", "idx", "signal", cut).unionByName(gates(turns).select("conv_id", "idx", F.col("result").alias("signal"), cut))
 
 
 def outcomes(turns: DataFrame) -> DataFrame:
     """status per conversation: the later of success and failure; mixed when both are within 5 turns; unknown without either."""
-    m = marked(turns)
-    told = newest(m.where("signal != 'unknown'"), LAST["signals"]).select("conv_id", "idx", "signal").unionByName(gates(turns).select("conv_id", "idx", F.col("result").alias("signal")))
-    g = told.groupBy("conv_id").agg(F.max(F.when(F.col("signal") == "success", F.col("idx"))).alias("good"), F.max(F.when(F.col("signal") == "failure", F.col("idx"))).alias("bad"))
+    g = told(turns).groupBy("conv_id").agg(F.max(F.when(F.col("signal") == "success", F.col("idx"))).alias("good"), F.max(F.when(F.col("signal") == "failure", F.col("idx"))).alias("bad"))
     both = F.col("good").isNotNull() & F.col("bad").isNotNull()
     status = F.when(both & (F.abs(F.col("good") - F.col("bad")) <= 5), "mixed").when(F.col("bad").isNull() & F.col("good").isNull(), "unknown").when(F.col("bad").isNull() | (F.col("good") > F.col("bad")), "success").otherwise("failure")
     return turns.select("conv_id").distinct().join(g, "conv_id", "left").select("conv_id", status.alias("status"))
 
 
+def outcome_evidence(turns: DataFrame, n: int = 6) -> DataFrame:
+    """The newest n turns that tell an outcome, one of each turn and snippet."""
+    t = told(turns).dropDuplicates(["conv_id", "idx", "snippet"])
+    w = Window.partitionBy("conv_id").orderBy(F.desc("idx"), "snippet")
+    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("conv_id", "rank", "idx", "snippet")
+
+
+def metrics(turns: DataFrame) -> DataFrame:
+    """Turns, characters and turns by role of each conversation."""
+    by = turns.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("c"))
+    return by.groupBy("conv_id").agg(F.sum("n").alias("turns"), F.sum("c").alias("characters"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "role", F.col("n").cast("string")))), "|").alias("roles"))
+
+
 def topics(turns: DataFrame, n: int = 24) -> DataFrame:
     """term, distinct turns, first three turn indices: the n commonest per conversation."""
-    t = turns.where("role IN ('user', 'assistant')").select("conv_id", "idx", F.explode(X.terms(F.col("content"))).alias("term"))
+    plain = turns.where(~((F.col("role") == "user") & control(F.col("content"))))
+    t = plain.select("conv_id", "idx", F.explode(X.terms(F.col("content"))).alias("term"))
     g = t.groupBy("conv_id", "term").agg(F.countDistinct("idx").alias("turns"), F.array_join(F.slice(F.array_sort(F.collect_set("idx")), 1, 3), "|").alias("first"))
     w = Window.partitionBy("conv_id").orderBy(F.desc("turns"), "term")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

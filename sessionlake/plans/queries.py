@@ -13,6 +13,8 @@ from ..functions import text as X
 from ..operators import active as A
 from ..operators import derive as D
 from ..operators import rollups as U
+from ..operators import refinery as Y
+from ..operators import roles as G
 from ..operators import search as S
 from ..operators import workflow as W
 from ..sources import driver as V
@@ -224,7 +226,7 @@ def decision_turns(spark, sf):
     return D.marked(V.turns(spark, sf)).where("decision").select("conv_id", "idx")
 
 
-@query(f"{_D} SELECT result, count(*) AS gates, count(DISTINCT conv_id) AS sessions FROM d WHERE gate GROUP BY ALL")
+@query(f"{_D} SELECT result, count(*) AS gates, count(DISTINCT conv_id) AS sessions FROM d WHERE gate AND result <> 'unknown' GROUP BY ALL")
 def gate_results(spark, sf):
     return D.gates(V.turns(spark, sf)).groupBy("result").agg(F.count("*").alias("gates"), F.countDistinct("conv_id").alias("sessions"))
 
@@ -234,7 +236,7 @@ def attempt_outcomes(spark, sf):
     return D.attempts(V.turns(spark, sf)).groupBy("tool", "outcome").agg(F.count("*").alias("attempts"))
 
 
-_OUT = f"""{_D}, e AS (SELECT conv_id, max(idx) FILTER (WHERE (signal = 'success') OR (gate AND result = 'success')) AS good, max(idx) FILTER (WHERE signal = 'failure' OR (gate AND result = 'failure')) AS bad FROM d GROUP BY ALL),
+_OUT = f"""{_D}, e AS (SELECT conv_id, max(idx) FILTER (WHERE (role = 'assistant' AND signal = 'success') OR (gate AND result = 'success')) AS good, max(idx) FILTER (WHERE (role = 'assistant' AND signal = 'failure') OR (gate AND result = 'failure')) AS bad FROM d GROUP BY ALL),
  o AS (SELECT conv_id, CASE WHEN good IS NOT NULL AND bad IS NOT NULL AND abs(good - bad) <= 5 THEN 'mixed' WHEN good IS NULL AND bad IS NULL THEN 'unknown' WHEN bad IS NULL OR good > bad THEN 'success' ELSE 'failure' END AS status FROM e)"""
 
 
@@ -251,7 +253,7 @@ def outcome_histogram(spark, sf):
 _STOP = "[" + ", ".join(map(_q, R.STOP_WORDS)) + "]"
 
 
-@query(f"""{_T}, w AS (SELECT conv_id, idx, list_filter(regexp_extract_all(lower(content), '[a-z][a-z0-9_-]{{3,}}'), lambda x: NOT list_contains({_STOP}, x)) AS l FROM t WHERE role IN ('user', 'assistant')),
+@query(f"""{_T}, w AS (SELECT conv_id, idx, list_filter(regexp_extract_all(lower(content), '[a-z][a-z0-9_-]{{3,}}'), lambda x: NOT list_contains({_STOP}, x)) AS l FROM t),
  p AS (SELECT conv_id, idx, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM w), f AS (SELECT conv_id, idx, term, min(pos) AS pos FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, idx ORDER BY pos) AS k FROM f),
  g AS (SELECT conv_id, term, count(*) AS turns, array_to_string(list_slice(list_sort(list(idx)), 1, 3), '|') AS first FROM r WHERE k <= 12 GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turns DESC, term) AS rank FROM g) SELECT conv_id, term, turns, first, rank::INT AS rank FROM q WHERE rank <= 24""")
 def topics_topk(spark, sf):
@@ -314,7 +316,7 @@ def grok_sessions(spark, sf):
     return U.top(h.where("k <= 3").groupBy("conv_id").agg(F.count("*").alias("hits"), F.min("idx").alias("best")), 10, F.desc("hits"), F.col("conv_id"))
 
 
-@query(f"{_T} SELECT 'chatlog://conversation/h' || conv_id || 'v1/turn/' || idx AS uri, substr(content, 1, 12000) AS text, length(content) > 12000 AS truncated, length(content) AS full_length FROM t WHERE role IN ('user', 'assistant') AND lower(coalesce(nullif(trim(domain), ''), 'coding')) = 'coding'")
+@query(f"{_T} SELECT 'session://conversation/h' || conv_id || 'v1/turn/' || idx AS uri, substr(content, 1, 12000) AS text, length(content) > 12000 AS truncated, length(content) AS full_length FROM t WHERE role IN ('user', 'assistant') AND lower(coalesce(nullif(trim(domain), ''), 'coding')) = 'coding'")
 def evidence_fetch(spark, sf):
     t = V.turns(spark, sf).where(F.col("role").isin("user", "assistant") & (X.domain(F.col("domain")) == "coding"))
     uri = X.pointer(F.concat(F.lit("h"), F.col("conv_id").cast("string"), F.lit("v1")), F.col("idx"))
@@ -324,11 +326,74 @@ def evidence_fetch(spark, sf):
 # ---------------------------------------------------------------- mining
 
 
-@query(f"{_D}, c AS (SELECT project, conv_id, unnest(string_split({_CATS}, '|')) AS signature FROM d WHERE problem), g AS (SELECT signature, count(*) AS occurrences, count(DISTINCT conv_id) AS sessions, count(DISTINCT project) AS projects FROM c WHERE signature <> '' GROUP BY ALL) SELECT 'gotcha' AS type, * FROM g WHERE sessions >= 3")
+_THEMES = "list_filter([" + ", ".join(f"CASE WHEN {_m(p, 'snippet')} THEN {_q(n)} END" for n, p in R.THEMES) + "], lambda x: x IS NOT NULL)"
+_REFS = r"list_distinct(list_transform(regexp_extract_all(snippet, 'https?://[^\s)\]}>,]+'), lambda u: CASE WHEN regexp_extract(u, '^https?://[^/?#]*/+([^/?#]+)', 1) <> '' THEN regexp_extract(u, '^https?://([^/?#]*)', 1) || '/' || regexp_extract(u, '^https?://[^/?#]*/+([^/?#]+)', 1) ELSE regexp_extract(u, '^https?://([^/?#]*)', 1) END))"
+_CUT = f"CASE WHEN length({_CLEAN}) > 220 THEN substr({_CLEAN}, 1, 219) || '…' ELSE {_CLEAN} END"
+_OBS = f"""{_D}, nx AS (SELECT *, coalesce(lead(signal) OVER (PARTITION BY conv_id ORDER BY idx), 'unknown') AS outcome, {_CUT} AS snippet, {_CATS} AS cats FROM d),
+ ob AS (SELECT 'gotcha-skill' AS type, unnest(string_split(cats, '|')) AS signature, conv_id, project, harness FROM nx WHERE problem AND cats <> ''
+ UNION ALL SELECT 'skill', unnest({_THEMES}), conv_id, project, harness FROM nx WHERE role = 'assistant' AND outcome = 'success' AND regexp_matches(tool, {_q(R.ACTION_TOOL)})
+ UNION ALL SELECT 'memory-or-adr', project || ':' || unnest({_THEMES}), conv_id, project, harness FROM nx WHERE decision
+ UNION ALL SELECT 'claude-md', project || ':' || unnest({_THEMES}), conv_id, project, harness FROM nx WHERE problem
+ UNION ALL SELECT 'wiki-page-later', unnest({_REFS}), conv_id, project, harness FROM nx WHERE role = 'assistant' AND regexp_matches(tool, {_q(R.LOOKUP_TOOL)})),
+ cd AS (SELECT type, signature, count(*) AS occurrences, count(DISTINCT conv_id) AS sessions, count(DISTINCT project) AS projects, count(DISTINCT harness) AS harnesses FROM ob GROUP BY ALL HAVING count(DISTINCT conv_id) >= 3)"""
+
+
+@query(f"{_OBS} SELECT *, substr(sha256(type || ':' || signature), 1, 20) AS id, CASE WHEN type = 'wiki-page-later' THEN 'deferred-follow-up' ELSE 'curation-required' END AS status FROM cd")
 def refinery_candidates(spark, sf):
-    t = D.marked(V.turns(spark, sf)).where("problem").select("project", "conv_id", F.explode(X.categories(F.col("content"))).alias("signature"))
-    g = t.groupBy("signature").agg(F.count("*").alias("occurrences"), F.countDistinct("conv_id").alias("sessions"), F.countDistinct("project").alias("projects"))
-    return g.where("sessions >= 3").select(F.lit("gotcha").alias("type"), "*")
+    return Y.candidates(V.turns(spark, sf))
+
+
+@query(f"{_OBS} SELECT type, count(*) AS candidates FROM cd GROUP BY ALL")
+def refinery_counts_by_type(spark, sf):
+    return Y.candidates(V.turns(spark, sf)).groupBy("type").agg(F.count("*").alias("candidates"))
+
+
+@query(f"{_OBS} SELECT type, signature, conv_id, rank FROM (SELECT type, signature, conv_id, row_number() OVER (PARTITION BY type, signature ORDER BY conv_id)::INT AS rank FROM (SELECT DISTINCT type, signature, conv_id FROM ob)) WHERE rank <= 6")
+def refinery_evidence(spark, sf):
+    return Y.evidence(V.turns(spark, sf)).select("type", "signature", "conv_id", "rank")
+
+
+@query(f"{_D}, e AS (SELECT DISTINCT conv_id, idx, {_CUT} AS snippet FROM d WHERE (role = 'assistant' AND signal <> 'unknown') OR (gate AND result <> 'unknown')) SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC, snippet)::INT AS rank, idx, snippet FROM e) WHERE rank <= 6")
+def outcome_evidence(spark, sf):
+    return D.outcome_evidence(V.turns(spark, sf))
+
+
+@query(f"{_T}, b AS (SELECT conv_id, role, count(*) AS n, sum(length(content)) AS c FROM t GROUP BY ALL) SELECT conv_id, sum(n)::BIGINT AS turns, sum(c)::BIGINT AS characters, array_to_string(list_sort(list(role || '=' || n)), '|') AS roles FROM b GROUP BY ALL")
+def conversation_metrics(spark, sf):
+    return D.metrics(V.turns(spark, sf))
+
+
+# ---------------------------------------------------------------- agent roles
+
+
+def _anchored() -> str:
+    return "CASE " + " ".join(f"WHEN {_m(p, 'launch')} THEN {_q(r)}" for r, p in R.ROLE_ANCHORS) + " END"
+
+
+def _points(role: str) -> str:
+    return " + ".join(f"CASE WHEN {_m(p, 'launch')} THEN {n} ELSE 0 END" for r, n, p in R.ROLE_POINTS if r == role)
+
+
+_R = f"""{_T}, la AS (SELECT *, {_anchored()} AS anchor FROM (SELECT conv_id, idx, substr(content, 1, {R.LAUNCH_CHARACTERS}) AS launch FROM t WHERE idx < {R.LAUNCH_TURNS} AND role = 'user' AND trim(content) <> '' AND NOT {_m(R.NO_LAUNCH)})),
+ fa AS (SELECT conv_id, min(idx) AS start, min(idx) FILTER (WHERE anchor IS NOT NULL) AS ai FROM la GROUP BY ALL),
+ pt AS (SELECT l.conv_id, l.idx, f.start, r.role, CASE WHEN l.idx = f.ai THEN CASE WHEN l.anchor = r.role THEN {R.ANCHOR_POINTS} ELSE 0 END ELSE CASE r.role {" ".join(f"WHEN {_q(r)} THEN {_points(r)}" for r in R.ROLES)} END END AS p
+ FROM la l JOIN fa f USING (conv_id) CROSS JOIN (VALUES {", ".join(f"({_q(r)})" for r in R.ROLES)}) AS r(role) WHERE f.ai IS NULL OR l.idx <= f.ai),
+ sc AS (SELECT conv_id, role, sum(p)::BIGINT AS s, min(idx) FILTER (WHERE p > 0) AS e, min(start) AS start FROM pt GROUP BY ALL),
+ tc AS (SELECT conv_id, harness, {", ".join(f"count(*) FILTER (WHERE {_m(p, 'tool')}) AS {n}" for n, (_, p, _, _) in zip(("delegations", "mutations", "lookups"), R.ROLE_TOOLS, strict=True))} FROM t GROUP BY ALL),
+ bo AS (SELECT tc.*, r.role, r.k, CASE WHEN (r.role = 'manager' AND delegations >= 3) THEN 3 WHEN (r.role = 'worker' AND mutations >= 3) OR (r.role = 'advisor' AND lookups >= 3 AND mutations = 0) THEN 2 ELSE 0 END AS b FROM tc CROSS JOIN (VALUES {", ".join(f"({_q(r)}, {i})" for i, r in enumerate(R.ROLES))}) AS r(role, k)),
+ al AS (SELECT bo.*, coalesce(s, 0) + b AS score, coalesce(e, CASE WHEN b > 0 THEN coalesce(st.start, 0) END, st.start) AS ev FROM bo LEFT JOIN sc USING (conv_id, role) LEFT JOIN fa st USING (conv_id)),
+ rk AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM al WINDOW w AS (PARTITION BY conv_id ORDER BY score DESC, k)),
+ ir AS (SELECT conv_id, harness, CASE WHEN score >= 3 THEN role ELSE 'unclassified' END AS role, CASE WHEN score < 3 THEN 'low' WHEN score >= 7 AND margin >= 3 THEN 'high' ELSE 'medium' END AS confidence, score::BIGINT AS score, margin::BIGINT AS margin, CASE WHEN score >= 3 THEN ev END AS evidence_idx, delegations, mutations, lookups FROM rk WHERE n = 1)"""
+
+
+@query(f"{_R} SELECT * FROM ir")
+def role_inference(spark, sf):
+    return G.inferred(V.turns(spark, sf))
+
+
+@query(f"{_R} SELECT r.role, count(ir.conv_id) AS conversations FROM (VALUES {', '.join(f'({_q(r)})' for r in [*R.ROLES, 'unclassified'])}) AS r(role) LEFT JOIN ir USING (role) GROUP BY ALL")
+def role_counts(spark, sf):
+    return G.counts(V.turns(spark, sf))
 
 
 _O = f"""{_T}, b AS (SELECT *, coalesce(lag(tool IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY idx), false) AS after_tool, trim(content) AS c FROM t), o AS (SELECT * EXCLUDE (after_tool, c) FROM b WHERE role = 'user' AND NOT after_tool AND c <> '' AND NOT {_m(R.MACHINE_ENVELOPE, "c")} AND NOT {_m(R.NOTIFICATION, "c")})"""
