@@ -19,7 +19,8 @@ Within a region
   no pairs among themselves.  Only the sets outside the region's largest component meet the
   members of other components, in chunks of both, where the triangle-inequality window on the
   distances to the pivot and the bound let them; the exact test follows.  Regions of which a map
-  block holds more than LEAF sets are pre-aggregated there to one local pivot.
+  block holds more than LEAF sets are pre-aggregated there to one local pivot, and are large
+  wherever its posting meets others.
 
 Equal sets are one class and joined once.  Only classes that are not connected yet are compared
 again, so components are exact without listing every link inside them.  Texts are not shuffled:
@@ -165,15 +166,16 @@ def _groups(h, uid, n):
     return h, uid, n, start, size
 
 
-def _star(h, uid, start, size):
+def _star(h, uid, start, size, big):
     """Members of large groups and their pivots."""
-    big = size > LEAF
     at = C.ragged(start[big], size[big])
     return h[at], uid[at], np.repeat(uid[start[big]], size[big])
 
 
 def _postings(bits: int):
-    """Per batch: one blob of (shingle, set) for each bucket; kind 1: pairs, kind 2: members of large regions."""
+    """Per batch: one blob of (shingle, set) for each bucket; kind 1: pairs, kind 2: members of large regions.
+
+    The size of a local pivot is negated: its group has members that the bucket does not see."""
 
     def run(batches):
         for b in batches:
@@ -185,11 +187,13 @@ def _postings(bits: int):
             size = np.array([len(blobs[i]) // 8 for i in one], np.int64)
             h, u, m, start, size = _groups(h, np.repeat(uid[one], size), np.repeat(n[one], size))
             rows = []
-            sh, su, sp = _star(h, u, start, size)
+            big = size > LEAF
+            sh, su, sp = _star(h, u, start, size, big)
             if len(sh):
                 rows += [(1, -1, sh, su, sp), (2, -1, sh, su, sp)]
-                keep = np.repeat(size <= LEAF, size)
+                keep = np.repeat(~big, size)
                 keep[start] = True
+                m[start[big]] *= -1
                 h, u, m = h[keep], u[keep], m[keep]
             bucket = (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -204,10 +208,11 @@ def _regions(percent: int):
         col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
         h, u, m, start, size = _groups(col("h", np.uint64), col("uid", np.int64), col("n", np.int64))
         rows = []
-        sh, su, sp = _star(h, u, start, size)
+        big = (size > 1) & ((size > LEAF) | np.logical_or.reduceat(m < 0, start)) if len(h) else size > 1
+        sh, su, sp = _star(h, u, start, size, big)
         if len(sh):
             rows += [(1, -1, sh, su, sp), (2, -1, sh, su, sp)]
-        at = C.ragged(start[(size > 1) & (size <= LEAF)], size[(size > 1) & (size <= LEAF)])
+        at = C.ragged(start[(size > 1) & ~big], size[(size > 1) & ~big])
         h, u, m = h[at], u[at], m[at]
         ids, of = np.unique(u, return_inverse=True)
         found = []
@@ -278,13 +283,13 @@ class _Sketches:
     def __init__(self, raw: list[bytes]):
         self.width = np.array([len(x) for x in raw])
         self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
-        self.made = {(w, w): np.frombuffer(b"".join(raw[i] for i in r), np.uint8).reshape(len(r), w).astype(np.int32) for w, r in self.rows.items()}
+        self.made = {(w, w): np.frombuffer(b"".join(raw[i] for i in r), np.uint8).reshape(len(r), w).astype(np.int16) for w, r in self.rows.items()}
         self.capped = np.array([255 in x for x in raw])
 
     def folded(self, w: int, to: int) -> np.ndarray:
         if (w, to) not in self.made:
             x = self.made[w, w]
-            self.made[w, to] = x.reshape(len(x), w // to, to).sum(1)
+            self.made[w, to] = x.reshape(len(x), w // to, to).sum(1, dtype=np.int32)
         return self.made[w, to]
 
     def least(self, one: bytes) -> np.ndarray:
@@ -293,7 +298,11 @@ class _Sketches:
         out = np.zeros(len(self.width), np.int64)
         for w, r in self.rows.items():
             to = min(w, len(x))
-            d = np.abs(self.folded(w, to) - x.reshape(-1, to).sum(0)).sum(1)
+            ours, theirs = self.folded(w, to), x.reshape(-1, to).sum(0, dtype=np.int32)
+            d, step = np.zeros(len(r), np.int64), max(1, (1 << 18) // to)
+            for i in range(0, len(r), step):
+                part = ours[i : i + step] - theirs
+                d[i : i + step] = np.abs(part, out=part).sum(1)
             if w != len(x):
                 d = np.where(self.capped[r] | (255 in one), 0, d)
             out[r] = d

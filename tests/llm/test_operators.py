@@ -204,6 +204,19 @@ def test_jaccard(docs, none, leaf, monkeypatch):
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_region_large_in_one_batch(spark):
+    phrase = "one two three four five six seven"
+    data = [(i, f"{phrase} word{i}") for i in range(1, 10)] + [(0, phrase)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(batch)
+    spark.conf.set(batch, "9")
+    try:
+        got = {tuple(r) for r in jaccard.join(spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.set(batch, was)
+    assert got == {(0, 3, 0), *((i, 4, 0) for i in range(1, 10))}
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
