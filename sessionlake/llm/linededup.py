@@ -9,7 +9,11 @@ for a key of n documents, whatever its size, never all pairs.
 Alignment is patience diff: match lines unique in both, take the longest increasing chain, grow
 each match up and down and repeat between the matches.  Runs of consecutive matched lines with
 `min_words` words are deleted from the later document; alignment repeats on what is left until
-it finds no further block, so moved blocks are found too.
+it finds no further block, so moved blocks are found too.  Patience has no anchor where no line
+is unique in both; so every line of the later document that lies in a run of at least `min_words`
+words which also stands in the earlier one goes as well.  Such a run is covered by shortest runs
+of that many words, forward from its lines or backward, so looking these up is exact and linear;
+of a passage that is repeated in the later document every copy goes.
 
 Only line hashes travel, and the masks of deleted lines; texts meet the masks in one join.
 
@@ -21,7 +25,8 @@ keeps an empty text in `dedup` and goes in `drop_repeats`.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +102,44 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(words: list, min_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs of min_words words, forward and backward from each line."""
+    total = [0, *accumulate(words)]
+    n = len(words)
+    out = set()
+    for i in range(n):
+        end = bisect_left(total, total[i] + min_words)
+        if end <= n:
+            out.add((i, end))
+        start = bisect_right(total, total[i + 1] - min_words) - 1
+        if start >= 0:
+            out.add((start, i + 1))
+    return out
+
+
+def unanchored(a: list, b: list, words: list, min_words: int, gone: list[int]) -> list[int]:
+    """Indices in b, besides gone, of all common blocks of at least min_words words."""
+    holds = set(a)
+    ours = [(i, j) for i, j in runs(words, min_words) if b[i] in holds and b[j - 1] in holds]
+    done = set(gone)
+    ours = [(i, j) for i, j in ours if not done.issuperset(range(i, j))]
+    places: dict = {}
+    if ours:
+        first = {b[i] for i, _ in ours}
+        for k, x in enumerate(a):
+            if x in first:
+                places.setdefault(x, []).append(k)
+    theirs: dict = {}
+    for i, j in ours:
+        if j - i not in theirs:
+            theirs[j - i] = {tuple(a[k : k + j - i]) for ks in places.values() for k in ks}
+        if tuple(b[i:j]) in theirs[j - i]:
+            done.update(range(i, j))
+    return sorted(done)
+
+
 def common_blocks(a: list, b: list, words: list, min_words: int) -> list[int]:
-    """Indices in b of aligned common blocks of at least min_words words (words: of b's lines)."""
+    """Indices in b of common blocks of at least min_words words (words: of b's lines)."""
     ia, ib, gone = list(range(len(a))), list(range(len(b))), []
     while True:
         found, block = [], []
@@ -110,7 +151,7 @@ def common_blocks(a: list, b: list, words: list, min_words: int) -> list[int]:
                 block = []
             block.append((i, j))
         if not found:
-            return sorted(gone)
+            return unanchored(a, b, words, min_words, gone)
         gone += [j for _, j in found]
         xa, xb = {i for i, _ in found}, {j for _, j in found}
         ia, ib = [k for k in ia if k not in xa], [k for k in ib if k not in xb]

@@ -93,6 +93,23 @@ def test_line_dedup(spark, none):
     assert linededup.common_blocks(a, b, [9] * 4, 18) == [0, 1, 2, 3]  # moved blocks
 
 
+def brute_blocks(a, b, words, least):
+    """Indices in b of lines in any run of at least `least` words that stands in a too."""
+    held = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    return sorted({k for i in range(len(b)) for j in range(i + 1, len(b) + 1) if sum(words[i:j]) >= least and tuple(b[i:j]) in held for k in range(i, j)})
+
+
+def test_common_blocks_without_unique_lines():
+    assert linededup.common_blocks(["P", "x", "P"], ["y", "P", "z"], [1, 60, 1], 20) == [1]
+    assert linededup.common_blocks(["y", "P", "z"], ["P", "x", "P"], [60, 1, 60], 20) == [0, 2]
+    r = random.Random(5)
+    for _ in range(400):
+        size = {x: r.choice([1, 4, 7, 25]) for x in "abcdef"}
+        a, b = ([r.choice("abcdef") for _ in range(r.randrange(1, 14))] for _ in range(2))
+        w = [size[x] for x in b]
+        assert linededup.common_blocks(a, b, w, 20) == brute_blocks(a, b, w, 20)
+
+
 def test_url_rules(spark):
     urls = {1: "http://A.Example.ORG/es/7?q", 2: "https://example.org/en/19#t", 3: "x://org/en/2", 4: "http://u.com/de/3", 5: "ftp", 6: None, 7: "http://example.org?x=/es/", 8: "http://org.net/fr/1"}
     df = spark.createDataFrame([(i, u, "clash") for i, u in urls.items()], "page_id bigint, url string, host string")
