@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-A common block is worth deleting from `min_words` words on.  Such a block holds a line of that
-many words or two consecutive lines, so those are the link keys: long single lines and line
-pairs, which are rare where single lines may be boilerplate.  Each key's earliest document is
-its owner, and every later document that holds the key is aligned with that owner: n - 1 pairs
-for a key of n documents, whatever its size, never all pairs.
+A common block is worth deleting from `min_words` words on.  The link keys name whole such
+blocks: the shortest runs of consecutive lines that reach `min_words` words, forward from each
+line and backward.  Each key's earliest document is its owner, and every later document that
+holds the key is aligned with that owner: n - 1 pairs for a key of n documents, whatever its
+size, never all pairs.  These runs cover every common block, so a document loses every line of a
+block that any earlier document holds.
 
 Alignment is patience diff: match lines unique in both, take the longest increasing chain, grow
 each match up and down and repeat between the matches.  Runs of consecutive matched lines with
@@ -59,6 +60,40 @@ def _sequences(batches):
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], *cols], names=["doc_id", "th", "h", "w", "at"])
 
 
+def _run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the sequences h[start:end]; equal sequences have equal hashes."""
+    _, up, down = C._tables(len(h) + 1, 5)
+    total = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+    return C.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _keys(min_words: int):
+    """Distinct hashes of the shortest runs of min_words words of each document, forward and backward."""
+
+    def run(batches):
+        for b in batches:
+            h, w = b.column(2), b.column(3)
+            off = np.asarray(h.offsets).astype(np.int64)
+            off, h, w = off - off[0], np.asarray(h.flatten()).view(np.uint64), np.asarray(w.flatten()).astype(np.int64)
+            for i, j in C.steps(off, C.STEP_BYTES // 8):
+                x, y = off[i], off[j]
+                doc = np.repeat(np.arange(i, j), np.diff(off[i : j + 1]))
+                total = np.append(0, np.cumsum(w[x:y]))
+                at = np.arange(y - x)
+                end = np.searchsorted(total, total[:-1] + min_words)
+                start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+                ahead, back = end <= off[doc + 1] - x, start >= off[doc] - x
+                s, e = np.append(at[ahead], start[back]), np.append(end[ahead], at[back] + 1)
+                key, doc = _run_hashes(h[x:y], s, e), np.append(doc[ahead], doc[back])
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
+                of = pa.array(doc[new])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(key[new].view(np.int64))], names=["doc_id", "th", "key"])
+
+    return run
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Matched (index in a, index in b), ascending in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -184,11 +219,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     seq = C.materialize(base.mapInArrow(_sequences, _SEQ), "lines")
     doc = F.struct("doc_id", "th")
-    keys = (
-        "filter(transform(h, (x, i) -> CASE WHEN w[i] >= {0} THEN x END), x -> x IS NOT NULL)",
-        "transform(slice(h, 1, greatest(size(h) - 1, 0)), (x, i) -> xxhash64(x, h[i + 1]))",
-    )
-    held = seq.select("doc_id", "th", F.explode(F.expr(f"array_distinct(concat({keys[0].format(min_words)}, {keys[1]}))")).alias("key"))
+    held = seq.select("doc_id", "th", "h", "w").mapInArrow(_keys(min_words), "doc_id bigint, th bigint, key bigint")
     owners = held.groupBy("key").agg(F.min(doc).alias("owner"), F.max(doc).alias("last")).where("owner != last").select("key", "owner")
     pairs = held.join(owners, "key").where(F.col("owner") != doc).select("doc_id", "th", F.col("owner.doc_id").alias("oid"), F.col("owner.th").alias("oth")).distinct()
     once = seq.dropDuplicates(["doc_id", "th"])

@@ -110,6 +110,22 @@ def test_common_blocks_without_unique_lines():
         assert linededup.common_blocks(a, b, w, 20) == brute_blocks(a, b, w, 20)
 
 
+def test_line_dedup_against_all_earlier_documents(spark):
+    r = random.Random(8)
+    line = {x: " ".join(f"{x}{k}" for k in range(r.choice([1, 6, 6, 11, 22]))) for x in "abcdefgh"}
+    s = [" ".join(f"s{i}w{k}" for k in range(6)) for i in range(4)]
+    texts = [s[0:2], s[1:3], s[2:4], s, s]
+    texts += [[line[r.choice("abcdefgh")] for _ in range(r.randrange(1, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in linededup.dedup(df).collect()}
+    for i, t in enumerate(texts):
+        w = [len(x.split()) for x in t]
+        gone = {k for a in texts[:i] if a != t for k in brute_blocks(a, t, w, 20)}
+        gone |= set(range(len(t))) if t in texts[:i] and sum(w) >= 20 else set()
+        assert got[i] == "\n".join(x for k, x in enumerate(t) if k not in gone), i
+    assert got[4] == ""
+
+
 def test_url_rules(spark):
     urls = {1: "http://A.Example.ORG/es/7?q", 2: "https://example.org/en/19#t", 3: "x://org/en/2", 4: "http://u.com/de/3", 5: "ftp", 6: None, 7: "http://example.org?x=/es/", 8: "http://org.net/fr/1"}
     df = spark.createDataFrame([(i, u, "clash") for i, u in urls.items()], "page_id bigint, url string, host string")
