@@ -6,7 +6,8 @@ corrected negative part goes below zero its gradient is reversed, which keeps th
 non-negative.  The prior is the share of toxic rows among the labelled training rows.
 
 Inputs of a score are the text alone: the presence of whole words and of 4-byte pieces of words,
-the at most `features` significantly more frequent in P than in U by documents.
+the at most `features` significantly more frequent in P than in U by documents, and LIFT times
+as frequent as in the negatives, by the prior-corrected frequency of U.
 
 The fit uses at most `positives` + `unlabelled` documents, the ones with the smallest id hashes
 in the training folds (documented bounds); the model (at most `features` keys) is what the
@@ -32,7 +33,7 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 POSITIVES, UNLABELLED, FEATURES, PIECE = 4096, 12288, 2048, 4
 #: Standard deviations by which a feature's document frequency in P must exceed that in U.
 SIGNIFICANT = 6.0
-#: Times that frequency at least.
+#: Times the frequency in the others at least, which is that in U less the prior's share of that in P.
 LIFT = 5.0
 _BLOOM = 20
 
@@ -151,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     seen = sample.mapInArrow(_frequencies, "key bigint, p bigint, u bigint").groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     r = (F.col("u") + 1) / (u + 2)
     z = (F.col("p") - p * r) / F.sqrt(p * r * (1 - r))
-    top = seen.where(F.col("p") >= 3).where((z >= SIGNIFICANT) & (F.col("p") >= LIFT * p * r)).orderBy(z.desc(), "key").limit(features).select("key").collect()
+    # r holds prior * (P's rate) of toxic documents; the rest is the negatives'
+    others = (r - prior * F.col("p") / p) / (1 - prior)
+    top = seen.where(F.col("p") >= 3).where((z >= SIGNIFICANT) & (F.col("p") >= LIFT * p * others)).orderBy(z.desc(), "key").limit(features).select("key").collect()
     model = Model(np.array([x.key for x in top], np.int64).view(np.uint64), np.zeros(len(top)), np.log(prior / (1 - prior)), prior)
     if not size.get(1) or not size.get(0) or not top:
         return model

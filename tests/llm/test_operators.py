@@ -160,6 +160,17 @@ def test_toxicity(spark):
     assert toxicity.score(toxicity.fit(df, labels.limit(0)), df).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_a_frequent_class(spark):
+    r = random.Random(2)
+    bad = lambda i: i % 20 < 7
+    data = [(i, " ".join(r.choice(["plain", "words", "here", "and", "there"]) + str(r.randrange(30)) for _ in range(40)) + (" vileword" if bad(i) else "")) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 if bad(i) else 0) for i in range(900)], "doc_id bigint, toxic int")
+    got = [x for x in toxicity.score(toxicity.fit(df, labels), df).collect() if x.held_out]
+    assert got and all(x.predicted == bad(x.doc_id) for x in got)
+    assert {x.doc_id for x in toxicity.drop_toxic(spark, df, labels).collect()} == {i for i, _ in data if not bad(i)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 700, 9000])
 def test_range_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 50000).astype(np.int32)
