@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -99,7 +99,7 @@ def most_shared(na: int, nb: int, difference: int) -> int:
     return min(na, nb, (na + nb - difference) // 2)
 
 
-_SETS = "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, prefix binary"
+_SETS = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, sketch binary, prefix binary"
 
 
 def _sets(common_hash: np.ndarray, common_rank: np.ndarray, percent: int, k: int):
@@ -120,7 +120,7 @@ def _sets(common_hash: np.ndarray, common_rank: np.ndarray, percent: int, k: int
                 size = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
                 prefix = [C.blob(first[x : x + m]) for x, m in zip(bounds[:-1].tolist(), size.tolist(), strict=True)]
                 sk = [C.blob(sketch(h[x:y])) if y > x else b"" for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *map(pa.array, (n, s1, s2)), pa.array(sk, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], *map(pa.array, (n, s1, s2)), pa.array(sk, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "th", "n", "s1", "s2", "sketch", "prefix"])
 
     return run
 
@@ -334,6 +334,11 @@ def _outer(percent: int):
     return run
 
 
+def _row_hash(doc_id, text):
+    """Hash of a row's text, and of whether it has an id."""
+    return F.xxhash64(text, F.col(doc_id).isNull())
+
+
 class Join:
     """The steps of one join, which share its materialised tables."""
 
@@ -347,7 +352,7 @@ class Join:
 
     def prepare(self) -> None:
         common_hash, common_rank = _frequent(self.docs, self.k)
-        made = self.docs.mapInArrow(_sets(common_hash, common_rank, self.percent, self.k), _SETS)
+        made = self.docs.select("doc_id", "text", _row_hash("doc_id", "text").alias("th")).mapInArrow(_sets(common_hash, common_rank, self.percent, self.k), _SETS)
         self.sets = C.materialize(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
         members = self.sets.where("n > 0").select("uid", "doc_id", "n", "s1", "s2")
         self.classes = C.materialize(members.groupBy("n", "s1", "s2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("doc_id")), "classes")
@@ -459,11 +464,15 @@ class Join:
         rest = self.apart(last.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb").distinct(), edges)
         return edges.unionByName(self.linked(self.exact(rest, full)))
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id per row."""
+    def placed(self) -> DataFrame:
+        """doc_id, th, n and root (null: no words) per row."""
         roots = C.components(self.edges())
         of = self.rows.join(roots, self.rows["cid"] == roots["node"], "left").select("uid", F.coalesce("root", "cid").alias("root"))
-        of = C.materialize(self.sets.select("uid", "doc_id", "n").join(of, "uid", "left"), "roots")
+        return C.materialize(self.sets.select("uid", "doc_id", "th", "n").join(of, "uid", "left"), "roots")
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id per row."""
+        of = self.placed()
         least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
         return of.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -473,10 +482,19 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """The documents that have the smallest id of their component, with their columns; one row of repeated equal rows stays.
-
-    Rows without an id or without words are kept."""
-    found = join(docs, percent, k)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    # never broadcast: the number of dropped ids follows the input
-    return docs.hint("merge").join(gone.hint("merge"), docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    """Exactly one row of each component, with its columns: the smallest id, then hash of text; rows without an id come last.
+
+    One row of repeated equal rows (id and text) stays.  Rows without words are kept."""
+    at = [F.coalesce("doc_id", F.lit(0)).alias("__i"), F.col("th").alias("__t")]
+    of = Join(docs, percent, k).placed().where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), *at).alias("row"))
+    best = of.groupBy("root").agg(F.min("row").alias("best"))
+    marks = of.groupBy("root", "row").agg(F.count("*").alias("n")).join(best, "root")
+    marks = marks.withColumn("__gone", F.col("row") != F.col("best")).where("__gone or n > 1").select("row.__i", "row.__t", "__gone")
+    marks = C.materialize(marks, "marks")
+    own = docs.withColumns({"__d": F.col("doc_id").cast("bigint"), "__x": F.col("text").cast("string")})
+    own = own.withColumns({"__i": F.coalesce("__d", F.lit(0)), "__t": _row_hash("__d", "__x")}).drop("__d", "__x")
+    # never broadcast: the number of dropped rows follows the input
+    left = own.hint("merge").join(marks.hint("merge"), ["__i", "__t"], "left").where("NOT coalesce(__gone, false)")
+    # equal rows lie together after the join
+    left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__t").orderBy("__i"))).where("__gone is null or __n = 1")
+    return left.select(*docs.columns)

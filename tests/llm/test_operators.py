@@ -261,6 +261,17 @@ def test_jaccard_region_large_in_one_batch(spark):
     assert got == {(0, 3, 0), *((i, 4, 0) for i in range(1, 10))}
 
 
+def test_one_row_of_each_component(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(1000)}" for _ in range(40))
+    base, clean, other = text(), text(), text()
+    data = [(1, base, "a"), (2, base + " end", "b"), (2, clean, "c"), (3, other, "d"), (3, other, "d"), (3, other, "d"), (4, other + " end", "e"), (5, clean, "f"), (None, base, "g"), (6, "", "h"), (6, "", "h"), (7, None, "i"), (None, "!", "j"), (None, "!", "j")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(3)
+    got = sorted(x.lang for x in jaccard.one_of_each(spark, docs).collect())
+    assert got == ["a", "c", "d", "h", "h", "i", "j"]
+    assert jaccard.one_of_each(spark, docs).columns == docs.columns
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
