@@ -7,7 +7,9 @@ pivot, so every triangle-inequality window would hold everything.  So the first
 uses one fact that stays exact: order the shingles globally, then two sets within eps share a
 shingle among the first floor((1 - t) n) + 1 of each.  A region is the sets that hold a shingle
 in that prefix.  The order puts shingles that are frequent in a bounded sample last, so regions
-of common passages arise only between sets made of little else.
+of common passages arise only between sets made of little else.  This prefix filter with one pivot a
+region stands in place of Voronoi regions about pivots: no set is assigned to its nearest pivot,
+no boundary set is replicated and nothing recurses.
 
 Within a region
 - a region of at most LEAF sets is a leaf: its pairs pass the size window n_a >= t n_b, then
