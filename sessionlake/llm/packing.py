@@ -33,13 +33,13 @@ SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, seq bigint, nth bigint, ids binary"
 
 
-def _pieces(size: int, end: int, path: str, drops_space: bool, with_ids: bool):
+def _pieces(size: int, end: int, path: str, drops_space: bool, with_ids: bool, marks: bool):
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         seen, n = np.zeros(size + 1, np.int64), 0
-        enc = T.encoder(path, drops_space)
+        enc = T.encoder(path, drops_space, marks)
         for b in batches:
             ids, null = C.int64s(b.column(0))
             data, off = C.buffers(b.column(1))
@@ -157,10 +157,12 @@ def _place(slots):
     return run
 
 
-def pack(docs: DataFrame, size: int = SIZE, end: int = END, path: str = VOCABULARY, drops_space: bool = True, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian uint32) if asked for."""
+def pack(docs: DataFrame, size: int = SIZE, end: int = END, path: str = VOCABULARY, drops_space: bool = True, with_ids: bool = False, marks: bool = True) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian uint32) if asked for.
+
+    marks: whether a special token's string in a text is that token, as in the library, or ordinary text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = C.materialize(rows.mapInArrow(_pieces(size, end, path, drops_space, with_ids), _PIECES), "pieces")
+    pieces = C.materialize(rows.mapInArrow(_pieces(size, end, path, drops_space, with_ids, marks), _PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     first = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("first"))
     count = np.zeros(size + 1, np.int64)

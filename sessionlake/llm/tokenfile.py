@@ -4,19 +4,23 @@ A file is a table of segments.  A segment holds the ids of consecutive documents
 cut into equal blocks.  Every block starts from a reset model, has its own code words and its own
 CRC-32, and can be decoded alone.
 
-The model predicts each id three ways: the id that last followed the two ids before it (order 2),
-the one that last followed the id before it (order 1), and adaptive frequencies of ids by high
-and low byte (order 0).  A three-way choice (order 2 right, order 1 right, neither) is coded
-first.  Its distribution mixes two adaptive estimates, one by the confidence of the predictions
-and one by the last two choices, with weights that follow their likelihoods; then order 0 codes
-the id where both were wrong.  The coder is a carry-less 64-bit range coder that puts out 16-bit
-words.
+The model predicts each id three ways: the id that last followed the two ids before it (order 2,
+in slots checked by a 16-bit tag), the one that last followed the id before it (order 1, checked by
+that id; where the block has not met it, the follower that was frequent in the segment's beginning)
+and the frequencies of ids in the segment (order 0).  These are mixed into one distribution: the
+guess of order 1 and that of order 2 get weights that adapt to how often either was right in the
+same situation (order 1 met in the block or not; order 2 unknown, agreeing, differing), and order 0
+shares the rest over all ids.  One range coder step codes an id under the mixture: 48-bit low, 16-bit
+words, carries resolved in the output.
+
+The order-0 frequencies and first guesses of a segment are stored in its header; every block starts
+from them with empty tables, so a block needs the header and its own code words only.
 
 All blocks of a segment advance together, an id of each a step, so numpy works on whole columns
 of blocks.  Blocks are `BLOCK` ids, shorter in small segments.
 
-Defined cases: null text is empty (its end id alone); null ids of documents sort first; repeated
-rows are documents of their own; a document lies in one segment whatever its length; an empty
+Defined cases: null text is empty (its end id alone); null ids of documents sort first; rows that
+repeat an id lie in the order of their texts, equal rows are documents of their own; a document lies in one segment whatever its length; an empty
 table gives an empty file.
 """
 
@@ -35,245 +39,212 @@ from . import common as C
 from . import tokens as T
 
 END, VOCABULARY = 2, "byte_bpe_50k.json"
-BLOCK, LEAST_BLOCK, LANES = 4096, 256, 512
+BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
 #: Ids of a segment about; a longer document makes a longer one.
 SEGMENT = 1 << 22
-MAGIC = b"TIDS1\0"
+MAGIC = b"TIDS2\0"
 
-_BITS, _TOP, _BOT = np.uint64(12), np.uint64(1 << 48), np.uint64(1 << 40)
-_W, _48 = np.uint64(16), np.uint64(48)
-_SIZE = 1 << 12
-_S1, _S2, _GROUPS = 1 << 10, 1 << 12, 4
+_RENORM, _LOW, _ALL = 1 << 32, (1 << 32) - 1, (1 << 48) - 1
+#: Slots of the order-1 and order-2 tables of a block.
+_SLOTS1, _SLOTS2 = 256, 512
+#: Weights are kept in 16 bits and used in 8; their sum stays under _FULL, so order 0 always has a share.
+_WEIGHT_BITS, _FULL, _RATE = 8, 65000, 5
 _NONE = 0xFFFF
-_RATE, _EVERY_HIGH, _EVERY_LOW = 0.06, 128, 512
+#: Ids from whose neighbours the first order-1 guesses are taken; only the compression depends on it.
+_LEARN = 1 << 18
+
+
+class Prior:
+    """What every block of a segment starts from: its ids, their order-0 frequencies, a first guess of each id's follower."""
+
+    def __init__(self, known: np.ndarray, freq: np.ndarray, follower: np.ndarray):
+        self.known, self.freq, self.follower = known.astype(np.int64), freq.astype(np.int64), follower.astype(np.int64)
+        self.bits = int(self.freq.sum()).bit_length() - 1
+        self.cum = np.append(0, np.cumsum(self.freq))
+        self.symbol = np.repeat(np.arange(len(freq)), self.freq)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray]:
+        """The prior of ids, and the ids as places in it."""
+        n = np.bincount(ids, minlength=1)
+        known = np.flatnonzero(n) if len(ids) else np.zeros(1, np.int64)
+        place = np.zeros(len(n), np.int64)
+        place[known] = np.arange(len(known))
+        n, x = n[known], place[ids]
+        size = 1 << max(10, len(known).bit_length() + 2)
+        freq = 1 + n * (size - len(known)) // max(1, n.sum())
+        freq[n.argmax()] += size - freq.sum()
+        head = x[:_LEARN]
+        pair, times = np.unique(head[:-1] * len(known) + head[1:], return_counts=True)
+        pair = pair[np.argsort(times, kind="stable")]  # the most frequent follower is written last
+        follower = np.zeros(len(known), np.int64)
+        follower[pair // len(known)] = pair % len(known)
+        return cls(known, freq, follower), x
+
+    def pack(self) -> bytes:
+        raw = self.known.astype("<u2").tobytes() + self.freq.astype("<u4").tobytes() + self.follower.astype("<u2").tobytes()
+        return zlib.compress(raw, 1)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Prior:
+        try:
+            raw = zlib.decompress(raw)
+        except zlib.error as e:
+            raise ValueError("header: not readable") from e
+        n = len(raw) // 8
+        return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n))
 
 
 class _Model:
-    """Prediction state of many blocks, one row each."""
-
-    def __init__(self, lanes: int):
-        n = lanes
-        self.first, self.sure1 = np.full(n * _S1, _NONE, np.uint16), np.zeros(n * _S1, np.uint8)
-        self.second, self.sure2 = np.full(n * _S2, _NONE, np.uint16), np.zeros(n * _S2, np.uint8)
-        self.by_sure = np.full((n * 32, 3), 1 / 3)
-        self.by_past = np.full((n * 9, 3), 1 / 3)
-        self.weight = np.full(n, 0.5)
-        self.past = np.zeros(n, np.int64)
-        self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.row1, self.row2 = np.arange(n) * _S1, np.arange(n) * _S2
-        self.row32, self.row9 = np.arange(n) * 32, np.arange(n) * 9
-        self.high = np.ones((n, 256))
-        self.low = np.ones((n * _GROUPS, 256))
-        self.step = 0
-        self.rebuild(0)
-
-    def rebuild(self, t: int) -> None:
-        for counts, name, every in ((self.high, "cum_high", _EVERY_HIGH), (self.low, "cum_low", _EVERY_LOW)):
-            if t % every:
-                continue
-            share = counts * ((_SIZE - 256) / counts.sum(1, keepdims=True))
-            freq = share.astype(np.int64) + 1
-            cum = np.zeros((len(freq), 257), np.int64)
-            np.cumsum(freq, axis=1, out=cum[:, 1:])
-            cum[:, 256] = _SIZE
-            setattr(self, name, cum.reshape(-1))
-
-    def predict(self, n: int):
-        """Candidates and the frequencies of the choice for the first n blocks."""
-        self.at1 = self.row1[:n] + ((self.prev1[:n] * 40503) >> 4 & (_S1 - 1))
-        self.at2 = self.row2[:n] + (((self.prev1[:n] * 40503 + self.prev2[:n] * 10007) >> 3) & (_S2 - 1))
-        one, two = self.first[self.at1], self.second[self.at2]
-        self.ctx = self.row32[:n] + self.sure2[self.at2] * 8 + (one == two) * 4 + self.sure1[self.at1]
-        self.ctx9 = self.row9[:n] + self.past[:n]
-        self.a, self.b = self.by_sure[self.ctx], self.by_past[self.ctx9]
-        w = self.weight[:n, None]
-        freq = ((w * self.a + (1 - w) * self.b) * (_SIZE - 3)).astype(np.int64) + 1
-        return one, two, freq
-
-    def update(self, n: int, ids: np.ndarray, choice: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        row = np.arange(n)
-        pa_, pb = self.a[row, choice], self.b[row, choice]
-        w = self.weight[:n]
-        w = w * pa_ / (w * pa_ + (1 - w) * pb)
-        self.weight[:n] = np.clip(0.02 + 0.96 * w, 0.02, 0.98)
-        self.a *= 1 - _RATE
-        self.a[row, choice] += _RATE
-        self.b *= 1 - _RATE
-        self.b[row, choice] += _RATE
-        self.by_sure[self.ctx], self.by_past[self.ctx9] = self.a, self.b
-        self.past[:n] = (self.past[:n] * 3 + choice) % 9
-        ids16 = ids.astype(np.uint16)
-        for table, sure, at, guess in ((self.first, self.sure1, self.at1, one), (self.second, self.sure2, self.at2, two)):
-            right = guess == ids16
-            s = sure[at]
-            table[at] = np.where(right | (s == 0), ids16, guess)
-            sure[at] = np.where(right, np.minimum(s + 1, 3), np.where(s > 0, s - 1, 0))
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
-        wrong = np.flatnonzero(choice == 2)
-        x = ids[wrong]
-        self.high.reshape(-1)[wrong * 256 + (x >> 8)] += 24
-        self.low.reshape(-1)[(wrong * _GROUPS + ((x >> 8) & (_GROUPS - 1))) * 256 + (x & 255)] += 24
-        self.step += 1
-        self.rebuild(self.step)
-
-
-def encode(ids: np.ndarray, block: int) -> tuple[list[bytes], list[int]]:
-    """(code words, CRC-32 of the ids) of each block."""
-    lanes = -(-len(ids) // block)
-    wide = np.zeros(lanes * block, np.int64)
-    wide[: len(ids)] = ids
+    """Prediction state of many blocks, one lane each; a lane knows nothing of the others."""
+
+    def __init__(self, prior: Prior, lanes: int):
+        self.follower = prior.follower
+        self.first = np.full(lanes * _SLOTS1, _NONE << 16, np.uint32)  # id before, id after
+        self.second = np.full(lanes * _SLOTS2, _NONE << 16, np.uint32)  # hash of the two ids before, id after
+        lane = np.arange(lanes)
+        self.row1, self.row2, self.row6 = lane * _SLOTS1, lane * _SLOTS2, lane * 6
+        # by context: whether order 1 was seen in the block; no order 2, it agrees, it differs
+        self.w1 = np.tile(np.array([0, 0, 12000] * 2), lanes)
+        self.w2 = np.tile(np.array([16000, 30000, 16000] * 2), lanes)
+        self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self):
+        """Guesses of order 1 and 2 and the weights of both and of order 0."""
+        p = self.before
+        self.at1 = self.row1 + (p & (_SLOTS1 - 1))
+        slot = self.first.take(self.at1).astype(np.int64)
+        seen = (slot >> 16) == p
+        one = np.where(seen, slot & _NONE, self.follower.take(p))
+        h = p * 40503 + self.earlier * 30011
+        self.at2 = self.row2 + ((h >> 4) & (_SLOTS2 - 1))
+        self.tag = h & _NONE
+        slot = self.second.take(self.at2).astype(np.int64)
+        known = (slot >> 16) == self.tag
+        two = np.where(known, slot & _NONE, one)
+        self.apart = one != two
+        at = self.row6 + seen * 3
+        at += known
+        at += self.apart
+        self.at, self.one, self.two = at, one, two
+        self.a, self.b = self.w1.take(at), self.w2.take(at)
+        u, v = self.a >> 8, self.b >> 8
+        return one, two, u, v, (1 << _WEIGHT_BITS) - u - v
+
+    def update(self, x: np.ndarray) -> None:
+        """Weights move towards the orders that were right; the tables take the id."""
+        self.w1[self.at] = self.a + ((((x == self.one) & self.apart) * _FULL - self.a) >> _RATE)
+        self.w2[self.at] = self.b + (((x == self.two) * _FULL - self.b) >> _RATE)
+        self.first[self.at1] = (self.before << 16) | x
+        self.second[self.at2] = (self.tag << 16) | x
+        self.earlier, self.before = self.before, x
+
+
+def encode(x: np.ndarray, prior: Prior, block: int) -> list[bytes]:
+    """Code words of each block of places in the prior."""
+    lanes = -(-len(x) // block)
+    wide = np.zeros(lanes * block, np.uint16)
+    wide[: len(x)] = x
     cols = np.ascontiguousarray(wide.reshape(lanes, block).T)
-    last = len(ids) - (lanes - 1) * block
-    m = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
-    room = 3 * block + 16
+    m, cum = _Model(prior, lanes), prior.cum
+    total = prior.bits + _WEIGHT_BITS
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _ALL)
+    room = 3 * block + 8
     out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-
-    def normalise(n):
-        live = np.arange(n)
-        while len(live):
-            l, r = low[live], rng[live]  # noqa: E741
-            same = (l ^ (l + r)) < _TOP
-            need = same | (r < _BOT)
-            live = live[need]
-            if not len(live):
-                return
-            l, r, same = l[need], r[need], same[need]  # noqa: E741
-            r = np.where(same, r, (~l + np.uint64(1)) & (_BOT - np.uint64(1)))
-            out[pos[live]] = (l >> _48).astype(np.uint16)
-            pos[live] += 1
-            low[live], rng[live] = l << _W, r << _W
-
-    def put(rows, start, freq):
-        r = rng[rows] >> _BITS
-        low[rows] += r * start.astype(np.uint64)
-        rng[rows] = r * freq.astype(np.uint64)
-
     for t in range(block):
-        n = lanes if t < last else lanes - 1
-        if not n:
-            break
-        x = cols[t, :n]
-        one, two, freq = m.predict(n)
-        choice = np.where(two == x, 0, np.where(one == x, 1, 2))
-        normalise(n)
-        f0, f1 = freq[:, 0], freq[:, 1]
-        start = np.where(choice == 0, 0, np.where(choice == 1, f0, f0 + f1))
-        size = np.where(choice == 2, _SIZE - f0 - f1, np.where(choice == 1, f1, f0))
-        put(slice(0, n), start, size)
-        rows = np.flatnonzero(choice == 2)
-        if len(rows):
-            hi, lo = x[rows] >> 8, x[rows] & 255
-            k = rows * 257 + hi
-            put(rows, m.cum_high[k], m.cum_high[k + 1] - m.cum_high[k])
-            k = (rows * _GROUPS + (hi & (_GROUPS - 1))) * 257 + lo
-            put(rows, m.cum_low[k], m.cum_low[k + 1] - m.cum_low[k])
-        m.update(n, x, choice, one, two)
-    for _ in range(4):
-        out[pos] = (low >> _48).astype(np.uint16)
+        s = cols[t].astype(np.int64)
+        one, two, u, v, w = m.predict()
+        start = w * cum.take(s) + (((one < s) * u + (two < s) * v) << prior.bits)
+        size = w * prior.freq.take(s) + (((one == s) * u + (two == s) * v) << prior.bits)
+        r = rng >> total
+        low += r * start
+        rng = r * size
+        carry = np.flatnonzero(low > _ALL)
+        if len(carry):
+            low[carry] &= _ALL
+            at = pos[carry] - 1
+            while len(at):
+                out[at] += 1
+                at = at[out[at] == 0] - 1
+        live = np.flatnonzero(rng < _RENORM)
+        while len(live):
+            part, at, wider = low[live], pos[live], rng[live] << 16
+            out[at] = part >> 32
+            pos[live], low[live], rng[live] = at + 1, (part & _LOW) << 16, wider
+            live = live[wider < _RENORM]
+        m.update(s)
+    for _ in range(3):
+        out[pos] = low >> 32
         pos += 1
-        low <<= _W
+        low = (low & _LOW) << 16
     begin = np.arange(lanes) * room
-    words = [out[a:b].astype("<u2").tobytes() for a, b in zip(begin, pos, strict=True)]
-    raw = ids.astype("<u4")
-    return words, [zlib.crc32(raw[i * block : (i + 1) * block].tobytes()) for i in range(lanes)]
-
-
-def _find(cum: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Symbol of a code value in rows of 256 cumulative frequencies."""
-    at = np.zeros(len(base), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (cum[base + at + step] <= value)
-    return at
+    return [out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), pos.tolist(), strict=True)]
 
 
-def decode(words: list[bytes], crcs: list[int], total: int, block: int) -> np.ndarray:
+def decode(words: list[bytes], prior: Prior, total_ids: int, block: int) -> np.ndarray:
+    """The ids of all blocks."""
     lanes = len(words)
-    last = total - (lanes - 1) * block
-    m = _Model(lanes)
+    m, cum, symbol = _Model(prior, lanes), prior.cum, prior.symbol
+    total = prior.bits + _WEIGHT_BITS
     size = np.array([len(w) // 2 for w in words], np.int64)
-    data = np.concatenate([np.frombuffer(b"".join(words), "<u2").astype(np.uint64), np.zeros(8, np.uint64)])
+    data = np.concatenate([np.frombuffer(b"".join(words), "<u2"), np.zeros(8, np.uint16)]).astype(np.int64)
     pos = np.cumsum(size) - size
-    low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1)), np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _W) | data[pos]
-        pos += 1
-    cols = np.zeros((block, lanes), np.int64)
-
-    def normalise(n):
-        live = np.arange(n)
-        while len(live):
-            l, r = low[live], rng[live]  # noqa: E741
-            same = (l ^ (l + r)) < _TOP
-            need = same | (r < _BOT)
-            live = live[need]
-            if not len(live):
-                return
-            l, r, same = l[need], r[need], same[need]  # noqa: E741
-            r = np.where(same, r, (~l + np.uint64(1)) & (_BOT - np.uint64(1)))
-            code[live] = (code[live] << _W) | data[np.minimum(pos[live], len(data) - 1)]
-            pos[live] += 1
-            low[live], rng[live] = l << _W, r << _W
-
-    def value(rows):
-        return np.minimum((code[rows] - low[rows]) // np.maximum(rng[rows] >> _BITS, np.uint64(1)), np.uint64(_SIZE - 1)).astype(np.int64)
-
-    def take(rows, start, freq):
-        r = rng[rows] >> _BITS
-        low[rows] += r * start.astype(np.uint64)
-        rng[rows] = r * freq.astype(np.uint64)
-
+    code = (data[pos] << 32) | (data[pos + 1] << 16) | data[pos + 2]
+    pos += 3
+    rng = np.full(lanes, _ALL)
+    cols = np.empty((block, lanes), np.uint16)
     for t in range(block):
-        n = lanes if t < last else lanes - 1
-        if not n:
-            break
-        one, two, freq = m.predict(n)
-        normalise(n)
-        f0, f1 = freq[:, 0], freq[:, 1]
-        v = value(slice(0, n))
-        choice = (v >= f0).astype(np.int64) + (v >= f0 + f1)
-        start = np.where(choice == 0, 0, np.where(choice == 1, f0, f0 + f1))
-        take(slice(0, n), start, np.where(choice == 2, _SIZE - f0 - f1, np.where(choice == 1, f1, f0)))
-        x = np.where(choice == 0, two, one).astype(np.int64)
-        rows = np.flatnonzero(choice == 2)
-        if len(rows):
-            base = rows * 257
-            hi = _find(m.cum_high, base, value(rows))
-            take(rows, m.cum_high[base + hi], m.cum_high[base + hi + 1] - m.cum_high[base + hi])
-            base = (rows * _GROUPS + (hi & (_GROUPS - 1))) * 257
-            lo = _find(m.cum_low, base, value(rows))
-            take(rows, m.cum_low[base + lo], m.cum_low[base + lo + 1] - m.cum_low[base + lo])
-            x[rows] = hi * 256 + lo
-        cols[t, :n] = x
-        m.update(n, x, choice, one, two)
-    ids = cols.T.reshape(-1)[:total].astype(np.uint32)
-    for i, crc in enumerate(crcs):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i}: checksum differs")
-    return ids
+        live = np.flatnonzero(rng < _RENORM)
+        while len(live):
+            at, wider = pos[live], rng[live] << 16
+            code[live] = (code[live] << 16) | data.take(at, mode="clip")
+            pos[live], rng[live] = at + 1, wider
+            live = live[wider < _RENORM]
+        one, two, u, v, w = m.predict()
+        # the guesses in ascending order cut the code range in five: order 0 around both, and both
+        lo, hi = np.minimum(one, two), np.maximum(one, two)
+        both, first = (u + v) << prior.bits, np.where(one < two, u, v) << prior.bits
+        a1, a2 = w * cum.take(lo), w * cum.take(hi) + first
+        b1, b2 = w * cum.take(lo + 1) + first, w * cum.take(hi + 1) + both
+        r = rng >> total
+        value = np.minimum(code // r, (1 << total) - 1)
+        past1, past2 = value >= b1, value >= b2
+        less = past1 * first + past2 * (both - first)
+        x = symbol.take((value - less) // w, mode="clip")
+        in1, in2 = (value >= a1) & ~past1, (value >= a2) & ~past2
+        x = np.where(in1, lo, np.where(in2, hi, x))
+        start = np.where(in1, a1, np.where(in2, a2, w * cum.take(x) + less))
+        end = np.where(in1, b1, np.where(in2, b2, w * cum.take(x + 1) + less))
+        code -= r * start
+        rng = r * (end - start)
+        cols[t] = x
+        m.update(x)
+    return prior.known.astype(np.uint16)[cols.T.reshape(-1)[:total_ids]].astype(np.uint32)
 
 
 # ---------------------------------------------------------------- segments
 
 
 def pack_segment(doc_id: np.ndarray, null: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> bytes:
-    """Header, documents (id, null, ids each), blocks (length, checksum), code words."""
+    """Header, documents (id, null, ids each), blocks (length, checksum), the prior, code words."""
     if len(ids) and int(ids.max()) >= _NONE:
         raise ValueError(f"ids reach {int(ids.max())}; the format holds ids below {_NONE}")
     block = int(min(BLOCK, max(LEAST_BLOCK, -(-len(ids) // LANES))))
-    words, crcs = encode(ids, block)
-    head = struct.pack("<6sIQIQ", MAGIC, len(doc_id), len(ids), block, len(words))
+    prior, x = Prior.of(ids)
+    words, held = encode(x, prior, block), prior.pack()
+    raw = memoryview(ids.astype("<u4").tobytes())
+    crcs = [zlib.crc32(raw[i * 4 * block : (i + 1) * 4 * block]) for i in range(len(words))]
+    head = struct.pack("<6sIQIQI", MAGIC, len(doc_id), len(ids), block, len(words), len(held))
     table = np.array([[len(w) for w in words], crcs], "<u4").tobytes()
-    return head + doc_id.astype("<i8").tobytes() + null.astype("u1").tobytes() + np.diff(bounds).astype("<i8").tobytes() + table + b"".join(words)
+    return b"".join([head, doc_id.astype("<i8").tobytes(), null.astype("u1").tobytes(), np.diff(bounds).astype("<i8").tobytes(), table, held, *words])
 
 
-def unpack_segment(raw: bytes):
-    """(doc ids, nulls, bounds, ids)."""
-    magic, docs, total, block, n = struct.unpack_from("<6sIQIQ", raw)
+def unpack_segment(raw: bytes, only: int | None = None):
+    """(doc ids, nulls, bounds, ids); with only, the ids of that block alone."""
+    magic, docs, total, block, n, prior_size = struct.unpack_from("<6sIQIQI", raw)
     if magic != MAGIC:
         raise ValueError("not a token-id segment")
-    at = struct.calcsize("<6sIQIQ")
+    at = struct.calcsize("<6sIQIQI")
 
     def take(kind, count):
         nonlocal at
@@ -283,20 +254,27 @@ def unpack_segment(raw: bytes):
 
     doc_id, null, size = take("<i8", docs), take("u1", docs).astype(bool), take("<i8", docs)
     length, crc = take("<u4", n), take("<u4", n)
-    edge = at + np.append(0, np.cumsum(length, dtype=np.int64))
-    words = [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return doc_id, null, np.append(0, np.cumsum(size)), decode(words, crc.tolist(), total, block)
+    prior = Prior.unpack(raw[at : at + prior_size])
+    edge = at + prior_size + np.append(0, np.cumsum(length, dtype=np.int64))
+    chosen = range(n) if only is None else [only]
+    words = [raw[edge[k] : edge[k + 1]] for k in chosen]
+    ids = decode(words, prior, total if only is None else min(block, total - only * block), block)
+    view = memoryview(ids.astype("<u4").tobytes())
+    for i, k in enumerate(chosen):
+        if zlib.crc32(view[i * 4 * block : (i + 1) * 4 * block]) != crc[k]:
+            raise ValueError(f"block {k}: checksum differs")
+    return doc_id, null, np.append(0, np.cumsum(size)), ids
 
 
 _FILE = "shard int, seq int, n_ids bigint, segment binary"
 
 
-def _write(end: int, path: str, drops_space: bool):
+def _write(end: int, path: str, drops_space: bool, marks: bool):
     def run(batches):
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
-        enc = T.encoder(path, drops_space)
+        enc = T.encoder(path, drops_space, marks)
         held: list = []
         size = 0
 
@@ -333,11 +311,15 @@ def _read(batches):
             yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard, np.int32)), "seq": pa.array(np.full(n, seq, np.int32)), "doc_id": C.nullable(doc_id, null), "before": bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crc, pa.int64())})
 
 
-def write(docs: DataFrame, end: int = END, path: str = VOCABULARY, drops_space: bool = False) -> DataFrame:
-    """The token file of all documents in ascending doc_id order, as a table in the shared folder."""
+def write(docs: DataFrame, end: int = END, path: str = VOCABULARY, drops_space: bool = False, marks: bool = True) -> DataFrame:
+    """The token file of all documents in ascending doc_id order, as a table in the shared folder.
+
+    marks: whether a special token's string in a text is that token, as in the library, or ordinary text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return C.materialize(ordered.mapInArrow(_write(end, path, drops_space), _FILE), "token-file", "none")
+    # rows of one id are ordered by text; ranges are cut by its hash too, so one id or null does not go to one task
+    place = rows.withColumn("th", F.xxhash64("text"))
+    ordered = place.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th", "text").drop("th")
+    return C.materialize(ordered.mapInArrow(_write(end, path, drops_space, marks), _FILE), "token-file", "none")
 
 
 def index(file: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
 """Whole-text encoding with a public tokenizer file, memoised by piece.
 
 Both tokenizers cut a text into pre-tokens and encode each by itself, so a text may be cut
-beforehand wherever no pre-token can cross: for the byte-level file before a single space that a
-non-space ASCII character or a byte of no Unicode space follows, for the word file at ASCII white
-space, which it drops.  The distinct pieces of a step are encoded by the tokenizers library and
-kept for later steps; ids of the texts are gathered from them.
+beforehand wherever no pre-token can cross: between an ASCII letter and an ASCII character that is
+none, with care at apostrophes and white space; for the byte-level file before a single space that
+a non-space follows, and after a single line feed; for the word file at ASCII white space, which
+it drops.  Distinct pieces are encoded once by the tokenizers library and kept for later steps:
+words of Latin letters by its model alone, as nothing can cut them, all others by its whole
+chain.  Ids of the texts are gathered from these.
+
+Texts that hold a special token's string are encoded whole by the library, as it cuts these
+strings out before anything else.  `marks=False` takes them as ordinary text instead.
 
 Two pieces count as one if two independent 64-bit hashes agree (odds 2**-128 a pair).
 """
@@ -12,22 +17,46 @@ Two pieces count as one if two independent 64-bit hashes agree (odds 2**-128 a p
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 from . import common as C
 
-#: Pieces that are kept between steps at most.
-KEEP = 1 << 20
-#: A special token of both files.  Added tokens are cut out before anything else, so pieces joined with it are encoded each by itself.
-MARK = "<|endoftext|>"
+#: Pieces that are kept between steps at most, and slots of their table (a power of two).
+KEEP, SLOTS = 1 << 20, 1 << 22
 #: Pieces in one call of the library.
 CALL = 4096
 
-_SPACE = ~C.GRAPHIC
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII that is neither letter nor apostrophe, white space or control.
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN &= ~_LETTER
+_SIGN[39] = False
+#: ASCII after which a letter's run is over.
+_OTHER = np.zeros(256, bool)
+_OTHER[:128] = ~_LETTER[:128]
 #: First bytes of the UTF-8 forms of Unicode white space.
 _MAYBE = np.zeros(256, bool)
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: What may follow a space or a line feed that begins or ends a piece.
+_VISIBLE = C.GRAPHIC & ~_MAYBE
+_VISIBLE[:32] = _VISIBLE[127] = False
+
+#: One pre-token of either file: Latin letters, after a space in the byte-level file.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256 and on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_ALPHABET = _visible_bytes()
+_SPACE = _ALPHABET[32]
 
 
 def vocabulary(name: str) -> str:
@@ -40,107 +69,183 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, marks: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
-        self.mark = self.tokenizer.token_to_id(MARK)
+        self.tokenizer.encode_special_tokens = not marks
+        self.model = self.tokenizer.model
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added))) if marks and added else None
         self.drops_space = drops_space
         self.reset()
 
     def reset(self) -> None:
-        self.key, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.n, self.used = 0, 0
+        self.key, self.second = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.int32)
+        self.slots = np.full(SLOTS, -1, np.int32)
 
-    def library(self, texts: list[str], marks: bool = False) -> list[list[int]]:
-        """Ids of texts by the tokenizers library; without marks, special tokens in a text are ordinary text."""
-        self.tokenizer.encode_special_tokens = not marks
+    def library(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts by the tokenizers library."""
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        if self.drops_space:
+            text = text.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_ALPHABET)
+        elif text[0] == " ":
+            text = _SPACE + text[1:]
+        return [t.id for t in self.model.tokenize(text)]
+
     def pieces(self, data: np.ndarray, off: np.ndarray):
         """(starts, ends, first piece of each document + total)."""
-        if self.drops_space:
-            return C.spans(data, off, C.GRAPHIC)
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
-            follows = data[1:]
-            cut[1:-2] = ((data[:-1] == 32) & C.GRAPHIC[follows] & ~_MAYBE[follows] & (follows > 31) & (follows != 127))[1:]
+            left, right = data[:-1], data[1:]
+            inner = (_LETTER[left] & _OTHER[right]) | (_SIGN[left] & _LETTER[right])
+            if not self.drops_space:
+                inner[:-1] |= ((left == 32) & _VISIBLE[right])[1:]
+                inner[1:] |= (left[1:] == 10) & _LETTER[right[1:]] & _VISIBLE[left[:-1]] & (left[:-1] < 128)
+            cut[1:-1] = inner
         cut[off] = True
         cut[-1] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
+        if self.drops_space:
+            keep = np.zeros(len(data), bool)
+            keep[starts] = True
+            inside = C.GRAPHIC[data]
+            keep[1:] |= inside[1:] & ~inside[:-1]
+            starts = np.flatnonzero(keep & inside)
+            stop = np.zeros(len(data) + 1, bool)
+            stop[ends] = True
+            stop[1:-1] |= inside[:-1] & ~inside[1:]
+            stop[1:] &= inside
+            ends = np.flatnonzero(stop)
         return starts, ends, np.searchsorted(starts, off)
 
     def encode(self, data: np.ndarray, off: np.ndarray):
         """(ids, id bounds of each document) for documents of one step."""
+        raw = data.tobytes()
+        if self.special is None or not (found := [m.start() for m in self.special.finditer(raw)]):
+            return self.memoised(data, off, raw)
+        # documents that hold a special token go to the library whole, the others between them as before
+        out, bounds, done = [], [np.zeros(1, np.int64)], 0
+        total = 0
+        for i in np.unique(np.searchsorted(off, found, "right") - 1).tolist():
+            for lo, hi, plain in ((done, i, False), (i, i + 1, True)):
+                if hi > lo:
+                    part = raw[off[lo] : off[hi]]
+                    ids, b = self.whole(part) if plain else self.memoised(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], part)
+                    out.append(ids)
+                    bounds.append(b[1:] + total)
+                    total += len(ids)
+            done = i + 1
+        if done < len(off) - 1:
+            ids, b = self.memoised(data[off[done] :], off[done:] - off[done], raw[off[done] :])
+            out.append(ids)
+            bounds.append(b[1:] + total)
+        return np.concatenate(out), np.concatenate(bounds)
+
+    def whole(self, text: bytes):
+        ids = np.array(self.library([text.decode("utf-8", "replace")])[0], np.int32)
+        return ids, np.array([0, len(ids)])
+
+    def memoised(self, data: np.ndarray, off: np.ndarray, raw: bytes):
         start, end, first = self.pieces(data, off)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         key, second = C.hash_spans(data, start, end, 11), C.hash_spans(data, start, end, 12)
-        distinct, one, of = np.unique(key, return_index=True, return_inverse=True)
-        if (second[one][of] != second).any():  # two pieces share a hash: no memo for this step
-            return self.plainly(data, off)
-        at = np.searchsorted(self.key, distinct)
-        known = at < len(self.key)
-        known[known] = self.key[at[known]] == distinct[known]
-        if (self.second[at[known]] != second[one][known]).any():
-            return self.plainly(data, off)
-        new = one[~known]
-        if len(new):
-            raw = data.tobytes()
+        place = self.find(key, second)
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            if self.n > KEEP:
+                self.reset()
+                miss = np.arange(len(key))
+            one = self.distinct(key[miss], second[miss])
+            new = miss[one[0]]
             texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            flat, size = self.each(texts)
-            self.learn(key[new], second[new], flat, size)
-            at = np.searchsorted(self.key, distinct)
-        place = at[of]
-        size = self.size[place].astype(np.int64)
+            place[miss] = self.learn(key[new], second[new], *self.each(texts))[one[1]]
+        size = self.size[place]
         bounds = np.append(0, np.cumsum(size))[first]
-        ids = self.ids[C.ragged(self.at[place], size)]
-        if len(self.key) > KEEP:
-            self.reset()
-        return ids, bounds
+        return self.ids[C.ragged(self.at[place], size)], bounds
+
+    @staticmethod
+    def distinct(key: np.ndarray, second: np.ndarray):
+        """(one row of each (key, second), which of these each row is)."""
+        order = np.lexsort((second, key))
+        k, s = key[order], second[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+        of = np.empty(len(key), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return order[new], of
+
+    def homes(self, key: np.ndarray, second: np.ndarray):
+        """The slots in which a piece may stand."""
+        low = np.uint64(SLOTS - 1)
+        return [(h & low).astype(np.int64) for h in (key, second, key >> np.uint64(32), second >> np.uint64(32))]
+
+    def find(self, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Place of each piece among the kept ones, else -1."""
+        out = np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        for home in self.homes(key, second):
+            if not len(left):
+                break
+            place = self.slots[home[left]]
+            # a slot of its own never empties, so an empty one ends the search
+            left, place = left[place >= 0], place[place >= 0]
+            same = (self.key[place] == key[left]) & (self.second[place] == second[left])
+            out[left[same]] = place[same]
+            left = left[~same]
+        return out
+
+    def learn(self, key, second, flat, size) -> np.ndarray:
+        """Keep new pieces; their places.  A piece that finds no slot is encoded again when it comes again."""
+        lo, hi = self.n, self.n + len(key)
+        while hi > len(self.key):
+            for name in ("key", "second", "at", "size"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.key[lo:hi], self.second[lo:hi], self.size[lo:hi] = key, second, size
+        self.at[lo:hi] = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.n, self.used = hi, self.used + len(flat)
+        place = np.arange(lo, hi)
+        left = place
+        for home in self.homes(key, second):
+            spot = home[left - lo]
+            free = self.slots[spot] < 0
+            self.slots[spot[free]] = left[free]  # of several the last one stays
+            left = left[self.slots[spot] != left]
+        return place
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each piece)."""
-        flat, sizes = [], []
-        for i in range(0, len(texts), CALL):
-            part = texts[i : i + CALL]
-            ids = None
-            if self.mark is not None and not any("<|" in x for x in part):
-                ids = np.array(self.library([MARK.join(part)], marks=True)[0], np.int32)
-                marks = np.flatnonzero(ids == self.mark)
-                size = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
-                ids = ids[ids != self.mark] if len(size) == len(part) else None
-            if ids is None:
-                each = self.library(part)
-                ids, size = np.array([k for x in each for k in x], np.int32), np.array([len(x) for x in each])
-            flat.append(ids)
-            sizes.append(size)
-        return np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
-
-    def learn(self, key, second, flat, size) -> None:
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, flat])
-        key, second = np.concatenate([self.key, key]), np.concatenate([self.second, second])
-        at, size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(key)
-        self.key, self.second, self.at, self.size = key[order], second[order], at[order].astype(np.int32), size[order].astype(np.int32)
-
-    def plainly(self, data, off):
-        raw = data.tobytes()
-        ids = self.library([raw[s:e].decode("utf-8", "replace") for s, e in zip(off[:-1], off[1:], strict=True)])
-        return np.array([i for x in ids for i in x], np.int32), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+        word = _WORD.fullmatch
+        made = [self.word(x) if word(x) else None for x in texts]
+        rest = [i for i, x in enumerate(made) if x is None]
+        for i in range(0, len(rest), CALL):
+            for k, x in zip(rest[i : i + CALL], self.library([texts[k] for k in rest[i : i + CALL]]), strict=True):
+                made[k] = x
+        return np.array([k for x in made for k in x], np.int32), np.array([len(x) for x in made], np.int64)
 
 
 _encoders: dict = {}
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, marks: bool = True) -> Encoder:
     """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, drops_space)
-    return _encoders[path]
+    if (path, marks) not in _encoders:
+        _encoders[path, marks] = Encoder(path, drops_space, marks)
+    return _encoders[path, marks]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int):
