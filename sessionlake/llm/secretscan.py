@@ -11,6 +11,9 @@ classes, so longest and greedy matches agree.
 Many texts advance side by side, one byte of each a step, and the last few long texts of a batch
 go on by themselves, so a very long text costs a plain loop and no padding.
 
+A match is read once forward, up to where its rule can match no more, so a text costs time in
+proportion to its length.
+
 Defined cases: null is the empty text; null ids are kept; repeated rows are scanned like others.
 """
 
@@ -260,7 +263,9 @@ class Scanner:
 
     @staticmethod
     def plain(d: Dfa):
-        return d.table[:, d.classes].tolist(), (d.bits > 0).tolist()
+        """(moves by byte, whether a state accepts, whether a match can still come)."""
+        stuck = (d.table == np.arange(len(d.table))[:, None]).all(1) & (d.bits == 0)
+        return d.table[:, d.classes].tolist(), (d.bits > 0).tolist(), (~stuck).tolist()
 
     def marks(self, data: np.ndarray, off: np.ndarray):
         """(text, byte position in it, rule bits) of every position where a match starts."""
@@ -272,7 +277,7 @@ class Scanner:
         limit = d.accepting * self.width
         found, t, active = [], 0, int((size > 0).sum())
         few = min(self.FEW, len(order))
-        until = int(size[few - 1]) if active >= few and few else 0
+        until = int(size[few - 1]) if active >= self.FEW else 0
         # sizes descend, so the texts still active at step t are a prefix
         ends = np.searchsorted(-size, -np.arange(until + 1), "left") if until else np.zeros(1, np.int64)
         while t < until:
@@ -303,13 +308,14 @@ class Scanner:
 
     @staticmethod
     def longest(dfa, text: bytes, start: int) -> int:
-        table, accepts = dfa
+        """End of the longest match from start, else -1; reading ends where no match can come any more."""
+        table, accepts, alive = dfa
         s, end = 0, -1
         for p in range(start, len(text)):
             s = table[s][text[p]]
             if accepts[s]:
                 end = p + 1
-            elif s == 0 and p > start:
+            elif not alive[s]:
                 break
         return end
 
