@@ -3,14 +3,19 @@
 Confirmed toxic documents (P) and unlabelled text (U) train a linear classifier under the
 class-prior-corrected risk  pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]);  when the
 corrected negative part goes below zero its gradient is reversed, which keeps the estimate
-non-negative.  The prior is the share of toxic rows among the labelled training rows.
-
-Inputs of a score are the text alone: the presence of whole words and of 4-byte pieces of words,
-the at most `features` significantly more frequent in P than in U by documents, and LIFT times
-as frequent as in the negatives, by the prior-corrected frequency of U.
-
-The fit uses at most `positives` + `unlabelled` documents, the ones with the smallest id hashes
-in the training folds (documented bounds); the model (at most `features` keys) is what the
+non-negative.  The prior is the share of toxic rows among the labelled training rows, or less where
+the most significant keys are rarer in U than that share of P explains.
+
+Inputs of a score are the text alone: the presence of whole words, of beginnings of words (5 to 8
+bytes, so inflected forms of a rare stem count together) and of 4-byte pieces of words, and whether
+a text is dense with them (twice at least, and once in `DENSE` words); the at most `features` keys
+of these significantly more frequent in P than in U by documents, and LIFT times as frequent as
+in the negatives, by the prior-corrected frequency of U.  These frequencies in U are those of all
+documents of the training folds: the keys that occur in `AGREE` positives or more, at most
+`CANDIDATES`, are counted in one pass over them.
+
+The gradient steps use at most `positives` + `unlabelled` documents, the ones with the smallest id
+hashes in the training folds (documented bounds); the model (at most `features` keys) is what the
 executors get.  Every whole text is scored; nothing is shuffled for that.
 
 Defined cases: null or empty texts score as a text without features; a null toxic label is no
@@ -31,11 +36,19 @@ from . import common as C
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 POSITIVES, UNLABELLED, FEATURES, PIECE = 4096, 12288, 2048, 4
+#: Bytes of a word's beginnings; positives that must agree on a key, and keys that are counted in all documents at most.
+BEGINNINGS, AGREE, CANDIDATES = (5, 6, 7, 8), 3, 1 << 18
+#: Words of a text for each occurrence of a key that the text is dense with.
+DENSE = 200
+#: The most significant keys, whose frequencies in U and P bound the prior in U.
+TELLING = 32
 #: Standard deviations by which a feature's document frequency in P must exceed that in U.
 SIGNIFICANT = 6.0
 #: Times the frequency in the others at least, which is that in U less the prior's share of that in P.
 LIFT = 5.0
 _BLOOM = 20
+#: The bit that is set in plain keys and clear in those of dense texts.
+DENSELY = np.uint64(1)
 
 
 @dataclass
@@ -48,8 +61,6 @@ class Model:
     def __post_init__(self):
         self.order = np.argsort(self.keys)
         self.sorted = self.keys[self.order]
-        self.bloom = np.zeros(1 << _BLOOM, bool)
-        self.bloom[self.keys >> np.uint64(64 - _BLOOM)] = True
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = np.full(len(off) - 1, float(self.bias))
@@ -60,19 +71,40 @@ class Model:
 
     def present(self, data, off):
         """Distinct (feature, document) pairs."""
-        keys, doc = features(data, off)
-        hit = self.bloom[keys >> np.uint64(64 - _BLOOM)]
-        keys, doc = keys[hit], doc[hit]
-        if not len(self.sorted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
-        ok = self.sorted[at] == keys
-        pair = np.unique(doc[ok] * np.int64(len(self.sorted)) + at[ok])
-        return self.order[pair % len(self.sorted)], pair // len(self.sorted)
+        key, doc = held(data, off, self.sorted)
+        return self.order[key], doc
+
+
+def held(data, off, keys: np.ndarray):
+    """(place in the ascending keys, document) of every key that a document holds, by documents.
+
+    A key's upper form, one bit flipped, stands for a document that is dense with it."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, doc, words = features(data, off)
+    plain = np.unique(keys | DENSELY)
+    bloom = np.zeros(1 << _BLOOM, bool)
+    bloom[plain >> np.uint64(64 - _BLOOM)] = True
+    hit = np.flatnonzero(bloom[found >> np.uint64(64 - _BLOOM)])
+    found, doc = found[hit], doc[hit]
+    at = np.minimum(np.searchsorted(plain, found), len(plain) - 1)
+    ok = plain[at] == found
+    pair, n = np.unique(doc[ok] * np.int64(len(plain)) + at[ok], return_counts=True)
+    doc, found = pair // len(plain), plain[pair % len(plain)]
+    dense = dense_with(n, words[doc])
+    found, doc = np.append(found, found[dense] ^ DENSELY), np.append(doc, doc[dense])
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    ok = np.flatnonzero(keys[at] == found)
+    ok = ok[np.argsort(doc[ok], kind="stable")]
+    return at[ok], doc[ok]
+
+
+def dense_with(n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (n >= 2) & (n * DENSE >= words)
 
 
 def features(data: np.ndarray, off: np.ndarray):
-    """(key, document) of every word and every PIECE-byte piece inside a word, lower-cased."""
+    """(key, document) of every word, its beginnings and every PIECE-byte piece inside it, lower-cased; words of each document."""
     low = C.LOWER[data]
     start, end, first = C.spans(low, off, C.ALNUM)
     words = C.hash_spans(low, start, end, 3)
@@ -82,19 +114,40 @@ def features(data: np.ndarray, off: np.ndarray):
     for k in range(PIECE):
         packed = (packed << np.uint64(8)) | low[at + k]
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return np.concatenate([words, C.mix(packed + np.uint64(1 << 40))]), np.concatenate([doc, np.repeat(doc, size)])
+    keys, docs = [words, C.mix(packed + np.uint64(1 << 40))], [doc, np.repeat(doc, size)]
+    for n in BEGINNINGS:
+        long = np.flatnonzero(end - start > n)
+        keys.append(C.hash_spans(low, start[long], start[long] + n, 20 + n))
+        docs.append(doc[long])
+    return np.concatenate(keys) | DENSELY, np.concatenate(docs), np.diff(first)
 
 
-def _frequencies(batches):
+def _agreed(batches):
+    """(key, documents) of all keys, plain and dense."""
     for b in batches:
-        kind = np.asarray(b.column(0))
-        data, off = C.buffers(b.column(1))
+        data, off = C.buffers(b.column(0))
         for i, j in C.steps(off):
-            keys, doc = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            keys, doc, words = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             key, at = np.unique(keys, return_inverse=True)
-            pair = np.unique(doc * np.int64(len(key) + 1) + at)
-            of, at = kind[i:j][pair // (len(key) + 1)], pair % (len(key) + 1)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "p": np.bincount(at[of == 1], minlength=len(key)), "u": np.bincount(at[of == 0], minlength=len(key))})
+            pair, n = np.unique(doc * np.int64(len(key) + 1) + at, return_counts=True)
+            doc, at = pair // (len(key) + 1), pair % (len(key) + 1)
+            dense = np.bincount(at[dense_with(n, words[doc])], minlength=len(key))
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate([key, key ^ DENSELY]).view(np.int64), "n": np.concatenate([np.bincount(at, minlength=len(key)), dense])})
+
+
+def _frequencies(candidates: np.ndarray):
+    """(candidate, documents that hold it): one row for each in a task."""
+
+    def run(batches):
+        total = np.zeros(len(candidates), np.int64)
+        for b in batches:
+            data, off = C.buffers(b.column(0))
+            for i, j in C.steps(off):
+                total += np.bincount(held(data[off[i] : off[j]], off[i : j + 1] - off[i], candidates)[0], minlength=len(candidates))
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"key": candidates[total > 0].view(np.int64), "n": total[total > 0]})
+
+    return run
 
 
 def _rows(model: Model):
@@ -108,7 +161,7 @@ def _rows(model: Model):
     return run
 
 
-def nnpu(p: list[np.ndarray], u: list[np.ndarray], n: int, prior: float, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu(p: list[np.ndarray], u: list[np.ndarray], n: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk, logistic loss; p, u: feature indices of each document."""
     flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p, u)]
     row = [np.repeat(np.arange(len(x)), [len(i) for i in x]) for x in (p, u)]
@@ -136,6 +189,7 @@ def nnpu(p: list[np.ndarray], u: list[np.ndarray], n: int, prior: float, epochs:
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
+    """A model learnt from the training folds of docs and labels."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(C.fold("doc_id", FOLDS) != HELD)
     marks = labels.where("toxic is not null and doc_id is not null").where(C.fold("doc_id", FOLDS) != HELD).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -148,20 +202,32 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     sample = docs.join(F.broadcast(ids), "doc_id").select("kind", "text")  # ids: positives + unlabelled rows at most
     sample = C.materialize(sample, "sample-text")
     size = {r.kind: r.n for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    p, u = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
-    seen = sample.mapInArrow(_frequencies, "key bigint, p bigint, u bigint").groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    r = (F.col("u") + 1) / (u + 2)
-    z = (F.col("p") - p * r) / F.sqrt(p * r * (1 - r))
+    p, u = max(size.get(1, 0), 1), max(docs.count(), 1)
+    count = F.sum("n").alias("n")
+    ours = sample.where("kind = 1").select("text").mapInArrow(_agreed, "key bigint, n bigint").groupBy("key").agg(count)
+    ours = ours.where(F.col("n") >= AGREE).orderBy(F.desc("n"), "key").limit(CANDIDATES).toArrow()
+    keys, own = np.asarray(ours["key"]).view(np.uint64), np.asarray(ours["n"]).astype(float)
+    order = np.argsort(keys)
+    keys, own = keys[order], own[order]
+    seen = docs.select("text").mapInArrow(_frequencies(keys), "key bigint, n bigint").groupBy("key").agg(count).toArrow()  # at most CANDIDATES rows
+    everywhere = np.zeros(len(keys))
+    everywhere[np.searchsorted(keys, np.asarray(seen["key"]).view(np.uint64))] = np.asarray(seen["n"])
+    r = (everywhere + 1) / (u + 2)
+    z = (own - p * r) / np.sqrt(p * r * (1 - r))
     # r holds prior * (P's rate) of toxic documents; the rest is the negatives'
-    others = (r - prior * F.col("p") / p) / (1 - prior)
-    top = seen.where(F.col("p") >= 3).where((z >= SIGNIFICANT) & (F.col("p") >= LIFT * p * others)).orderBy(z.desc(), "key").limit(features).select("key").collect()
-    model = Model(np.array([x.key for x in top], np.int64).view(np.uint64), np.zeros(len(top)), np.log(prior / (1 - prior)), prior)
-    if not size.get(1) or not size.get(0) or not top:
+    others = (r - prior * own / p) / (1 - prior)
+    good = np.flatnonzero((z >= SIGNIFICANT) & (own >= LIFT * p * others))
+    top = keys[good[np.lexsort((keys[good], -z[good]))][:features]]
+    model = Model(top, np.zeros(len(top)), np.log(prior / (1 - prior)), prior)
+    if not size.get(1) or not size.get(0) or not len(top):
         return model
     rows = sample.mapInArrow(_rows(model), "kind int, x array<int>").toArrow()
     kind = np.asarray(rows["kind"])
     x = [np.asarray(i.values, np.int64) for i in rows["x"]]
-    w, b = nnpu([x[i] for i in np.flatnonzero(kind == 1)], [x[i] for i in np.flatnonzero(kind == 0)], len(top), prior, decay=0.2 / p)
+    # U may hold fewer toxic documents than the labelled rows: keys that others hardly use tell its prior
+    tell = np.searchsorted(keys, top[:TELLING])
+    prior = min(prior, max(0.001, r[tell].sum() / (own[tell] / p).sum()))
+    w, b = nnpu([x[i] for i in np.flatnonzero(kind == 1)], [x[i] for i in np.flatnonzero(kind == 0)], len(top), prior, decay=0.05 / p)
     return Model(model.keys, w, b, prior)
 
 
