@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, jaccard, linededup, packing, rabitq, secretscan, suffixtree, tokenfile, toxicity, urltree
+from . import decontam, jaccard, linededup, oracles, packing, rabitq, secretscan, suffixtree, tokenfile, toxicity, urltree
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(C.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_deleted"), F.col("__empty").alias("emptied"), "text")
+    return linededup.dedup(C.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "emptied", "text")
 
 
 def op4_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +58,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def check_unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express, rounded as sums of logarithms are."""
+    return op5_suffix_tree(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def check_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that the rules alone decide."""
+    out = op4_url_tree(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_decontamination, op2_secret_scan, op3_line_dedup, op4_url_tree, op5_suffix_tree, op6_toxicity, op7_token_file, op8_near_vectors, op9_jaccard_join, op10_packing, pipeline]
+    made = [op1_decontamination, op2_secret_scan, op3_line_dedup, op4_url_tree, op5_suffix_tree, op6_toxicity, op7_token_file, op8_near_vectors, op9_jaccard_join, op10_packing, pipeline, check_unigram_base, check_url_rules]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
