@@ -6,6 +6,10 @@ ASCII-only, so cutting the bytes gives the same words as cutting the code points
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,18 +25,47 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_llm_dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a folder of our own, on a local master only."""
+    conf = spark.sparkContext.getConf()
+    where = conf.get("spark.checkpoint.dir") or getattr(spark, "_llm_dir", None)
     if not where:
-        where = spark._llm_dir = "file://" + tempfile.mkdtemp(prefix="llm-")
+        master = conf.get("spark.master") or ""
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors share (master {master!r})")
+        made = tempfile.mkdtemp(prefix="llm-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        where = spark._llm_dir = "file://" + made
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Executions inside delete their shuffle files when they end, as their results are written tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete what `materialize` wrote, or paths, once nothing reads it any more."""
+    for x in tables:
+        path, session = (x, spark) if isinstance(x, str) else (x._written, x.sparkSession)
+        where = session._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

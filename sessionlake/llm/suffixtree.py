@@ -1,24 +1,28 @@
 """LM scoring with a probabilistic suffix tree over tokens.
 
-Symbols are the lower-cased white-space tokens and one end mark; the root's distribution is the
+Symbols are the lower-cased white-space tokens and one end mark.  The root's distribution is the
 add-half unigram over the V training types and one class of unknown tokens, which is the base
-score.  A context is a suffix of the tokens before a place; it is kept where it tells more than
-its parent, the next shorter suffix:
-
-- it occurs at least `LEAST` times in training, and one symbol followed it each time (contexts
-  whose followers vary need whole distributions; they are left to their parent);
-- twice its count times the Kullback-Leibler divergence from the parent, here the log of the
-  follower's inverse parent probability, passes `TEST`;
-- its distribution is smoothed towards the parent's with Witten-Bell weight: n + 1 observations,
-  of which one is spread like the parent's.
-
-A place is scored from its longest kept suffix.  The state of a context is three numbers (count,
-least and greatest 32-bit hash of its followers) that add up in any order, so the tree is built
-by one aggregation and never gathered: it is joined back to the blocks that ask for it.
-
-Documents are kept as blocks with the distinct tokens of each.  Only (token, block) rows are
-shuffled, bucketed by hash, so a token is one row per block however many documents hold it.
-Tokens are told apart by 64-bit hashes.
+score.  A context is the one to `DEPTH` tokens before a place; with n its occurrences in training
+and n_x those that x follows, it is kept as a state where
+
+- n is at least `LEAST`, and
+- what its followers diverge from its parent (the context without its first token) pays for
+  naming them: sum over followers seen twice or more of
+  n_x log((n_x / n) / (m_x / m)) - log(1 / root(x)) is at least `GAIN` nats, with m_x, m the
+  parent's counts (the root's distribution for one token).  The first part is n times the
+  followers' share of the Kullback-Leibler divergence.
+
+A state's next-symbol distribution is discounted and smoothed towards the next shorter state's:
+P(x) = max(n_x - DISCOUNT, 0) / n for followers seen twice or more, and all mass that is left,
+which is that of followers seen once and of the discounts, is spread like the shorter state's
+distribution.  A place is scored from its longest kept state.
+
+Documents become blocks of token sequences, written once, bucketed by block.  All numbers come
+from exchanges: each block sends its distinct n-grams (64-bit hashes) with its own counts,
+bucketed by hash, and gets their sums back; so an n-gram is one row of a block however often it
+occurs, and no context is gathered anywhere.  An n-gram is sent only if its two shorter parts
+occur twice (its own count is known otherwise).  Three exchanges count 1 to DEPTH + 1 tokens, a
+last one adds up what each context's followers gain.
 
 Defined cases: null text is empty (its end alone); null ids count as training documents; repeated
 rows count each; without training documents all counts are 0.
@@ -27,186 +31,289 @@ rows count each; without training documents all counts are 0.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 FOLDS, HELD = 5, 1
-LEAST, TEST = 2, 20.0
-#: Bytes of a block, and (token, block) rows of a bucket, about.
-BLOCK_BYTES, BUCKET = 12 << 20, 1 << 19
-#: Share of the training tokens from which a type's own probability enters the divergence test; there are at most 1 / COMMON.
-COMMON = 1e-4
+DEPTH, LEAST, GAIN, DISCOUNT = 2, 2, 3.0, 0.5
+#: Bytes of a block, n-grams of blocks that a bucket gathers, and files of blocks at most.
+BLOCK_BYTES, BUCKET, FILES = 6 << 20, 1 << 19, 50_000
 
 _U = np.uint64
-_BLOCKS = "part int, block int, documents bigint, doc_id binary, nulls binary, held binary, size binary, seq binary, token binary, train binary, low binary, high binary"
+#: The end mark; as a hash it is one of 2**64.
+END = _U(0x51ED2701A9B4C3D7)
+_M = _U(0x9E3779B97F4A7C15)
+_BLOCKS = "bid bigint, n_docs bigint, n_places bigint, doc_id binary, nulls binary, held binary, size binary, seq binary, token binary"
 _NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
-END = 0x7FFFFFFF
 
 
-def short(token: np.ndarray) -> np.ndarray:
-    """31-bit hashes of followers."""
-    return (token >> _U(33)).astype(np.int64)
+def pack_keys(key: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte planes apart, so that compression finds the high bytes' zeros."""
+    return C.blob(np.diff(key, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T)
 
 
-def _followers(token: np.ndarray, of: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Short hash of the symbol after each place."""
-    out = np.full(len(of), END, np.int64)
-    if len(of) > 1:
-        same = doc[1:] == doc[:-1]
-        out[:-1][same] = short(token)[of[1:][same]]
-    return out
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
+def expand(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
+def pack_values(x: np.ndarray) -> bytes:
+    """Numbers that are mostly small or zero."""
+    return squeeze(C.blob(x.view(np.uint8).reshape(-1, x.itemsize).T))
+
+
+def unpack_values(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(expand(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _blocks(batches):
-    """Blocks of whole documents: each document's tokens as places in the block's ascending distinct tokens, and training counts and followers of these."""
+    """Blocks of whole documents: each document's symbols as places in the block's ascending distinct symbols."""
     from pyspark import TaskContext
 
-    part, n = TaskContext.get().partitionId(), 0
+    bid = TaskContext.get().partitionId() << 32
     for b in batches:
         ids, null = C.int64s(b.column(0))
         held = np.asarray(b.column(2))
         data, off = C.buffers(b.column(1))
         for i, j in C.steps(off, BLOCK_BYTES):
             words, bounds = C.word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], C.GRAPHIC, 9)
-            token, of = np.unique(words, return_inverse=True)
-            size = np.diff(bounds)
-            doc = np.repeat(np.arange(j - i), size)
-            follower = _followers(token, of, doc)
-            own = np.flatnonzero(~held[i:j][doc])
-            train = np.bincount(of[own], minlength=len(token))
-            own = own[np.argsort(of[own], kind="stable")]
-            first = np.flatnonzero(np.append(True, of[own][1:] != of[own][:-1])) if len(own) else np.zeros(0, np.int64)
-            low, high = np.full(len(token), END + 1), np.full(len(token), -1)
-            if len(own):
-                low[of[own][first]] = np.minimum.reduceat(follower[own], first)
-                high[of[own][first]] = np.maximum.reduceat(follower[own], first)
-            made = [ids[i:j], null[i:j], held[i:j], size, of.astype(np.int32), token, train.astype(np.int32), low.astype(np.int64), high.astype(np.int64)]
-            head = {"part": pa.array([part], pa.int32()), "block": pa.array([n], pa.int32()), "documents": pa.array([int((~held[i:j]).sum())], pa.int64())}
-            yield pa.RecordBatch.from_pydict(head | {k: pa.array([C.blob(x)], pa.binary()) for k, x in zip(_NAMES[3:], made, strict=True)})
-            n += 1
-
-
-_PAIRS = "bucket int, part int, block int, h binary, n binary, low binary, high binary"
-
-
-def _buckets(bits: int):
-    kinds = {"token": np.uint64, "train": np.int32, "low": np.int64, "high": np.int64}
+            size = np.diff(bounds) + 1
+            last = np.cumsum(size) - 1
+            symbols = np.full(len(words) + j - i, END)
+            inner = np.ones(len(symbols), bool)
+            inner[last] = False
+            symbols[inner] = words
+            token, of = np.unique(symbols, return_inverse=True)
+            made = [squeeze(C.blob(x)) for x in (ids[i:j], null[i:j], held[i:j], size)] + [pack_values(of.astype(np.int32)), squeeze(pack_keys(token))]
+            yield pa.RecordBatch.from_pydict({"bid": pa.array([bid]), "n_docs": pa.array([j - i]), "n_places": pa.array([len(of)])} | {k: pa.array([x], pa.binary()) for k, x in zip(_NAMES[3:], made, strict=True)})
+            bid += 1
+
+
+class Block:
+    """One block's places, and the counts of its n-grams as far as they are known."""
+
+    def __init__(self, row: dict):
+        of = lambda c, t: np.frombuffer(expand(row[c]), t)
+        self.doc_id, self.nulls, self.held, self.size = of("doc_id", np.int64), of("nulls", bool), of("held", bool), of("size", np.int64)
+        self.seq = unpack_values(row["seq"], np.int32)
+        self.token = unpack_keys(expand(row["token"]))
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.train = ~self.held[self.doc]
+        #: Place within the document.
+        self.at = np.arange(len(self.seq)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.grams = [self.token[self.seq]]
+        #: Training counts of the n-gram that ends at each place, for n = 1, 2, ...
+        self.counts: list[np.ndarray] = []
+
+    def gram(self, n: int) -> np.ndarray:
+        """Hash of the n-gram that ends at each place (for places with n - 1 before them)."""
+        while len(self.grams) < n:
+            last, out = self.grams[-1], np.zeros(len(self.seq), np.uint64)
+            out[1:] = C.mix(last[:-1] * _M + self.grams[0][1:] + _U(len(self.grams)))
+            self.grams.append(out)
+        return self.grams[n - 1]
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """x of the place before."""
+        return np.concatenate([x[:1] * 0, x[:-1]])
+
+    def asked(self, n: int) -> np.ndarray:
+        """Places whose n-gram's count does not follow from shorter ones."""
+        if n == 1:
+            return np.arange(len(self.seq))
+        own, head = self.counts[n - 2], self.before(self.counts[n - 2])
+        return np.flatnonzero((self.at >= n - 1) & (head >= 2) & (own >= np.where(self.train, 2, 1)))
+
+    def keys(self, n: int):
+        """(distinct n-grams asked for, which of them each asked place holds, the places)."""
+        place = self.asked(n)
+        if n == 1:
+            return self.token, self.seq, place
+        key, of = np.unique(self.gram(n)[place], return_inverse=True)
+        return key, of, place
+
+    def ask(self, n: int):
+        """Distinct n-grams and their training counts in this block."""
+        key, of, place = self.keys(n)
+        return key, [np.bincount(of[self.train[place]], minlength=len(key)).astype(np.int32)]
+
+    def learn(self, n: int, total: np.ndarray) -> None:
+        """Take the sums of what ask sent."""
+        _, of, place = self.keys(n)
+        out = np.where(self.train & (self.at >= n - 1), 1, 0)
+        out[place] = total[of]
+        self.counts.append(out)
+
+    def contexts(self, depth: int):
+        """(places, distinct contexts, context of each place) where a context of `depth` tokens may be a state."""
+        place = np.flatnonzero((self.at >= depth) & (self.before(self.counts[depth - 1]) >= LEAST))
+        key, of = np.unique(self.gram(depth)[place - 1], return_inverse=True)
+        return place, key, of
+
+    def root(self, whole: float) -> np.ndarray:
+        return (self.counts[0] + 0.5) / whole
+
+    def gains(self, depth_most: int, whole: float):
+        """Contexts of all lengths with what their followers in this block gain, and n_x - DISCOUNT over them."""
+        keys, gain, mass = [], [], []
+        root = self.root(whole)
+        for d in range(1, depth_most + 1):
+            place, key, of = self.contexts(d)
+            own, n = self.counts[d][place], self.counts[d - 1][place - 1]
+            told = self.train[place] & (own >= 2)
+            place, of, own, n = place[told], of[told], own[told], n[told]
+            parent = root[place] if d == 1 else self.counts[d - 1][place] / self.counts[d - 2][place - 1]
+            # each of a follower's n_x occurrences brings its share of the costs
+            bits = np.log(own / n / parent) + np.log(root[place]) / own
+            keys.append(C.mix(key + _U(d)))
+            gain.append(np.bincount(of, bits, len(key)))
+            mass.append(np.bincount(of, 1 - DISCOUNT / own, len(key)))
+        keys, gain, mass = np.concatenate(keys), np.concatenate(gain), np.concatenate(mass)
+        order = np.argsort(keys)
+        return keys[order], [gain[order].astype(np.float32), mass[order].astype(np.float32)], order
+
+    def score(self, depth_most: int, whole: float, mass: np.ndarray):
+        """(base, score) of each document; mass: of contexts as `gains` sorts them, 0 for those that are no states."""
+        root = self.root(whole)
+        p, order = root.copy(), self.gains(depth_most, whole)[2]
+        own = np.empty(len(order))
+        own[order] = mass
+        at = 0
+        for d in range(1, depth_most + 1):
+            place, key, of = self.contexts(d)
+            held = own[at : at + len(key)][of]
+            at += len(key)
+            place, held = place[held > 0], held[held > 0]
+            n, follows = self.counts[d - 1][place - 1], self.counts[d][place]
+            p[place] = np.where(follows >= 2, follows - DISCOUNT, 0) / n + (1 - held / n) * p[place]
+        sums = lambda x: np.bincount(self.doc, np.log10(x), len(self.size))
+        return sums(root), sums(p)
+
+
+#: What an exchange sends: sorted keys and the values of each.
+_SENT = "bucket int, bid bigint, key binary, x binary, y binary"
+_BACK = "bucket int, bid bigint, x binary, distinct bigint, total bigint"
+
+
+def _rows(batch):
+    """The rows of a batch, one at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _known(row: dict, lists: list, kinds: int) -> Block:
+    """A block with the counts that earlier exchanges returned."""
+    block = Block(row)
+    for n in range(1, kinds + 1):
+        block.learn(n, np.concatenate([np.zeros(0, np.int64), *(unpack_values(x["x"], np.int64) for x in lists[n - 1] or [])]))
+    return block
+
+
+def _send(n: int, bits: int, whole: float, depth: int):
+    """Blobs of keys and values for each bucket; n = 0 sends gains."""
 
     def run(batches):
         for b in batches:
-            for part, block, *cols in zip(*(b[c].to_pylist() for c in ("part", "block", *kinds)), strict=True):
-                token, *rest = (np.frombuffer(x, t) for x, t in zip(cols, kinds.values(), strict=True))
-                edge = np.searchsorted(token >> _U(64 - bits), np.arange((1 << bits) + 1))  # tokens ascend
+            for row in _rows(b):
+                block = _known(row, [row.get(f"l{k}") for k in range(1, depth + 2)], n - 1 if n else depth + 1)
+                key, values = block.ask(n) if n else block.gains(depth, whole)[:2]
+                edge = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
                 k = np.flatnonzero(np.diff(edge))
-                out = {"bucket": pa.array(k.astype(np.int32)), "part": pa.array(np.full(len(k), part, np.int32)), "block": pa.array(np.full(len(k), block, np.int32))}
-                for name, x in zip(("h", "n", "low", "high"), (token, *rest), strict=True):
-                    x = x if name in "hn" else x.astype(np.uint32)  # END + 1 and -1 stay apart from all hashes
-                    out[name] = pa.array([C.blob(x[edge[y] : edge[y + 1]]) for y in k], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                part = lambda x: pa.array([pack_values(x[edge[y] : edge[y + 1]]) for y in k], pa.binary())  # noqa: B023, E731
+                packed = pa.array([pack_keys(key[edge[y] : edge[y + 1]]) for y in k], pa.binary())
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(k.astype(np.int32)), "bid": pa.array(np.full(len(k), row["bid"])), "key": packed, "x": part(values[0]), "y": part(values[1] if len(values) > 1 else values[0][:0])})
 
     return run
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Over all blocks: counts and only follower (else -1) for every block's tokens of one bucket."""
-    h = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-    flat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-    n, low, high = flat("n", np.int32), flat("low", np.uint32).astype(np.int64), flat("high", np.uint32).astype(np.int64)
-    low, high = np.where(n > 0, low, END + 1), np.where(n > 0, high, -1)
-    token, of = np.unique(np.concatenate(h), return_inverse=True)
-    total = np.bincount(of, n, len(token)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    first = np.searchsorted(of[order], np.arange(len(token)))
-    low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-    only = np.where((low == high) & (total >= LEAST), low, -1).astype(np.int32)
-    edge = np.cumsum([0, *map(len, h)])
-    parts = list(zip(edge[:-1], edge[1:], strict=True))
-    big = np.argsort(-total, kind="stable")[: int(1 / COMMON)]
-    rest = [b""] * (len(h) - 1)
-    return pa.table({
-        "bucket": table["bucket"], "part": table["part"], "block": table["block"],
-        "n": pa.array([C.blob(total[of[x:y]]) for x, y in parts], pa.binary()), "only": pa.array([C.blob(only[of[x:y]]) for x, y in parts], pa.binary()),
-        "known": pa.array([int((total > 0).sum())] + [0] * (len(h) - 1), pa.int64()), "words": pa.array([int(total.sum())] + [0] * (len(h) - 1), pa.int64()),
-        "big": pa.array([C.blob(short(token)[big])] + rest, pa.binary()), "big_n": pa.array([C.blob(total[big])] + rest, pa.binary()),
-    })
-
-
-_COUNTED = "bucket int, part int, block int, n binary, only binary, known bigint, words bigint, big binary, big_n binary"
-
-
-def _common(least: int):
-    def run(batches):
-        for b in batches:
-            for h, n in zip(b["big"].to_pylist(), b["big_n"].to_pylist(), strict=True):
-                h, n = np.frombuffer(h, np.int64), np.frombuffer(n, np.int64)
-                yield pa.RecordBatch.from_pydict({"h": h[n >= least], "n": n[n >= least]})
-
-    return run
 
+def _answer(counting: bool):
+    """One bucket: sums over all blocks, in each block's order."""
 
-_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bid")
+        keys = [unpack_keys(x) for x in table["key"].to_pylist()]
+        flat = lambda c, t: np.concatenate([unpack_values(x, t) for x in table[c].to_pylist()])
+        key, of = np.unique(np.concatenate(keys), return_inverse=True)
+        if counting:
+            sums = back = np.bincount(of, flat("x", np.int32), len(key)).astype(np.int64)
+        else:
+            sums = np.bincount(of, flat("x", np.float32), len(key))
+            back = np.where(sums >= GAIN, np.bincount(of, flat("y", np.float32), len(key)), 0).astype(np.float32)
+        edge = np.cumsum([0, *map(len, keys)])
+        rest = [0] * (len(keys) - 1)
+        return pa.table({
+            "bucket": table["bucket"], "bid": table["bid"], "x": pa.array([pack_values(back[of[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
+            "distinct": pa.array([int((sums > 0).sum()), *rest], pa.int64()), "total": pa.array([int(sums.sum()), *rest], pa.int64()),
+        })
 
+    return run
 
-def kept(count: np.ndarray, only: np.ndarray, common_hash: np.ndarray, common_p: np.ndarray, rest_p: float) -> np.ndarray:
-    """Which contexts pass the divergence test; followers that are not common have at most rest_p."""
-    p = np.full(len(only), rest_p)
-    if len(common_hash):
-        at = np.minimum(np.searchsorted(common_hash, only), len(common_hash) - 1)
-        p = np.where(common_hash[at] == only, common_p[at], p)
-    return (only >= 0) & (2 * count * -np.log(p) >= TEST)
 
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-def _scored(train_tokens: int, distinct: int, documents: int, common_hash: np.ndarray, common_p: np.ndarray):
-    whole = train_tokens + 0.5 * (distinct + 1)
 
+def _scored(depth: int, whole: float, train_tokens: int):
     def run(batches):
         for b in batches:
-            r = b.to_pydict()
-            for k in range(b.num_rows):
-                of = lambda c, t: np.frombuffer(r[c][k], t)  # noqa: B023, E731
-                lists = r["lists"][k] or []
-                flat = lambda c, t: np.concatenate([np.frombuffer(x[c], t) for x in lists]) if lists else np.zeros(0, t)  # noqa: B023, E731
-                count, only = flat("n", np.int64), flat("only", np.int32).astype(np.int64)
-                seq, size, token = of("seq", np.int32), of("size", np.int64), of("token", np.uint64)
-                doc = np.repeat(np.arange(len(size)), size)
-                root = (count + 0.5) / whole
-                end = (documents + 0.5) / whole
-                base = np.bincount(doc, np.log10(root)[seq], len(size)) + math.log10(end)
-                # the place after each token: its symbol's root probability, raised or lowered where the token is a kept context
-                follower = _followers(token, seq, doc)
-                p = np.full(len(seq), end)
-                inner = np.flatnonzero(doc[1:] == doc[:-1])
-                p[inner] = root[seq[inner + 1]]
-                holds = kept(count, only, common_hash, common_p, COMMON)[seq]
-                n = count[seq]
-                better = np.where(holds, (n * (only[seq] == follower) + p) / (n + 1), p)
-                score = base + np.bincount(doc, np.log10(better) - np.log10(p), len(size))
-                known = np.bincount(doc, count[seq] > 0, len(size)).astype(np.int64) + (documents > 0)
-                yield pa.RecordBatch.from_pydict({"doc_id": C.nullable(of("doc_id", np.int64), of("nulls", bool)), "held_out": of("held", bool), "n_tokens": size + 1, "n_known": known, "train_tokens": pa.array(np.full(len(size), train_tokens)), "base_score": base, "score": score})
+            for row in _rows(b):
+                block = _known(row, [row[f"l{k}"] for k in range(1, depth + 2)], depth + 1)
+                mass = np.concatenate([np.zeros(0, np.float32), *(unpack_values(x["x"], np.float32) for x in row["l0"] or [])])
+                base, score = block.score(depth, whole, mass)
+                known = np.bincount(block.doc, block.counts[0] > 0, len(block.size)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"doc_id": C.nullable(block.doc_id, block.nulls), "held_out": block.held, "n_tokens": block.size, "n_known": known, "train_tokens": np.full(len(known), train_tokens), "base_score": base, "score": score})
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; held-out documents teach nothing."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (C.fold("doc_id", FOLDS) == HELD).alias("held"))
-    blocks = C.materialize(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
-    size, train = blocks.agg(F.sum(F.length("token")), F.sum("documents")).first()
-    size, train = size or 0, train or 0
-    bits = max(8, int(size // 8 // BUCKET).bit_length())
-    pairs = blocks.select("part", "block", "token", "train", "low", "high").mapInArrow(_buckets(bits), _PAIRS)
-    counted = C.materialize(pairs.groupBy("bucket").applyInArrow(_counted, _COUNTED), "counts")
-    known, words = counted.agg(F.sum("known"), F.sum("words")).first()
-    distinct, words = (known or 0) + (train > 0), (words or 0) + train
-    whole = words + 0.5 * (distinct + 1)
-    got = counted.select("big", "big_n").mapInArrow(_common(math.ceil(COMMON * whole)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()  # at most 1 / COMMON rows
-    h, n = np.append(np.asarray(got["h"]), END), np.append(np.asarray(got["n"]), train)
-    order = np.argsort(h)
-    lists = counted.groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "only"))).alias("lists"))  # one block's distinct tokens
-    full = blocks.select("part", "block", "doc_id", "nulls", "held", "size", "seq", "token").join(lists, ["part", "block"], "left")
-    return full.mapInArrow(_scored(words, distinct, train, h[order], (n[order] + 0.5) / whole), _SCORES)
+    made = C.materialize(rows.mapInArrow(_blocks, _BLOCKS), "blocks", "none")
+    n_blocks, places = made.agg(F.count("*"), F.sum("n_places")).first()
+    if not n_blocks:
+        return spark.createDataFrame([], _SCORES)
+    # blocks lie bucketed, so that what comes back to them moves and they do not
+    table = f"suffix_blocks_{uuid.uuid4().hex}"
+    files = min(FILES, n_blocks)
+    with C.tidy(spark):
+        made.repartition(files, "bid").write.bucketBy(files, "bid").option("path", f"{C.shared_dir(spark)}/{table}").option("compression", "none").saveAsTable(table)
+    C.remove(made)
+    blocks, lists, whole, train = spark.table(table), {}, 0.0, 0
+    bits = max(4, int(places // BUCKET).bit_length())
+    for n in [*range(1, depth + 2), 0]:
+        sent = _joined(blocks, lists, files).mapInArrow(_send(n, bits, whole, depth), _SENT)
+        back = C.materialize(sent.groupBy("bucket").applyInArrow(_answer(n > 0), _BACK), "counts")
+        lists[n] = back
+        if n == 1:
+            distinct, train = back.agg(F.sum("distinct"), F.sum("total")).first()
+            whole = train + 0.5 * (distinct + 1)
+    out = C.materialize(_joined(blocks, lists, files).mapInArrow(_scored(depth, whole, train), _SCORES), "scores")
+    spark.sql(f"DROP TABLE {table}")
+    C.remove(f"{C.shared_dir(spark)}/{table}", *lists.values(), spark=spark)
+    return out
+
+
+def _joined(blocks: DataFrame, lists: dict, files: int) -> DataFrame:
+    """Blocks with what came back to each, as columns l1, l2, ... (counts) and l0 (masses)."""
+    out = blocks
+    for n, back in lists.items():  # dealt like the blocks' buckets
+        own = back.repartition(files, "bid").groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("bucket", "x"))).alias(f"l{n}"))  # one block's own n-grams
+        out = out.hint("merge").join(own.hint("merge"), "bid", "left")
+    return out
