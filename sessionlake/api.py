@@ -19,6 +19,8 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import derive as D
 from .operators import handoff as H
+from .operators import outcomes as N
+from .operators import patterns as P
 from .operators import recall as Q
 from .operators import refinery as Y
 from .operators import roles as G
@@ -90,10 +92,10 @@ class Corpus:
     def stats(self) -> dict[str, DataFrame]:
         t = self.turns()
         rows = U.usage(t, "project", "provider", "harness")
-        return {"providers": U.usage(t, "provider", "harness"), "projects": U.top(rows, 30, F.desc("sessions"), F.desc("uncached_tokens"), F.col("project"), F.col("provider"), F.col("harness"))}
+        return {"providers": U.usage(t, "provider", "harness"), "projects": U.top(rows, 30, F.desc("sessions"), F.desc("reported_total_tokens"), F.col("project"), F.col("provider"), F.col("harness"))}
 
     def models(self) -> DataFrame:
-        return U.top(U.usage(self.turns(), "project", "harness", "model"), 30, F.desc("sessions"), F.col("project"), F.col("harness"), F.col("model"))
+        return U.top(U.usage(self.turns(), "project", "harness", "model"), 30, F.desc("sessions"), F.desc("reported_total_tokens"), F.col("project"), F.col("harness"), F.col("model"))
 
     def tokens(self) -> DataFrame:
         return U.usage(self.turns(), "provider", "harness")
@@ -101,14 +103,14 @@ class Corpus:
     def usage_time(self, bucket: str = "month", limit: int = 60) -> DataFrame:
         form = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}[bucket]
         rows = U.usage(self.turns(), U.period(form), "harness", "model")
-        return U.top(rows, limit, F.desc("period"), F.desc("uncached_tokens"), F.col("harness"), F.col("model"))
+        return U.top(rows, limit, F.desc("period"), F.desc("reported_total_tokens"), F.col("harness"), F.col("model"))
 
     def tools(self, limit: int = 30) -> DataFrame:
         t = self.turns().withColumn("tool", F.explode("tools"))
         return U.top(U.tools(t, "harness"), limit, F.desc("calls"), F.col("harness"), F.col("tool"))
 
     def lengths(self) -> DataFrame:
-        return U.lengths(self.turns()).orderBy("least")
+        return U.lengths(U.sessions(self.turns())).orderBy("least")
 
     def projects(self, limit: int = 50) -> DataFrame:
         g = U.sessions(self.turns()).groupBy("project").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.min("started").alias("first"), F.max("ended").alias("last"))
@@ -144,8 +146,8 @@ class Corpus:
 
     # ------------------------------------------------------------ recall
 
-    def search(self, query: str, limit: int = 20, mode: str = "and", roles_only: bool = False, domains_: list[str] | None = None) -> DataFrame:
-        """Ranked turns with a snippet.  Scores use all turns ever ingested; only current ones are returned."""
+    def search(self, query: str, limit: int = 20, mode: str = "and", roles_only: bool = False, domains_: list[str] | None = None, words: int = 28) -> DataFrame:
+        """Ranked turns with a snippet of at most `words` tokens around the hits.  Scores use all turns ever ingested; only current ones are returned."""
         c, t = C.current(self.spark, self.root)
         live = C.turns_view(c, t)
         every = self.spark.read.parquet(f"{self.root}/corpus/turns").select("source_path", "content_hash", "idx", F.coalesce("content", F.lit("")).alias("content")).dropDuplicates(["source_path", "content_hash", "idx"])
@@ -158,7 +160,8 @@ class Corpus:
             keep = keep & F.col("domain").isin(domains_)
         hits = S.search(rows, query, limit, mode=mode, keep=keep, order=("content_hash", "idx"))
         uri = X.pointer(F.col("content_hash"), F.col("idx"))
-        return hits.select(F.col("content_hash").alias("conv_id"), "id", "idx", "role", "project", "harness", "model", "ended_at", "score", X.snippet(F.col("content")).alias("snippet"), uri.alias("uri"))
+        hits = S.snippets(hits, query, words, mode=mode)
+        return hits.select(F.col("content_hash").alias("conv_id"), "id", "idx", "role", "project", "harness", "model", "ended_at", "score", "snippet", uri.alias("uri"))
 
     def policy_search(self, query: str, limit: int = 8, wanted: list[str] | None = None) -> dict:
         """Search of the domains that the policy allows; a caller may only narrow them."""
@@ -238,7 +241,7 @@ class Corpus:
     def semantic(self, query: str, limit: int = 10, candidates: int = 40, scorer: Q.Scorer = Q.overlap, name: str = "overlap") -> dict:
         """Hits ranked by a scorer; the default is local term overlap, not a language model."""
         wanted = max(limit, min(50, candidates))
-        hits = Q.selected(_rows(self.search(Q.quoted(_concrete(query)), min(200, wanted * 4), mode="or", roles_only=True)), wanted)
+        hits = Q.selected(_rows(self.search(Q.quoted(_concrete(query)), min(200, wanted * 4), mode="or", roles_only=True, words=80)), wanted)
         if not hits:
             return {"hits": [], "candidates": 0, "cached": False}
         by = {f"c{i}": h for i, h in enumerate(hits)}
@@ -289,16 +292,36 @@ class Corpus:
         return G.inferred(self.turns())
 
     def workflow_evolution(self) -> DataFrame:
-        return W.grouped(W.events(self.turns()))
+        """Workflow events, with their lineage and evidence."""
+        t = self.turns()
+        return W.grouped(W.events(t), G.inferred(t))
 
-    def workflow_outcomes(self, radius_s: int = 14 * 86400) -> DataFrame:
+    def workflow_summary(self) -> dict:
         t = self.turns()
-        return W.windows(W.grouped(W.events(t)), U.sessions(t), radius_s)
+        groups = self.workflow_evolution()
+        latest = groups.where(F.col("kind") == R.KINDS[0]).orderBy(F.desc("at_s"), F.desc("id")).first()
+        return {r["measure"]: r["n"] for r in W.summary(t, W.events(t), groups).collect()} | {"approval_gate": latest.asDict(True) if latest else None}
+
+    def workflow_outcomes(self) -> DataFrame:
+        """What was observed around each event."""
+        return N.comparisons(self.workflow_evolution(), N.observations(self.turns()))
+
+    def workflow_token_changes(self) -> DataFrame:
+        return N.token_changes(self.workflow_evolution(), N.observations(self.turns()))
 
     def workflow_patterns(self) -> DataFrame:
-        x = self.workflow_evolution().where("signals != ''").withColumn("signal", F.explode(F.split("signals", "\\|")))
-        g = x.groupBy("kind", "signal").agg(F.countDistinct("conv_id").alias("episodes"), F.countDistinct("day").alias("days"), F.countDistinct("statement").alias("formulations"), F.sum("collapsed").alias("collapsed"), F.min("at_s").alias("first"), F.max("at_s").alias("last"))
-        return g.where("episodes >= 3 AND days >= 2")
+        return P.patterns(self.workflow_evolution(), self.workflow_outcomes())
+
+    def workflow_pattern(self, id: str) -> dict:
+        """A pattern with its examples and timeline."""
+        row = self.workflow_patterns().where(F.col("id") == id).first()
+        if row is None:
+            raise LookupError(f"pattern not found: {id}")
+        own = F.lit(True)
+        for k in P.KEY:
+            own = own & (F.col(k) == row[k])
+        groups = self.workflow_evolution()
+        return row.asDict() | {"examples": _rows(P.examples(groups).where(own).orderBy("slot")), "timeline": _rows(P.timeline(groups).where(own).orderBy("at_s", "id"))}
 
     def bridge(self, identifier: str, mode: str = "history", path: str | None = None) -> dict:
         """Write a session file for another harness; its receipt."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import rules as R
 
 SPACES = R.java(r"\s+")
+NEVER = r"\A(?!)"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -15,10 +16,17 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """All redaction rules in their fixed order."""
-    for pattern, marker in R.REDACTIONS:
-        text = F.regexp_replace(text, F.lit(R.java(pattern)), F.lit(marker))
-    return text
+    """All redaction rules in their fixed order.
+
+    A rule whose hints the text lacks gets a pattern that fails at once; markers never add a hint that matters, as
+    they follow an underscore and the rules begin at a word."""
+    low, out = F.lower(text), text
+    for (pattern, marker), hints in zip(R.REDACTIONS, R.REDACTION_HINTS, strict=True):
+        may = F.contains(low, F.lit(hints[0]))
+        for h in hints[1:]:
+            may = may | F.contains(low, F.lit(h))
+        out = F.regexp_replace(out, F.when(may, F.lit(R.java(pattern))).otherwise(F.lit(NEVER)), F.lit(marker))
+    return out
 
 
 def trim(text: Column) -> Column:
@@ -26,8 +34,9 @@ def trim(text: Column) -> Column:
 
 
 def snippet(text: Column, length: int = 220) -> Column:
-    clean = trim(F.regexp_replace(redact(text), SPACES, " "))
-    return F.when(F.length(clean) > length, F.concat(F.substring(clean, 1, length - 1), F.lit("…"))).otherwise(clean)
+    clean = F.array(trim(F.regexp_replace(redact(text), SPACES, " ")))
+    # inside transform the text is made once, however often it is named
+    return F.transform(clean, lambda c: F.when(F.length(c) > length, F.concat(F.substring(c, 1, length - 1), F.lit("…"))).otherwise(c))[0]
 
 
 def terms(text: Column, n: int = 12) -> Column:

@@ -79,12 +79,31 @@ def told(turns: DataFrame) -> DataFrame:
     return own.select("conv_id", "idx", "signal", cut).unionByName(gates(turns).select("conv_id", "idx", F.col("result").alias("signal"), cut))
 
 
-def outcomes(turns: DataFrame) -> DataFrame:
-    """status per conversation: the later of success and failure; mixed when both are within 5 turns; unknown without either."""
-    g = told(turns).groupBy("conv_id").agg(F.max(F.when(F.col("signal") == "success", F.col("idx"))).alias("good"), F.max(F.when(F.col("signal") == "failure", F.col("idx"))).alias("bad"))
+def observed(turns: DataFrame) -> DataFrame:
+    """status, problems, known and failed attempts of each conversation, in one pass over its turns.
+
+    status: the later of success and failure; mixed when both are within 5 turns; unknown without either."""
+    last = lambda hit, n: hit & (F.count(F.when(hit, 1)).over(Window.partitionBy("conv_id").orderBy(F.desc("idx"))) <= LAST[n])
+    m = marked(turns).withColumns({"next": F.coalesce(F.lead("signal").over(_order()), F.lit("unknown")), "result": gate_result()})
+    m = m.withColumns({
+        "own": last((F.col("role") == "assistant") & (F.col("signal") != "unknown"), "signals"),
+        "gated": last(F.col("gate") & (F.col("result") != "unknown"), "gates"),
+        "tried": last((F.col("role") == "assistant") & F.col("tool").isNotNull(), "attempts"),
+        "problem": last(F.col("problem"), "problems"),
+    })
+    newest = lambda kind: F.max(F.when((F.col("own") & (F.col("signal") == kind)) | (F.col("gated") & (F.col("result") == kind)), F.col("idx")))
+    g = m.groupBy("conv_id").agg(
+        newest("success").alias("good"), newest("failure").alias("bad"), F.count_if("problem").alias("problems"),
+        F.count_if(F.col("tried") & (F.col("next") != "unknown")).alias("known"), F.count_if(F.col("tried") & (F.col("next") == "failure")).alias("failed"),
+    )
     both = F.col("good").isNotNull() & F.col("bad").isNotNull()
     status = F.when(both & (F.abs(F.col("good") - F.col("bad")) <= 5), "mixed").when(F.col("bad").isNull() & F.col("good").isNull(), "unknown").when(F.col("bad").isNull() | (F.col("good") > F.col("bad")), "success").otherwise("failure")
-    return turns.select("conv_id").distinct().join(g, "conv_id", "left").select("conv_id", status.alias("status"))
+    return g.select("conv_id", status.alias("status"), "problems", "known", "failed")
+
+
+def outcomes(turns: DataFrame) -> DataFrame:
+    """status per conversation."""
+    return observed(turns).select("conv_id", "status")
 
 
 def outcome_evidence(turns: DataFrame, n: int = 6) -> DataFrame:

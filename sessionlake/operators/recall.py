@@ -45,7 +45,7 @@ def selected(hits: list[dict], wanted: int) -> list[dict]:
     """The first `wanted` hits in rank order: at most two of a conversation, no text twice."""
     out, per, seen = [], {}, set()
     for h in hits:
-        text = re.sub(r"\s+", " ", h["snippet"]).strip()[:240]
+        text = re.sub(r"\s+", " ", re.sub(r"[\[\]]", "", h["snippet"])).strip()[:240]
         if text in seen or per.get(h["conv_id"], 0) >= 2:
             continue
         seen.add(text)

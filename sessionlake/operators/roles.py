@@ -93,8 +93,8 @@ def profiles(turns: DataFrame) -> DataFrame:
     g = said.join(sure, "conv_id").groupBy("agent").agg(F.count("*").alias("choices"), F.count_if(F.col("pole") == "autonomy-grant").alias("autonomy"))
     p = s.join(g, "agent", "left").na.fill(0, ["choices", "autonomy"])
     low, high = X.wilson(F.col("autonomy"), F.col("choices"))
-    zero = F.lit(0.0)
-    return p.select(F.col("agent").alias("role"), "sessions", "choices", "autonomy", F.round(F.coalesce(F.greatest(low, zero), zero), 6).alias("low"), F.round(F.coalesce(F.least(high, F.lit(1.0)), zero), 6).alias("high"))
+    bounded = lambda x: F.round(F.when(F.col("choices") > 0, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(0.0), 6)
+    return p.select(F.col("agent").alias("role"), "sessions", "choices", "autonomy", bounded(low).alias("low"), bounded(high).alias("high"))
 
 
 def distinguishable(profiles: DataFrame, least: int = 15, apart: float = 0.1) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import active as A
 from ..operators import derive as D
+from ..operators import outcomes as N
+from ..operators import patterns as P
 from ..operators import rollups as U
 from ..operators import refinery as Y
 from ..operators import roles as G
@@ -28,19 +30,24 @@ def _q(text: str) -> str:
 
 
 _LIST = "[" + ", ".join(map(_q, V.PHRASES)) + "]"
-_T = f"""WITH t AS (SELECT conv_id, turn AS idx, role, text || ' ' || {_LIST}[(conv_id * 7 + turn * 3) % {len(V.PHRASES)} + 1] AS content,
+_COUNTED = "role = 'assistant' AND (conv_id + turn) % 11 <> 0"
+_PHRASE = f"{_LIST}[(CASE WHEN conv_id % 6 IN (0, 3) THEN (conv_id // 6) * 5 + turn * 3 ELSE conv_id * 7 + turn * 3 END) % {len(V.PHRASES)} + 1]"
+_T = f"""WITH t AS (SELECT conv_id, turn AS idx, role, CASE WHEN conv_id % 6 IN (0, 3) THEN {_PHRASE} ELSE text || ' ' || {_PHRASE} END AS content,
  ['claude-code', 'codex', 'pi'][conv_id % 3 + 1] AS harness, ['anthropic', 'openai', 'local'][conv_id % 3 + 1] AS provider,
- '/project-' || (conv_id % 7) AS project, 'model-' || (conv_id % 4) AS model, ['coding', 'personal', '', 'research', 'coding'][conv_id % 5 + 1] AS domain,
- 1704067200 + conv_id * 25200 + turn * 300 AS at_s,
- CASE WHEN role = 'assistant' AND (conv_id + turn) % 11 <> 0 THEN length(text) * 2 + conv_id % 50 END AS t_in,
- CASE WHEN role = 'assistant' AND (conv_id + turn) % 11 <> 0 THEN length(text) + turn END AS t_out,
- CASE WHEN role = 'assistant' AND (conv_id + turn) % 11 <> 0 THEN (length(text) * 3) % 97 END AS t_cached,
+ '/project-' || (CASE WHEN conv_id % 6 IN (0, 3) AND conv_id // 6 % 2 = 0 THEN conv_id // 6 % 7 WHEN conv_id % 6 IN (1, 2, 5) THEN 3 ELSE conv_id % 7 END) AS project, 'model-' || (conv_id % 4) AS model, ['coding', 'personal', '', 'research', 'coding'][conv_id % 5 + 1] AS domain,
+ 1704067200 + CASE WHEN conv_id % 6 = 3 THEN (conv_id - 3) * 25200 + 7200 ELSE conv_id * 25200 END + turn * 300 AS at_s, CASE WHEN conv_id % 6 IN (0, 3) THEN 'r' || (conv_id // 6) END AS resume_id,
+ CASE WHEN {_COUNTED} THEN length(text) * 2 + conv_id % 50 END AS t_in,
+ CASE WHEN {_COUNTED} THEN length(text) + turn END AS t_out,
+ CASE WHEN {_COUNTED} THEN (length(text) * 3) % 97 END AS t_cached,
+ CASE WHEN {_COUNTED} AND conv_id % 3 = 0 THEN length(text) % 53 END AS t_write,
+ CASE WHEN {_COUNTED} AND conv_id % 4 <> 0 THEN length(text) * 3 + conv_id % 50 + turn + (length(text) * 3) % 97 END AS t_total,
  CASE WHEN role = 'assistant' AND (conv_id * 31 + turn) % 6 <> 5 THEN ['exec', 'edit', 'read', 'websearch', 'browser', ''][(conv_id * 31 + turn) % 6 + 1] END AS tool
  FROM conversations)"""
 _S = _T + """, s AS (SELECT conv_id, harness, provider, project, model, domain, count(*) AS turns, min(at_s) AS started, max(at_s) AS ended,
- coalesce(sum(t_in), 0) AS t_in, coalesce(sum(t_out), 0) AS t_out, coalesce(sum(t_cached), 0) AS t_cached FROM t GROUP BY ALL),
+ coalesce(sum(t_in), 0) AS t_in, coalesce(sum(t_out), 0) AS t_out, coalesce(sum(t_cached), 0) AS t_cached, coalesce(sum(t_write), 0) AS t_write, coalesce(sum(t_total), 0) AS t_total FROM t GROUP BY ALL),
  u AS (SELECT *, CASE WHEN harness = 'codex' THEN greatest(t_in - t_cached, 0) + t_out ELSE t_in + t_out END AS un FROM s)"""
-_SUMS = "count(*) AS sessions, sum(turns)::BIGINT AS turns, sum(t_in)::BIGINT AS input_tokens, sum(t_out)::BIGINT AS output_tokens, sum(t_cached)::BIGINT AS cached_tokens, sum(un)::BIGINT AS uncached_tokens"
+_SUMS = """count(*) AS sessions, sum(turns)::BIGINT AS turns, sum(t_in)::BIGINT AS input_tokens, sum(t_out)::BIGINT AS output_tokens, sum(un)::BIGINT AS non_cached_tokens,
+ sum(t_cached)::BIGINT AS cache_read_tokens, sum(t_write)::BIGINT AS cache_write_tokens, sum(t_cached + t_write)::BIGINT AS cached_tokens, sum(t_total)::BIGINT AS reported_total_tokens"""
 
 
 def query(sql: str | None = None):
@@ -71,14 +78,14 @@ def usage_by_day(spark, sf):
     return U.usage(V.turns(spark, sf), U.period("yyyy-MM-dd"), "harness", "model")
 
 
-@query(f"{_S} SELECT project, harness, model, {_SUMS} FROM u GROUP BY ALL ORDER BY sessions DESC, project, harness, model LIMIT 30")
+@query(f"{_S} SELECT project, harness, model, {_SUMS} FROM u GROUP BY ALL ORDER BY sessions DESC, reported_total_tokens DESC, project, harness, model LIMIT 30")
 def model_usage(spark, sf):
-    return U.top(U.usage(V.turns(spark, sf), "project", "harness", "model"), 30, F.desc("sessions"), F.col("project"), F.col("harness"), F.col("model"))
+    return U.top(U.usage(V.turns(spark, sf), "project", "harness", "model"), 30, F.desc("sessions"), F.desc("reported_total_tokens"), F.col("project"), F.col("harness"), F.col("model"))
 
 
-@query(f"{_S} SELECT project, provider, harness, {_SUMS} FROM u GROUP BY ALL ORDER BY sessions DESC, uncached_tokens DESC, project, provider, harness LIMIT 30")
+@query(f"{_S} SELECT project, provider, harness, {_SUMS} FROM u GROUP BY ALL ORDER BY sessions DESC, reported_total_tokens DESC, project, provider, harness LIMIT 30")
 def project_stats(spark, sf):
-    return U.top(U.usage(V.turns(spark, sf), "project", "provider", "harness"), 30, F.desc("sessions"), F.desc("uncached_tokens"), F.col("project"), F.col("provider"), F.col("harness"))
+    return U.top(U.usage(V.turns(spark, sf), "project", "provider", "harness"), 30, F.desc("sessions"), F.desc("reported_total_tokens"), F.col("project"), F.col("provider"), F.col("harness"))
 
 
 @query(f"{_T} SELECT harness, tool, count(*) AS calls, count(DISTINCT conv_id) AS sessions FROM t WHERE tool IS NOT NULL AND role = 'assistant' GROUP BY ALL")
@@ -91,9 +98,13 @@ def tool_frequency_all_roles(spark, sf):
     return U.tools(V.turns(spark, sf), assistant_only=False)
 
 
-@query(f"{_S} SELECT CASE WHEN turns <= 2 THEN '1-2' WHEN turns <= 4 THEN '3-4' WHEN turns <= 6 THEN '5-6' ELSE '7+' END AS bucket, count(*) AS sessions, floor(avg(turns) * 10 + 0.5) / 10 AS average, min(turns) AS least, max(turns) AS most FROM s GROUP BY 1")
+@query(f"""{_S}, n AS (SELECT CASE WHEN conv_id % 13 = 5 THEN 0 WHEN conv_id % 29 = 1 THEN turns * 400 WHEN conv_id % 11 = 2 THEN turns * 60 WHEN conv_id % 5 = 3 THEN turns * 20 WHEN conv_id % 7 = 4 THEN turns * 8 ELSE turns END AS turns FROM s)
+ SELECT CASE WHEN turns = 0 THEN '0' WHEN turns <= 10 THEN '1-10' WHEN turns <= 50 THEN '11-50' WHEN turns <= 200 THEN '51-200' WHEN turns <= 1000 THEN '201-1000' ELSE '1001+' END AS bucket, count(*) AS sessions, floor(avg(turns) * 10 + 0.5) / 10 AS average, min(turns) AS least, max(turns) AS most FROM n GROUP BY 1""")
 def session_lengths(spark, sf):
-    return U.lengths(V.turns(spark, sf))
+    """The table's conversations are short, so fixed multiples of their turns reach every bucket."""
+    c, n = F.col("conv_id"), F.col("turns")
+    long = F.when(c % 13 == 5, 0).when(c % 29 == 1, n * 400).when(c % 11 == 2, n * 60).when(c % 5 == 3, n * 20).when(c % 7 == 4, n * 8).otherwise(n)
+    return U.lengths(U.sessions(V.turns(spark, sf)).withColumn("turns", long))
 
 
 @query(f"{_S} SELECT count(*) AS sessions, count(DISTINCT project) AS projects, sum(turns)::BIGINT AS turns, min(started) AS first, max(ended) AS last, sum(t_in)::BIGINT AS input_tokens FROM s")
@@ -263,9 +274,18 @@ def topics_topk(spark, sf):
 # ---------------------------------------------------------------- recall
 
 
+def _holds(tree) -> str:
+    if tree.op == "phrase":
+        return f"f{{{' '.join(tree.words)}}} > 0"
+    left = "false" if tree.left is None else _holds(tree.left)
+    right = _holds(tree.right)
+    return f"(({left}) AND NOT ({right}))" if tree.op == "not" else f"(({left}) {tree.op.upper()} ({right}))"
+
+
 def _bm25(query: str, mode: str, limit: int, keep: str = "true", table: str = "t", key: str = "conv_id, idx", content: str = "content", head: str = _T) -> str:
-    phrases = S.terms(query)
-    toks = f"regexp_extract_all(lower({content}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+    tree = S.any_of(query) if mode == "or" else S.Expression(query).tree
+    phrases = S.phrases(tree)
+    toks = f"regexp_extract_all(strip_accents(lower({content})), '[\\p{{L}}\\p{{N}}]+')"
     hits = []
     for p in phrases:
         same = " AND ".join(f"k[i + {j}] = {_q(w)}" for j, w in enumerate(p))
@@ -274,7 +294,9 @@ def _bm25(query: str, mode: str, limit: int, keep: str = "true", table: str = "t
     f = ", ".join(f"{h} AS f{i}" for i, h in enumerate(hits))
     d = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in n)
     score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in n)
-    hit = (" AND " if mode == "and" else " OR ").join(f"f{i} > 0" for i in n)
+    hit = _holds(tree)
+    for i, p in enumerate(phrases):
+        hit = hit.replace(f"f{{{' '.join(p)}}}", f"f{i}")
     head = head + ", " if head else "WITH "
     return f"""{head}x AS (SELECT *, {toks} AS k FROM {table} WHERE length({content}) > 0), y AS (SELECT * EXCLUDE (k), len(k) AS l, {f} FROM x), z AS (SELECT count(*) AS n, avg(l) AS mean, {d} FROM y),
  r AS (SELECT y.*, {score} AS score FROM y, z WHERE ({hit}) AND ({keep})) SELECT {key}, round(score, 6) AS score FROM r ORDER BY round(score, 9) DESC, {key} LIMIT {limit}"""
@@ -299,6 +321,21 @@ def fts_phrase(spark, sf):
     return _ranked(S.search(V.turns(spark, sf), '"operator review gate"', 25, order=("conv_id", "idx")), "conv_id", "idx")
 
 
+@query(_bm25("gate NOT (remove OR build)", "and", 30))
+def fts_not(spark, sf):
+    return _ranked(S.search(V.turns(spark, sf), "gate NOT (remove OR build)", 30, order=("conv_id", "idx")), "conv_id", "idx")
+
+
+@query(_bm25('(flake OR "out of memory") AND (stuck OR dirty) NOT merged', "and", 30))
+def fts_nested(spark, sf):
+    return _ranked(S.search(V.turns(spark, sf), '(flake OR "out of memory") AND (stuck OR dirty) NOT merged', 30, order=("conv_id", "idx")), "conv_id", "idx")
+
+
+@query(_bm25("EFIXE weather", "and", 30))
+def fts_folded(spark, sf):
+    return _ranked(S.search(V.turns(spark, sf), "EFIXE weather", 30, order=("conv_id", "idx")), "conv_id", "idx")
+
+
 @query(_bm25("gate", "and", 15, "lower(coalesce(nullif(trim(domain), ''), 'coding')) IN ('coding', 'research') AND role IN ('user', 'assistant')"))
 def policy_search(spark, sf):
     keep = X.domain(F.col("domain")).isin("coding", "research") & F.col("role").isin("user", "assistant")
@@ -411,61 +448,143 @@ def signal_inventory(spark, sf):
 
 
 _IN = lambda names: "[" + ", ".join(map(_q, names)) + "]"
-_E = f"""{_O}, q AS (SELECT *, {_SIGS} AS sg, {_m(R.QUESTION_END)} AND {_m(R.QUESTION_WORD)} AS question FROM o), v AS (SELECT *, {_m(R.APPROVAL_CHANGE)} AND NOT question AND NOT {_m(R.APPROVAL_PROHIBITION)} AS appr,
+_SAID = f"regexp_replace(regexp_replace(lower({_redacted('content')}), '{_SPACES}', ' ', 'g'), '^ | $', '', 'g')"
+_KEPT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_m(p)} THEN {_q(n)} END" for n, p in R.RETAINED) + "], lambda x: x IS NOT NULL), '|')"
+_EPISODE = "sha256('episode|' || provider || '|' || harness || '|' || CASE WHEN resume_id IS NULL THEN 'conversation' ELSE 'resume' END || '|' || coalesce(resume_id, conv_id::VARCHAR))"
+_AT = "strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d')"
+_E = f"""{_R}{_O[len(_T):]}, q AS (SELECT *, {_SIGS} AS sg, {_m(R.QUESTION_END)} AND {_m(R.QUESTION_WORD)} AS question FROM o WHERE NOT {_m(R.CONTROL_ENVELOPE)}), v AS (SELECT *, {_m(R.APPROVAL_CHANGE)} AND NOT question AND NOT {_m(R.APPROVAL_PROHIBITION)} AS appr,
  list_sort(list_filter(sg, lambda x: list_contains({_IN(R.AUTONOMY)}, x))) AS au, list_sort(list_filter(sg, lambda x: list_contains({_IN(R.OWNERSHIP)}, x))) AS ow FROM q),
- ev AS (SELECT conv_id, idx, project, harness, at_s, content, 'approval-gate-changed' AS kind, array_to_string(list_sort(sg), '|') AS signals FROM v WHERE appr UNION ALL
- SELECT conv_id, idx, project, harness, at_s, content, 'autonomy-boundary', array_to_string(au, '|') FROM v WHERE NOT appr AND NOT question AND (len(au) > 0 OR {_m(R.AUTONOMOUS_INTEGRATION)}) UNION ALL
- SELECT conv_id, idx, project, harness, at_s, content, 'ownership-boundary', array_to_string(ow, '|') FROM v WHERE NOT appr AND len(ow) > 0),
- gr AS (SELECT kind, sha256(lower(regexp_replace(trim(content), '{_SPACES}', ' ', 'g'))) AS statement, conv_id, strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d') AS day, min(at_s) AS at_s, min(project) AS project, min(signals) AS signals, count(*) - 1 AS collapsed FROM ev GROUP BY ALL)"""
+ e0 AS (SELECT * EXCLUDE (sg, question, appr, au, ow), 'approval-gate-changed' AS kind, list_sort(sg) AS signals FROM v WHERE appr UNION ALL
+ SELECT * EXCLUDE (sg, question, appr, au, ow), 'autonomy-boundary', au FROM v WHERE NOT appr AND NOT question AND (len(au) > 0 OR {_m(R.AUTONOMOUS_INTEGRATION)}) UNION ALL
+ SELECT * EXCLUDE (sg, question, appr, au, ow), 'ownership-boundary', ow FROM v WHERE NOT appr AND len(ow) > 0),
+ ev AS (SELECT e0.*, sha256({_SAID}) AS statement, {_EPISODE} AS episode, {_AT} AS day, CASE WHEN length({_CLEAN}) > {R.STATEMENT} THEN substr({_CLEAN}, 1, {R.STATEMENT - 1}) || '…' ELSE {_CLEAN} END AS statement_text,
+ CASE WHEN kind = 'approval-gate-changed' THEN {_KEPT} END AS retained FROM e0 WHERE {_SAID} <> ''),
+ g0 AS (SELECT kind, statement, episode, day, min(at_s) AS at_s, count(DISTINCT conv_id) AS conversations, list_sort(list(DISTINCT project)) AS projects, list_sort(list(DISTINCT ev.harness)) AS harnesses, list(DISTINCT ir.role) AS agents, list_sort(list_distinct(flatten(list(signals)))) AS signals,
+ first(statement_text ORDER BY at_s, conv_id, idx) AS statement_text, first(retained ORDER BY at_s, conv_id, idx) AS retained FROM ev JOIN ir USING (conv_id) GROUP BY kind, statement, episode, day),
+ gr AS (SELECT sha256('workflow-event:' || kind || ':' || statement || ':' || episode || ':' || day) AS id, * EXCLUDE (agents), conversations - 1 AS collapsed, list_filter({_IN(R.AGENT_ROLES)}, lambda r: list_contains(agents, r)) AS roles FROM g0)"""
 
 
-@query(f"{_E} SELECT kind, conv_id, idx, signals FROM ev")
-def workflow_events(spark, sf):
-    return W.events(V.turns(spark, sf)).select("kind", "conv_id", "idx", "signals")
+def _groups(spark, sf):
+    t = V.turns(spark, sf)
+    return W.grouped(W.events(t), G.inferred(t))
 
 
-@query(f"{_E} SELECT kind, count(*) AS events, sum(collapsed)::BIGINT AS collapsed, count(DISTINCT conv_id) AS episodes, max(at_s) AS latest FROM gr GROUP BY ALL")
-def events_by_kind(spark, sf):
-    return W.grouped(W.events(V.turns(spark, sf))).groupBy("kind").agg(F.count("*").alias("events"), F.sum("collapsed").alias("collapsed"), F.countDistinct("conv_id").alias("episodes"), F.max("at_s").alias("latest"))
+@query(f"{_E} SELECT kind, conv_id, idx, array_to_string(signals, '|') AS signals, episode, statement, day FROM ev")
+def workflow_events(spark, sf):
+    return W.events(V.turns(spark, sf)).select("kind", "conv_id", "idx", F.array_join("signals", "|").alias("signals"), "episode", "statement", "day")
 
 
-_WIN = """, ss AS (SELECT project, conv_id AS other, min(at_s) AS started, max(at_s) AS ended, coalesce(sum(t_in), 0) + coalesce(sum(t_out), 0) AS tokens FROM t GROUP BY project, conv_id),
- wj AS (SELECT e.*, ss.* EXCLUDE (project), ended < at_s AND started >= at_s - 864000 AS pre, started >= at_s AND ended <= at_s + 864000 AS post, started < at_s AND ended >= at_s AS span FROM (SELECT DISTINCT kind, conv_id, at_s, project, statement FROM gr) e JOIN ss ON ss.project = e.project AND other <> conv_id AND ended >= at_s - 864000 AND started <= at_s + 864000),
- wa AS (SELECT kind, conv_id, at_s, statement, count(*) FILTER (WHERE pre) AS pre, count(*) FILTER (WHERE post) AS post, count(*) FILTER (WHERE span) AS spanning, median(tokens) FILTER (WHERE pre) AS mp, median(tokens) FILTER (WHERE post) AS mq FROM wj GROUP BY ALL)"""
+_SETS = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("projects", "harnesses", "roles", "signals"))
 
 
-@query(f"{_E}{_WIN} SELECT kind, conv_id, at_s, statement, pre, post, spanning, CASE WHEN pre >= 3 AND post >= 3 THEN floor((mq - mp) * 10000 + 0.5) / 10000 END AS delta FROM wa")
-def outcome_windows(spark, sf):
-    t = V.turns(spark, sf)
-    return W.windows(W.grouped(W.events(t)), U.sessions(t), 864000).drop("mp", "mq")
+@query(f"""{_E}, f AS (SELECT kind, statement, episode, day, conv_id, min(at_s) AS at_s, min(idx) AS idx FROM ev GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY kind, statement, episode, day ORDER BY at_s, conv_id, idx) AS k FROM f), p AS (SELECT kind, statement, episode, day, string_agg(conv_id || '/' || idx, '|' ORDER BY k) AS evidence FROM n WHERE k <= {R.EVENT_EVIDENCE} GROUP BY ALL)
+ SELECT id, kind, at_s, conversations, collapsed, {_SETS}, statement_text, retained, evidence FROM gr JOIN p USING (kind, statement, episode, day)""")
+def workflow_evolution(spark, sf):
+    joined = [F.array_join(c, "|").alias(c) for c in ("projects", "harnesses", "roles", "signals")]
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat(e["conversation"].cast("string"), F.lit("/"), e["turn"].cast("string"))), "|")
+    return _groups(spark, sf).select("id", "kind", "at_s", "conversations", "collapsed", *joined, "statement_text", "retained", shown.alias("evidence"))
 
 
-@query(f"{_E}, l AS (SELECT *, row_number() OVER w AS n, lag(statement) OVER w AS b, row_number() OVER (PARTITION BY kind, project, statement ORDER BY at_s, conv_id) AS seen FROM gr WINDOW w AS (PARTITION BY kind, project ORDER BY at_s, conv_id, statement)) SELECT kind, CASE WHEN n = 1 THEN 'introduced' WHEN b = statement THEN 'reinforced' WHEN seen > 1 THEN 'returned-to-prior' ELSE 'reformulated' END AS relation, count(*) AS n FROM l GROUP BY ALL")
-def pattern_relations(spark, sf):
-    return W.relations(W.grouped(W.events(V.turns(spark, sf)))).groupBy("kind", "relation").agg(F.count("*").alias("n"))
+@query(f"{_E} SELECT kind, count(*) AS events, sum(collapsed)::BIGINT AS collapsed, count(DISTINCT episode) AS episodes, max(at_s) AS latest FROM gr GROUP BY ALL")
+def events_by_kind(spark, sf):
+    return _groups(spark, sf).groupBy("kind").agg(F.count("*").alias("events"), F.sum("collapsed").alias("collapsed"), F.countDistinct("episode").alias("episodes"), F.max("at_s").alias("latest"))
 
 
-@query(f"{_E}, x AS (SELECT kind, unnest(string_split(signals, '|')) AS signal, conv_id, day, project, statement, collapsed, at_s FROM gr WHERE signals <> '') SELECT kind, signal, count(DISTINCT conv_id) AS episodes, count(DISTINCT day) AS days, count(DISTINCT statement) AS formulations, sum(collapsed)::BIGINT AS collapsed, min(at_s) AS first, max(at_s) AS last FROM x GROUP BY ALL HAVING count(DISTINCT conv_id) >= 3 AND count(DISTINCT day) >= 2")
-def pattern_coverage(spark, sf):
-    x = W.grouped(W.events(V.turns(spark, sf))).where("signals != ''").withColumn("signal", F.explode(F.split("signals", "\\|")))
-    g = x.groupBy("kind", "signal").agg(F.countDistinct("conv_id").alias("episodes"), F.countDistinct("day").alias("days"), F.countDistinct("statement").alias("formulations"), F.sum("collapsed").alias("collapsed"), F.min("at_s").alias("first"), F.max("at_s").alias("last"))
-    return g.where("episodes >= 3 AND days >= 2")
+@query(f"""{_E} SELECT 'conversations' AS measure, count(DISTINCT conv_id) AS n FROM t UNION ALL SELECT 'episodes', count(DISTINCT {_EPISODE}) FROM t UNION ALL SELECT 'operator_turns', count(*) FROM q UNION ALL SELECT 'candidates', count(*) FROM ev
+ UNION ALL SELECT 'collapsed', coalesce(sum(collapsed), 0)::BIGINT FROM gr {" ".join(f"UNION ALL SELECT '{k}', count(*) FROM gr WHERE kind = '{k}'" for k in R.KINDS)}""")
+def workflow_summary(spark, sf):
+    t = V.turns(spark, sf)
+    return W.summary(t, W.events(t), _groups(spark, sf))
+
+
+_HALF = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
+_NEAR = f"""{_E}{_D[len(_T):]}, d2 AS (SELECT *, coalesce(lead(signal) OVER (PARTITION BY conv_id ORDER BY idx), 'unknown') AS nx FROM d),
+ o1 AS (SELECT conv_id, max(idx) FILTER (WHERE (role = 'assistant' AND signal = 'success') OR (gate AND result = 'success')) AS good, max(idx) FILTER (WHERE (role = 'assistant' AND signal = 'failure') OR (gate AND result = 'failure')) AS bad,
+ count(*) FILTER (WHERE problem) AS problems, count(*) FILTER (WHERE role = 'assistant' AND tool IS NOT NULL AND nx <> 'unknown') AS known, count(*) FILTER (WHERE role = 'assistant' AND tool IS NOT NULL AND nx = 'failure') AS failed FROM d2 GROUP BY conv_id),
+ o2 AS (SELECT conv_id, CASE WHEN good IS NOT NULL AND bad IS NOT NULL AND abs(good - bad) <= 5 THEN 'mixed' WHEN good IS NULL AND bad IS NULL THEN 'unknown' WHEN bad IS NULL OR good > bad THEN 'success' ELSE 'failure' END AS status, problems, known, failed FROM o1),
+ h AS (SELECT conv_id, {_EPISODE} AS other, provider, harness, project, min(at_s) AS started, max(at_s) AS ended, count(*) AS turns, coalesce(sum(t_total), CASE WHEN count(t_in) + count(t_out) > 0 THEN coalesce(sum(t_in), 0) + coalesce(sum(t_out), 0) END) AS tokens FROM t GROUP BY ALL),
+ obs AS (SELECT h.*, {_HALF("(ended - started) / 60")} AS minutes, o2.* EXCLUDE (conv_id) FROM h JOIN o2 USING (conv_id)),
+ rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY other, project ORDER BY ended DESC, turns DESC, conv_id DESC) AS k FROM obs) WHERE k = 1),
+ e1 AS (SELECT id, kind, at_s, episode, unnest(projects) AS project, greatest(0, floor(least({R.WINDOW_DAYS * 86400}, at_s - (SELECT min(ended) FROM obs), (SELECT max(ended) FROM obs) - at_s) / 3600) * 3600) AS radius FROM gr),
+ met AS (SELECT e1.id, e1.kind, rep.*, started <= ended AND started >= at_s - radius AND ended < at_s AS pre, started <= ended AND started >= at_s AND ended > at_s AND ended <= at_s + radius AS post, started < at_s AND ended > at_s AS across FROM e1 JOIN rep ON rep.project = e1.project AND rep.other <> e1.episode)"""
+_SIDES = ", ".join(
+    f"count(*) FILTER (WHERE {s}) AS {s}, " + ", ".join(f"count(*) FILTER (WHERE {s} AND status = '{k}') AS {s}_{k}" for k in N.STATUSES)
+    + f", count(*) FILTER (WHERE {s} AND problems > 0) AS {s}_fe, coalesce(sum(problems) FILTER (WHERE {s}), 0)::BIGINT AS {s}_problems, coalesce(sum(known) FILTER (WHERE {s}), 0)::BIGINT AS {s}_known, coalesce(sum(failed) FILTER (WHERE {s}), 0)::BIGINT AS {s}_failed, median(turns) FILTER (WHERE {s}) AS {s}_turns, median(minutes) FILTER (WHERE {s}) AS {s}_m"
+    for s in ("pre", "post")
+)
+_RATES = ", ".join(
+    f"CASE WHEN {s}_success + {s}_failure + {s}_mixed >= 3 THEN {_HALF(f'{s}_success / ({s}_success + {s}_failure + {s}_mixed)')} END AS {s}_completion, CASE WHEN {s} >= 3 THEN {_HALF(f'{s}_fe / {s}')} END AS {s}_friction, CASE WHEN {s}_known >= 3 THEN {_HALF(f'{s}_failed / {s}_known')} END AS {s}_rework, CASE WHEN {s} >= 3 THEN {s}_m END AS {s}_minutes"
+    for s in ("pre", "post")
+)
+_MEASURES = ("completion", "friction", "rework", "turns", "minutes")
+_CMP = f"""{_NEAR}, sc2 AS (SELECT project, count(*) AS scoped FROM obs GROUP BY project), rc AS (SELECT project, count(*) AS reps FROM rep GROUP BY project),
+ hd AS (SELECT e1.id, e1.kind, at_s, radius, sum(scoped)::BIGINT AS scoped, sum(reps)::BIGINT AS reps, count(r.other) AS event_episodes FROM e1 LEFT JOIN sc2 USING (project) LEFT JOIN rc USING (project) LEFT JOIN rep r ON r.project = e1.project AND r.other = e1.episode GROUP BY ALL),
+ ag AS (SELECT id, count(*) FILTER (WHERE across) AS spanning, {_SIDES} FROM met GROUP BY id),
+ c0 AS (SELECT hd.*, coalesce(spanning, 0) AS spanning, {", ".join(f"coalesce({s}{n}, 0) AS {s}{n}" for s in ("pre", "post") for n in ("", *(f"_{k}" for k in N.STATUSES), "_fe", "_problems", "_known", "_failed"))}, pre_turns, post_turns, pre_m, post_m FROM hd LEFT JOIN ag USING (id)),
+ c1 AS (SELECT *, {_RATES}, array_to_string(list_filter([CASE WHEN radius < 86400 THEN 'observation-window-under-24h' END, CASE WHEN pre < 5 THEN 'pre-episodes-below-5' END, CASE WHEN post < 5 THEN 'post-episodes-below-5' END], lambda x: x IS NOT NULL), '|') AS reasons FROM c0),
+ cm AS (SELECT id, kind, at_s, CASE WHEN reasons = '' THEN 'observed' ELSE 'insufficient-coverage' END AS status, reasons, (radius / 3600)::BIGINT AS window_hours, scoped, reps - event_episodes AS representatives, event_episodes, spanning, reps - event_episodes - spanning - pre - post AS outside, pre, post,
+ {", ".join(f"{s}_{n}" for s in ("pre", "post") for n in (*N.STATUSES, "problems", "known", "failed", *_MEASURES))}, {", ".join(f"CASE WHEN reasons = '' THEN {_HALF(f'post_{n} - pre_{n}')} END AS {n}_change" for n in _MEASURES)} FROM c1)"""
+
+
+@query(f"{_CMP} SELECT * FROM cm")
+def workflow_outcomes(spark, sf):
+    return N.comparisons(_groups(spark, sf), N.observations(V.turns(spark, sf)))
+
+
+@query(f"""{_CMP}, tk AS (SELECT id, provider, harness, count(*) FILTER (WHERE pre) AS pre_samples, median(tokens) FILTER (WHERE pre) AS pre_tokens, count(*) FILTER (WHERE post) AS post_samples, median(tokens) FILTER (WHERE post) AS post_tokens FROM met WHERE tokens IS NOT NULL GROUP BY ALL)
+ SELECT *, {_HALF("post_tokens - pre_tokens")} AS change FROM tk WHERE pre_samples >= 3 AND post_samples >= 3 AND id IN (SELECT id FROM cm WHERE status = 'observed')""")
+def workflow_token_changes(spark, sf):
+    return N.token_changes(_groups(spark, sf), N.observations(V.turns(spark, sf)))
+
+
+_GENERAL = "CASE kind WHEN 'autonomy-boundary' THEN 'autonomy-general' ELSE 'ownership-general' END"
+_MEMBERS = f""", m0 AS (SELECT *, CASE WHEN kind = 'approval-gate-changed' THEN list_distinct(list_prepend('approval-policy', signals)) WHEN len(signals) > 0 THEN signals ELSE [{_GENERAL}] END AS ss FROM gr),
+ m1 AS (SELECT * EXCLUDE (ss, roles, signals), len(ss) * len(roles) > 1 AS shared, unnest(ss) AS signal, roles FROM m0), mb AS (SELECT * EXCLUDE (roles), unnest(roles) AS role FROM m1),
+ oc0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, signal, role, episode ORDER BY at_s DESC, id DESC) AS k FROM mb) WHERE k = 1),
+ oc AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'introduced' WHEN lag(statement) OVER w = statement THEN 'reinforced' WHEN row_number() OVER (PARTITION BY kind, signal, role, statement ORDER BY at_s, id) > 1 THEN 'returned-to-prior' ELSE 'reformulated' END AS relation, row_number() OVER w AS n, count(*) OVER (PARTITION BY kind, signal, role) AS total FROM oc0 WINDOW w AS (PARTITION BY kind, signal, role ORDER BY at_s, id))"""
+_LABELS = "CASE signal " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in R.SIGNAL_LABELS.items()) + " END"
+
+
+def _told(name: str, more: bool) -> str:
+    v = f"CASE WHEN status = 'observed' THEN {name}_change END"
+    good, bad = (">", "<") if more else ("<", ">")
+    return f"count({v}) AS {name}_samples, CASE WHEN count({v}) >= 3 THEN count(*) FILTER (WHERE {v} {good} 0) END AS {name}_favorable, CASE WHEN count({v}) >= 3 THEN count(*) FILTER (WHERE {v} {bad} 0) END AS {name}_unfavorable, CASE WHEN count({v}) >= 3 THEN count(*) FILTER (WHERE {v} = 0) END AS {name}_unchanged, CASE WHEN count({v}) >= 3 THEN {_HALF(f'median({v})')} END AS {name}_median"
+
+
+@query(f"""{_CMP}{_MEMBERS}, pa AS (SELECT oc.kind, signal, role, count(*) AS episodes, count(DISTINCT day) AS days, count(DISTINCT statement) AS formulations, min(oc.at_s) AS first, max(oc.at_s) AS last, {", ".join(f"count(*) FILTER (WHERE relation = '{r}') AS {r.replace('-', '_')}" for r in P.RELATIONS)},
+ first(relation ORDER BY n DESC) AS latest, count(*) FILTER (WHERE status = 'observed') AS observed, count(*) - count(*) FILTER (WHERE status = 'observed') AS sparse, {", ".join(_told(*x) for x in P.ASSOCIATED.items())} FROM oc LEFT JOIN cm ON cm.id = oc.id GROUP BY oc.kind, signal, role HAVING count(*) >= 3 AND count(DISTINCT day) >= 2),
+ st AS (SELECT kind, signal, role, count(*) AS memberships, count(*) FILTER (WHERE shared) AS shared, array_to_string(list_sort(list_distinct(flatten(list(projects)))), '|') AS projects, array_to_string(list_sort(list_distinct(flatten(list(harnesses)))), '|') AS harnesses FROM mb GROUP BY ALL)
+ SELECT sha256('workflow-pattern:' || kind || ':' || signal || ':' || role) AS id, pa.*, CASE role WHEN 'unclassified' THEN 'Agents' ELSE upper(role[1]) || substr(role, 2) || ' agents' END || ': ' || {_LABELS} AS title, memberships, shared, memberships - episodes AS collapsed, projects, harnesses,
+ CASE WHEN list_contains({_IN(R.GUARDRAILS)}, signal) THEN 'guardrail-imposed' WHEN list_contains({_IN(R.AUTONOMY)}, signal) THEN 'operating-latitude-expanded' WHEN kind = 'approval-gate-changed' THEN 'approval-gate-relaxed' WHEN kind = 'autonomy-boundary' THEN 'operating-latitude-expanded' ELSE 'guardrail-imposed' END AS effect,
+ CASE WHEN observed >= 3 THEN 'observed' ELSE 'insufficient-coverage' END AS outcome FROM pa JOIN st USING (kind, signal, role)""")
+def workflow_patterns(spark, sf):
+    return P.patterns(_groups(spark, sf), N.comparisons(_groups(spark, sf), N.observations(V.turns(spark, sf))))
+
+
+@query(f"""{_E}{_MEMBERS}, x AS (SELECT *, row_number() OVER (PARTITION BY kind, signal, role, relation ORDER BY at_s, id) AS nth FROM oc), y AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN relation = 'reformulated' AND nth = 1 THEN 1 WHEN relation = 'returned-to-prior' AND nth = 1 THEN 2 WHEN n = total THEN 3 END AS slot FROM x)
+ SELECT kind, signal, role, slot, id, relation, at_s, statement_text FROM y WHERE slot IS NOT NULL""")
+def pattern_examples(spark, sf):
+    return P.examples(_groups(spark, sf))
+
+
+@query(f"{_E}{_MEMBERS} SELECT kind, signal, role, total - n + 1 AS n, id, episode, at_s, relation, statement FROM oc WHERE total - n < {R.PATTERN_TIMELINE}")
+def pattern_timeline(spark, sf):
+    return P.timeline(_groups(spark, sf))
+
+
+@query(f"{_NEAR} SELECT other AS episode, project, conv_id, ended, turns, status, problems, known, failed, tokens, minutes FROM rep")
+def representative_episodes(spark, sf):
+    return N.representatives(N.observations(V.turns(spark, sf))).select("episode", "project", "conv_id", "ended", "turns", "status", "problems", "known", "failed", "tokens", "minutes")
 
 
-@query(f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY project, strftime(make_timestamp(started * 1000000), '%Y-%m-%d') ORDER BY ended DESC, turns DESC, conv_id DESC) AS k FROM s) SELECT conv_id, project, ended, turns FROM r WHERE k = 1")
-def representative_episodes(spark, sf):
-    s = U.sessions(V.turns(spark, sf)).withColumn("day", F.date_format(F.timestamp_seconds("started"), "yyyy-MM-dd"))
-    w = Window.partitionBy("project", "day").orderBy(F.desc("ended"), F.desc("turns"), F.desc("conv_id"))
-    return s.withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", "project", "ended", "turns")
+_WILSON = ", ".join(f"CASE WHEN choices = 0 THEN 0 ELSE round({f}(0 + (r + 1.9208 / n {s} 1.96 * sqrt(r * (1 - r) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), {b}), 6) END AS {c}" for c, s, f, b in (("low", "-", "greatest", "0"), ("high", "+", "least", "1")))
 
 
-@query(f"""{_O}, m AS (SELECT harness, {_SIGS} AS sg FROM o), p AS (SELECT harness, count(*) FILTER (WHERE len(sg) > 0) AS choices, count(*) FILTER (WHERE len(sg) > 0 AND NOT (list_contains(sg, 'stop-and-report') OR list_contains(sg, 'one-writer') OR list_contains(sg, 'spec-freeze')) AND len(list_filter(sg, lambda x: list_contains({_IN(R.AUTONOMY)}, x))) > 0) AS autonomy FROM m GROUP BY ALL),
- x AS (SELECT *, autonomy / choices AS r, choices::DOUBLE AS n FROM p) SELECT harness, choices, autonomy, round((r + 1.9208 / n - 1.96 * sqrt(r * (1 - r) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((r + 1.9208 / n + 1.96 * sqrt(r * (1 - r) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM x""")
+@query(f"""{_R}{_O[len(_T):]}, sure AS (SELECT conv_id, role AS agent FROM ir WHERE confidence = 'high' AND role <> 'unclassified'), m AS (SELECT conv_id, {_SIGS} AS sg FROM o), p AS (SELECT conv_id, CASE WHEN list_contains(sg, 'stop-and-report') OR list_contains(sg, 'one-writer') OR list_contains(sg, 'spec-freeze') THEN 0 WHEN len(list_filter(sg, lambda x: list_contains({_IN(R.AUTONOMY)}, x))) > 0 THEN 1 ELSE 0 END AS grants FROM m WHERE len(sg) > 0),
+ g AS (SELECT agent AS role, count(DISTINCT s.conv_id) AS sessions, count(grants) AS choices, coalesce(sum(grants), 0)::BIGINT AS autonomy FROM sure s LEFT JOIN p USING (conv_id) GROUP BY agent), x AS (SELECT *, autonomy / nullif(choices, 0) AS r, choices::DOUBLE AS n FROM g) SELECT role, sessions, choices, autonomy, {_WILSON} FROM x""")
 def role_profiles_wilson(spark, sf):
-    t = W.operator_turns(V.turns(spark, sf)).withColumn("pole", W.pole(X.signals(F.col("content"))))
-    p = t.groupBy("harness").agg(F.count("pole").alias("choices"), F.count_if(F.col("pole") == "autonomy-grant").alias("autonomy"))
-    low, high = X.wilson(F.col("autonomy"), F.col("choices"))
-    return p.select("harness", "choices", "autonomy", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return G.profiles(V.turns(spark, sf))
 
 
 @query(f"""{_T}, f AS (SELECT * FROM t WHERE role IN ('user', 'assistant')), n AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY idx) THEN 0 ELSE 1 END AS nw FROM f), p AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY idx)::BIGINT AS part FROM n),

@@ -41,14 +41,21 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda n, values, by: F.element_at(F.array(*map(F.lit, values)), ((by % n) + 1).cast("int"))
     size = F.length("text")
     counted = (F.col("role") == "assistant") & ((c + i) % 11 != 0)
-    content = F.concat(F.col("text"), F.lit(" "), pick(len(PHRASES), PHRASES, c * 7 + i * 3))
+    # two of six conversations are copies of one resumed session: equal statements in different projects, hours apart
+    resumed = (c % 6).isin(0, 3)
+    pair = F.floor(c / 6).cast("bigint")
+    phrase = pick(len(PHRASES), PHRASES, F.when(resumed, pair * 5 + i * 3).otherwise(c * 7 + i * 3))
+    content = F.when(resumed, phrase).otherwise(F.concat(F.col("text"), F.lit(" "), phrase))
+    where = F.when(resumed & (pair % 2 == 0), pair % 7).when((c % 6).isin(1, 2, 5), 3).otherwise(c % 7)
+    start = F.when(c % 6 == 3, (c - 3) * 25200 + 7200).otherwise(c * 25200)
     return t.select(
         c, i.alias("idx"), "role", content.alias("content"),
         pick(3, ["claude-code", "codex", "pi"], c).alias("harness"), pick(3, ["anthropic", "openai", "local"], c).alias("provider"),
-        F.concat(F.lit("/project-"), (c % 7).cast("string")).alias("project"), F.concat(F.lit("model-"), (c % 4).cast("string")).alias("model"),
+        F.concat(F.lit("/project-"), where.cast("string")).alias("project"), F.concat(F.lit("model-"), (c % 4).cast("string")).alias("model"),
         pick(5, ["coding", "personal", "", "research", "coding"], c).alias("domain"),
-        (F.lit(1704067200) + c * 25200 + i * 300).alias("at_s"),
+        (F.lit(1704067200) + start + i * 300).alias("at_s"), F.when(resumed, F.concat(F.lit("r"), pair.cast("string"))).alias("resume_id"),
         F.when(counted, size * 2 + c % 50).alias("t_in"), F.when(counted, size + i).alias("t_out"), F.when(counted, (size * 3) % 97).alias("t_cached"),
+        F.when(counted & (c % 3 == 0), size % 53).alias("t_write"), F.when(counted & (c % 4 != 0), size * 3 + c % 50 + i + (size * 3) % 97).alias("t_total"),
         F.when((F.col("role") == "assistant") & ((c * 31 + i) % 6 != 5), pick(6, ["exec", "edit", "read", "websearch", "browser", ""], c * 31 + i)).alias("tool"),
     )
 

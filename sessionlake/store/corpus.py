@@ -199,7 +199,7 @@ def turns_view(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     return turns.join(head, "content_hash").select(
         F.col("content_hash").alias("conv_id"), "id", "resume_id", "title", F.col("idx"), "role", F.coalesce("content", F.lit("")).alias("content"), "harness", "provider", "project", "model", X.domain(F.col("domain")).alias("domain"),
         F.coalesce(stamp(F.col("at")), stamp(F.col("started_at"))).alias("at_s"), "started_at", "ended_at",
-        F.col("tokens.input").alias("t_in"), F.col("tokens.output").alias("t_out"), F.col("tokens.cached_input").alias("t_cached"),
+        F.col("tokens.input").alias("t_in"), F.col("tokens.output").alias("t_out"), F.col("tokens.cached_input").alias("t_cached"), F.col("tokens.cache_write").alias("t_write"), F.col("tokens.total").alias("t_total"),
         F.get(F.col("tool_calls.name"), F.lit(0)).alias("tool"), F.col("tool_calls.name").alias("tools"), "tool_calls",
     )
 
