@@ -14,11 +14,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import rules as R
 from .functions import text as X
 from .operators import derive as D
+from .operators import explorer as E
 from .operators import handoff as H
+from .operators import labels as B
 from .operators import outcomes as N
 from .operators import patterns as P
 from .operators import recall as Q
@@ -29,6 +32,7 @@ from .operators import search as S
 from .operators import workflow as W
 from .store import artifacts as A
 from .store import corpus as C
+from .store import derived as V
 from .store import files
 from .store import journal as L
 
@@ -256,6 +260,25 @@ class Corpus:
         pool, floor = Q.qualified(found["hits"])
         return {"question": question, "terms": words, "threshold": floor} | self._cards(pool, words, limit, True)
 
+    def project_brief(self, name: str, wanted: list[str] | None = None) -> dict:
+        """Activity, outcomes and recent evidence of one project, from the domains that the policy allows."""
+        allowed = [d for d in (wanted or self.policy) if d in self.policy]
+        t = self.turns().where((F.col("project") == name) & F.col("domain").isin(allowed))
+        s = U.sessions(t)
+        recent = [r.conv_id for r in s.orderBy(F.desc("ended"), "conv_id").limit(8).select("conv_id").collect()]
+        own = t.where(F.col("conv_id").isin(recent))
+        place = {k: i for i, k in enumerate(recent)}
+        by = lambda c: _rows(s.groupBy(*c).agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns")).orderBy(F.desc("sessions"), *c).limit(8))
+
+        def newest(rows: DataFrame) -> list[dict]:
+            """The last two of each recent session, newest session first, at most eight."""
+            w = Window.partitionBy("conv_id").orderBy(F.desc("idx"))
+            few = _rows(rows.withColumn("k", F.row_number().over(w)).where("k <= 2").select("conv_id", "idx", "snippet", X.pointer(F.col("conv_id"), F.col("idx")).alias("uri")))
+            return sorted(few, key=lambda r: (place[r["conv_id"]], r["idx"]))[:8]
+
+        head = s.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.min("started").alias("first"), F.max("ended").alias("last")).first().asDict()
+        return {"project": name, "domains": allowed, "denied": sorted(set(wanted or []) - set(allowed)), "overview": head, "harnesses": by(["harness"]), "models": by(["model", "harness"]), "outcomes": _statuses(D.outcomes(own)), "problems": newest(D.problems(own)), "decisions": newest(D.decisions(own))}
+
     # ------------------------------------------------------------ mining
 
     def _artifact(self, name: str, recipe: str, build) -> dict:
@@ -282,7 +305,7 @@ class Corpus:
         if row is None:
             raise LookupError(f"candidate not found: {id}")
         proof = Y.evidence(t).where((F.col("type") == row["type"]) & (F.col("signature") == row["signature"]))
-        return row.asDict() | {"evidence": _rows(proof.select("conv_id", "idx", "project", "harness", "snippet", "rank").orderBy("rank"))}
+        return row.asDict() | {"route": R.ROUTES[row["type"]]} | {"evidence": _rows(proof.select("conv_id", "idx", "project", "harness", "snippet", "rank").orderBy("rank"))}
 
     def orchestration_profile(self) -> dict:
         t = self.turns()
@@ -323,6 +346,29 @@ class Corpus:
         groups = self.workflow_evolution()
         return row.asDict() | {"examples": _rows(P.examples(groups).where(own).orderBy("slot")), "timeline": _rows(P.timeline(groups).where(own).orderBy("at_s", "id"))}
 
+    def explore(self, **filters: str) -> DataFrame:
+        """Patterns as they may be shown, filtered as in `explorer.filtered`."""
+        p = E.filtered(self.workflow_patterns(), P.timeline(self.workflow_evolution()), **filters)
+        return E.bounded_patterns(p.orderBy(*E.pattern_order()))
+
+    def validate(self, labels: str) -> DataFrame:
+        """Agreement and accuracy of the signal rules on a label file."""
+        return B.validation(self.turns(), B.signal_labels(self.spark, labels))
+
+    def derive(self) -> dict:
+        """Derived structure of conversations that have none yet; the counts."""
+        return V.derive(self.spark, self.root)
+
+    def insights(self) -> dict:
+        """What a report page shows: the newest events and comparisons, the strongest patterns and candidates, inventories and roles."""
+        events, t = self.workflow_evolution(), self.turns()
+        outcomes = N.comparisons(events, N.observations(t))
+        shown = ["id", "kind", "at_s", "statement_text", "conversations", "collapsed", "signals"]
+        return {
+            "events": _rows(events.orderBy(F.desc("at_s"), F.desc("id")).select(*shown).limit(40))[::-1], "outcomes": _rows(E.bounded_comparisons(outcomes, events).orderBy(F.desc("at_s")).limit(30))[::-1],
+            "patterns": _rows(E.bounded_patterns(P.patterns(events, outcomes).orderBy(*E.pattern_order()).limit(30))), "profile": self.orchestration_profile(), "refinery": self.refinery(),
+        }
+
     def bridge(self, identifier: str, mode: str = "history", path: str | None = None) -> dict:
         """Write a session file for another harness; its receipt."""
         name = self._resolve(identifier)

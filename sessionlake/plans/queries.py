@@ -12,6 +12,8 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import active as A
 from ..operators import derive as D
+from ..operators import explorer as E
+from ..operators import labels as L
 from ..operators import outcomes as N
 from ..operators import patterns as P
 from ..operators import rollups as U
@@ -321,9 +323,9 @@ def fts_phrase(spark, sf):
     return _ranked(S.search(V.turns(spark, sf), '"operator review gate"', 25, order=("conv_id", "idx")), "conv_id", "idx")
 
 
-@query(_bm25("gate NOT (remove OR build)", "and", 30))
+@query(_bm25("checks NOT green", "and", 30))
 def fts_not(spark, sf):
-    return _ranked(S.search(V.turns(spark, sf), "gate NOT (remove OR build)", 30, order=("conv_id", "idx")), "conv_id", "idx")
+    return _ranked(S.search(V.turns(spark, sf), "checks NOT green", 30, order=("conv_id", "idx")), "conv_id", "idx")
 
 
 @query(_bm25('(flake OR "out of memory") AND (stuck OR dirty) NOT merged', "and", 30))
@@ -587,6 +589,49 @@ def role_profiles_wilson(spark, sf):
     return G.profiles(V.turns(spark, sf))
 
 
+# ---------------------------------------------------------------- labels and views
+
+_PAIRS = [(n, p) for n, p, _ in R.SIGNALS]
+_POLE = f"CASE WHEN list_contains(sg, 'stop-and-report') OR list_contains(sg, 'one-writer') OR list_contains(sg, 'spec-freeze') THEN 'determinism-impose' WHEN len(list_filter(sg, lambda x: list_contains({_IN(R.AUTONOMY)}, x))) > 0 THEN 'autonomy-grant' WHEN len(sg) > 0 THEN 'determinism-impose' END"
+_LAB = f"""{_O}, lb AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'held-out' END AS split, conv_id, idx, {_IN([p for _, p in _PAIRS])}[(conv_id + idx) % {len(_PAIRS)} + 1] AS pole, {_IN([n for n, _ in _PAIRS])}[(conv_id + idx) % {len(_PAIRS)} + 1] AS signal FROM t WHERE role = 'user' AND (conv_id * 3 + idx) % 5 = 0),
+ mt AS (SELECT conv_id, idx, sg, {_POLE} AS turn_pole, snippet FROM (SELECT conv_id, idx, {_SIGS} AS sg, {_CUT} AS snippet FROM o) WHERE len(sg) > 0),
+ ju AS (SELECT lb.*, coalesce(turn_pole, 'no-signal') AS prediction, coalesce(list_contains(sg, signal), false) AS agrees, coalesce(turn_pole = pole, false) AS correct FROM lb LEFT JOIN mt USING (conv_id, idx))"""
+
+
+@query(f"{_LAB} SELECT * FROM ju")
+def label_judgements(spark, sf):
+    t = V.turns(spark, sf)
+    return L.judged(t, V.labels(t, _PAIRS))
+
+
+@query(f"{_LAB}, ba AS (SELECT split, max(n) AS most FROM (SELECT split, pole, count(*) AS n FROM ju GROUP BY ALL) GROUP BY split) SELECT split, count(*) AS labels, round(avg(agrees::INT), 6) AS agreement, round(avg(correct::INT), 6) AS accuracy, round(any_value(most) / count(*), 6) AS base_rate FROM ju JOIN ba USING (split) GROUP BY split")
+def label_validation(spark, sf):
+    t = V.turns(spark, sf)
+    return L.validation(t, V.labels(t, _PAIRS)).select("split", "labels", *(F.round(c, 6).alias(c) for c in ("agreement", "accuracy", "base_rate")))
+
+
+@query(f"""{_LAB}, ms AS (SELECT conv_id, idx, snippet, unnest(sg) AS signal FROM mt), el AS (SELECT ms.*, lb.conv_id IS NOT NULL AS labelled FROM ms LEFT JOIN (SELECT DISTINCT conv_id, idx FROM lb) lb USING (conv_id, idx)),
+ on_ AS (SELECT *, row_number() OVER (PARTITION BY signal, conv_id ORDER BY labelled DESC, length(snippet), idx) AS k FROM el WHERE labelled OR {_m(R.EVIDENCE_START, "snippet")}), rn AS (SELECT signal, row_number() OVER (PARTITION BY signal ORDER BY labelled DESC, length(snippet), conv_id, idx)::INT AS rank, conv_id, idx, snippet FROM on_ WHERE k = 1) SELECT * FROM rn WHERE rank <= 3""")
+def label_evidence(spark, sf):
+    t = V.turns(spark, sf)
+    return L.evidence(t, V.labels(t, _PAIRS))
+
+
+@query(f"""{_E}{_MEMBERS}, px AS (SELECT kind, signal, role, count(*) AS episodes, count(DISTINCT day) AS days FROM oc GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT day) >= 2),
+ hs AS (SELECT kind, signal, role, list_distinct(flatten(list(harnesses))) AS harnesses FROM mb GROUP BY ALL)
+ SELECT kind, signal, role FROM px JOIN hs USING (kind, signal, role) WHERE list_contains(harnesses, 'codex') AND (kind || ' ' || signal || ' ' || role || ' ' || {_LABELS}) LIKE '%operat%' AND EXISTS (SELECT 1 FROM oc WHERE oc.kind = px.kind AND oc.signal = px.signal AND oc.role = px.role AND {_AT} BETWEEN '2024-01-05' AND '2024-01-20')""")
+def pattern_filter(spark, sf):
+    groups = _groups(spark, sf)
+    p = P.patterns(groups, N.comparisons(groups, N.observations(V.turns(spark, sf))))
+    return E.filtered(p, P.timeline(groups), query="OPERAT", harness="codex", since="2024-01-05", until="2024-01-20").select(*P.KEY)
+
+
+@query(f"{_CMP} SELECT cm.* EXCLUDE (id), len(projects) AS project_count FROM cm JOIN gr USING (id)")
+def bounded_outcomes(spark, sf):
+    groups = _groups(spark, sf)
+    return E.bounded_comparisons(N.comparisons(groups, N.observations(V.turns(spark, sf))), groups)
+
+
 @query(f"""{_T}, f AS (SELECT * FROM t WHERE role IN ('user', 'assistant')), n AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY idx) THEN 0 ELSE 1 END AS nw FROM f), p AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY idx)::BIGINT AS part FROM n),
  m AS (SELECT conv_id, part, min(role) AS role, count(*) AS turns, min(at_s) AS own_s, sum(length(content))::BIGINT AS characters FROM p GROUP BY conv_id, part) SELECT conv_id, part, role, turns, own_s, characters, max(own_s - part) OVER (PARTITION BY conv_id ORDER BY part) + part AS at_s FROM m""")
 def coalesced_messages(spark, sf):

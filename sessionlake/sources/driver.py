@@ -66,3 +66,11 @@ def snapshots(turns: DataFrame) -> DataFrame:
     live = ids.select(F.concat(F.lit("src/"), F.col("conv_id").cast("string")).alias("source"), F.concat(F.lit("h"), F.col("conv_id").cast("string"), F.lit("v1")).alias("hash"), "conv_id", F.lit(True).alias("active"))
     stale = live.where("conv_id % 10 = 0").select("source", F.concat(F.lit("h"), F.col("conv_id").cast("string"), F.lit("v0")).alias("hash"), "conv_id", F.lit(False).alias("active"))
     return live.unionByName(stale)
+
+
+def labels(turns: DataFrame, signals: list[tuple[str, str]]) -> DataFrame:
+    """Expected signal and pole of a fifth of the user turns, in two splits; (signal, pole) go round by conversation and turn."""
+    c, i = F.col("conv_id"), F.col("idx")
+    at = lambda k: F.element_at(F.array(*(F.lit(s[k]) for s in signals)), ((c + i) % len(signals) + 1).cast("int"))
+    split = F.when(c % 2 == 0, "calibration").otherwise("held-out")
+    return turns.where((F.col("role") == "user") & ((c * 3 + i) % 5 == 0)).select(split.alias("split"), c, i, at(1).alias("pole"), at(0).alias("signal"))

@@ -161,3 +161,60 @@ def test_streams(spark, tmp_path):
     q = live.windowed(live.events(spark, src, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").selectExpr("event_type", "value", "CAST(ts AS timestamp) AS ts")).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").count() > 0
+
+
+def test_derived_structure_is_written_once(spark, corpus):
+    from sessionlake.store import derived as V
+
+    first = corpus.derive()
+    assert first["current"] == 4 and first["derived"] == 4 and corpus.derive()["derived"] == 0
+    assert {r.status for r in V.load(spark, corpus.root, "outcomes").collect()} <= {"success", "failure", "mixed", "unknown"}
+    assert V.load(spark, corpus.root, "metrics").count() == 4
+
+
+def test_brief_and_views(corpus):
+    brief = corpus.project_brief("/w")
+    assert brief["overview"]["sessions"] == 3 and sum(brief["outcomes"].values()) == 3 and brief["denied"] == []
+    assert brief["problems"] and all(set(p) == {"conv_id", "idx", "snippet", "uri"} for p in brief["problems"])
+    assert corpus.project_brief("/w", ["personal"])["overview"]["sessions"] == 0
+    got = corpus.insights()
+    assert len(got["events"]) == 3 and all("id" not in p for p in got["patterns"])
+    assert corpus.workflow_summary()["autonomy-boundary"] == 3
+    assert [r.signal for r in corpus.explore(query="autonomously").collect()] == ["self-propel"] and corpus.explore(kind="ownership-boundary").count() == 0
+
+
+def test_rpc_http_and_commands(corpus):
+    import io
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from sessionlake import serve
+
+    rpc, say = serve.Rpc(corpus), lambda **m: json.dumps({"jsonrpc": "2.0"} | m)
+    assert json.loads(rpc.line(say(id=1, method="tools/list")))["error"]["code"] == -32002
+    assert json.loads(rpc.line("{"))["error"]["code"] == -32700 and json.loads(rpc.line("[]"))["error"]["code"] == -32600
+    out = io.StringIO()
+    lines = [say(id=1, method="initialize", params={}), say(method="notifications/initialized"), say(id=2, method="tools/list"), say(id=3, method="tools/call", params={"name": "search", "arguments": {"query": "gizmo"}}), say(id=4, method="tools/call", params={"name": "get_evidence", "arguments": {"uri": "nope"}}), say(id=5, method="tools/call", params={"name": "none"}), say(id=6, method="no")]
+    rpc.serve(lines, out)
+    got = {m["id"]: m for m in map(json.loads, out.getvalue().splitlines())}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and len(got[2]["result"]["tools"]) == 4
+    assert [h["id"] for h in got[3]["result"]["structuredContent"]["hits"]] == ["other"] and "[gizmo]" in got[3]["result"]["content"][0]["text"]
+    assert got[4]["result"]["isError"] and got[5]["error"]["code"] == -32602 and got[6]["error"]["code"] == -32601
+    with pytest.raises(ValueError):
+        serve.bind(corpus, "0.0.0.0", 0)
+    server = serve.bind(corpus, "127.0.0.1", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        with urllib.request.urlopen(f"{base}/api/projects?limit=1") as r:
+            assert len(json.load(r)) == 1 and r.headers["X-Content-Type-Options"] == "nosniff"
+        for path, method, code in (("/api/none", "GET", 404), ("/api/projects", "POST", 405), ("/api/search?q=(", "GET", 400), ("/api/evidence?uri=x", "GET", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                urllib.request.urlopen(urllib.request.Request(base + path, method=method))
+            assert e.value.code == code
+    finally:
+        server.shutdown()
+    assert json.loads(serve.dumped(serve.command(corpus, "sessions", ["q=oth"])))[0]["id"] == "other"
+    with pytest.raises(ValueError):
+        serve.command(corpus, "_resolve", [])
