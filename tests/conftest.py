@@ -11,7 +11,7 @@ sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 def spark():
     from sessionlake.session import session, ship
 
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": "/tmp/sessionlake-warehouse"})
+    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": "/tmp/sessionlake-warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
