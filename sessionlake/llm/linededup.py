@@ -18,10 +18,14 @@ of a passage that is repeated in the later document every copy goes.
 
 Only line hashes travel, and the masks of deleted lines; texts meet the masks in one join.
 
+An owner that very many documents share a key with is copied to `SALT` pairs each, so its pairs are
+aligned in many tasks.
+
 Defined cases: the order of documents is (doc_id, hash of text); rows without id or text pass
 unchanged and own nothing; rows that repeat id and text are one document and are edited alike;
 empty lines are neither matched nor deleted; a document that loses all its non-empty lines
-keeps an empty text in `dedup` and goes in `drop_repeats`.
+keeps an empty text in `dedup` and goes in `drop_repeats`; an empty table gives no rows; columns
+other than doc_id and text (and n_chars) play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_WORDS = 20
+#: Pairs with one owner that are aligned in one task.
+SALT = 512
 
 _SEQ = "doc_id bigint, th bigint, h array<bigint>, w array<int>, at array<int>"
 
@@ -222,32 +228,57 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = seq.select("doc_id", "th", "h", "w").mapInArrow(_keys(min_words), "doc_id bigint, th bigint, key bigint")
     owners = held.groupBy("key").agg(F.min(doc).alias("owner"), F.max(doc).alias("last")).where("owner != last").select("key", "owner")
     pairs = held.join(owners, "key").where(F.col("owner") != doc).select("doc_id", "th", F.col("owner.doc_id").alias("oid"), F.col("owner.th").alias("oth")).distinct()
+    pairs = C.materialize(pairs, "pairs")
     once = seq.dropDuplicates(["doc_id", "th"])
     theirs = once.select(F.col("doc_id").alias("oid"), F.col("th").alias("oth"), F.col("h").alias("oh"))
-    both = pairs.join(theirs, ["oid", "oth"]).join(once, ["doc_id", "th"]).select("doc_id", "th", "h", "w", "at", "oh")
+    # owners are copied as often as their pairs need tasks, so a line that a third of all documents share is no hot key
+    owned = pairs.groupBy("oid", "oth").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    copies = theirs.join(owned, ["oid", "oth"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    dealt = pairs.join(owned, ["oid", "oth"]).withColumn("part", F.expr("cast(pmod(xxhash64(doc_id, th), parts) as int)")).drop("parts")
+    both = dealt.join(copies, ["oid", "oth", "part"]).join(once, ["doc_id", "th"]).select("doc_id", "th", "h", "w", "at", "oh")
     gone = both.mapInArrow(_align(min_words), "doc_id bigint, th bigint, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
     return C.materialize(gone.mapInArrow(_masks, "doc_id bigint, th bigint, mask array<boolean>"), "masks")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text rewritten, and __lines, __gone (lines before, lines deleted), __empty (nothing left of a text that lost lines)."""
-    masks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("mask").alias("__mask"))
-    text = F.col("text").cast("string")
+def _edited(docs: DataFrame, min_words: int):
+    """docs with columns c0, c1, ..., the masks of deleted lines and what is left of the text; the text's column."""
+    masks = repeats(docs, min_words)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    id_, text = (F.col(f"c{docs.columns.index(x)}") for x in ("doc_id", "text"))
     # texts are always shuffled to the masks: their number follows the repeats in the data, so they are never broadcast
-    out = docs.hint("merge").join(masks.hint("merge"), (docs["doc_id"].cast("bigint") == masks["__d"]) & (F.xxhash64(docs["text"].cast("string")) == masks["__t"]), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("__mask", i), F.lit(False))), "\n")
-    out = out.withColumns({
-        "__lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint"),
-        "__gone": F.coalesce(F.size(F.filter("__mask", lambda x: x)), F.lit(0)).cast("bigint"),
-        "text": F.when(F.col("__mask").isNull(), text).otherwise(kept),
-    })
-    return out.withColumn("__empty", (F.col("__gone") > 0) & (F.trim(F.regexp_replace("text", "\n", "")) == "")).drop("__d", "__t", "__mask")
+    near = (id_.cast("bigint") == masks["doc_id"]) & (F.xxhash64(text.cast("string")) == masks["th"])
+    text = text.cast("string")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
+    out = flat.hint("merge").join(masks.hint("merge"), near, "left")
+    return out.withColumn("left", F.when(F.col("mask").isNull(), text).otherwise(kept)), text
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text without the deleted lines, n_lines and n_deleted of every row; emptied: nothing is left of a text that lost lines."""
+    out, text = _edited(docs, min_words)
+    lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    gone = F.coalesce(F.size(F.filter("mask", lambda x: x)), F.lit(0)).cast("bigint")
+    emptied = F.col("mask").isNotNull() & _blank(F.col("left"))
+    return out.select(F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), F.col("left").alias("text"), lines.alias("n_lines"), gone.alias("n_deleted"), emptied.alias("emptied"))
+
+
+def _blank(text):
+    return F.trim(F.regexp_replace(text, "\n", "")) == ""
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated blocks deleted, with their columns; those left empty by it go."""
-    out = dedup(docs, min_words).where("NOT __empty")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The documents with repeated blocks deleted, with all their columns, whatever these are called; those left empty by it go.
+
+    n_chars, where there is one, is set anew for edited texts.  Rows without id or text stay as they are."""
+    edited = F.col("mask").isNotNull()
+    out = _edited(docs, min_words)[0].where(~(edited & _blank(F.col("left"))))
+
+    def column(i, name):
+        if name == "text":
+            return F.col("left").cast(docs.schema[i].dataType).alias(name)
+        if name == "n_chars":
+            return F.when(edited, F.length("left")).otherwise(F.col(f"c{i}")).cast(docs.schema[i].dataType).alias(name)
+        return F.col(f"c{i}").alias(name)
+
+    return out.select(*(column(i, c) for i, c in enumerate(docs.columns)))
