@@ -230,10 +230,13 @@ def items_digest(items) -> str:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The documents that hold no window of a benchmark item, with their columns.
-
-    Decisions are kept by doc_id; rows that repeat an id share its decision, and rows without an id are judged by text."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), -1 - F.abs(F.xxhash64("text") % (1 << 62))))
-    found = search(build_index(keyed.select(F.col("__key").alias("doc_id"), "text")), benchmark, n)
-    bad = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
+    """The documents that hold no window of a benchmark item, with all their columns, whatever these are called.
+
+    Rows are judged by (doc_id, text), through a 64-bit hash of both: equal rows share a verdict, a row with another
+    text under the same id does not.  Null and empty texts stay; an empty benchmark drops nothing."""
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    id_, text = (F.col(f"c{docs.columns.index(x)}") for x in ("doc_id", "text"))
+    keyed = flat.withColumn("row", F.xxhash64(id_.cast("bigint"), id_.isNull(), text.cast("string")))
+    found = search(build_index(keyed.select(F.col("row").alias("doc_id"), text.alias("text"))), benchmark, n)
+    bad = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(bad, "row", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
