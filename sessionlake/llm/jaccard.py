@@ -338,7 +338,7 @@ def _outer(percent: int):
 
 def _row_hash(doc_id, text):
     """Hash of a row's text, and of whether it has an id."""
-    return F.xxhash64(text, F.col(doc_id).isNull())
+    return F.xxhash64(text, (F.col(doc_id) if isinstance(doc_id, str) else doc_id).isNull())
 
 
 class Join:
@@ -487,16 +487,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     """Exactly one row of each component, with its columns: the smallest id, then hash of text; rows without an id come last.
 
     One row of repeated equal rows (id and text) stays.  Rows without words are kept."""
-    at = [F.coalesce("doc_id", F.lit(0)).alias("__i"), F.col("th").alias("__t")]
+    at = [F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("th").alias("t")]
     of = Join(docs, percent, k).placed().where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), *at).alias("row"))
     best = of.groupBy("root").agg(F.min("row").alias("best"))
     marks = of.groupBy("root", "row").agg(F.count("*").alias("n")).join(best, "root")
-    marks = marks.withColumn("__gone", F.col("row") != F.col("best")).where("__gone or n > 1").select("row.__i", "row.__t", "__gone")
+    marks = marks.withColumn("gone", F.col("row") != F.col("best")).where("gone or n > 1").select("row.i", "row.t", "gone")
     marks = C.materialize(marks, "marks")
-    own = docs.withColumns({"__d": F.col("doc_id").cast("bigint"), "__x": F.col("text").cast("string")})
-    own = own.withColumns({"__i": F.coalesce("__d", F.lit(0)), "__t": _row_hash("__d", "__x")}).drop("__d", "__x")
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no column of the caller can clash
+    id_, text = F.col(f"c{docs.columns.index('doc_id')}").cast("bigint"), F.col(f"c{docs.columns.index('text')}").cast("string")
+    own = flat.withColumns({"i": F.coalesce(id_, F.lit(0)), "t": _row_hash(id_, text)})
     # never broadcast: the number of dropped rows follows the input
-    left = own.hint("merge").join(marks.hint("merge"), ["__i", "__t"], "left").where("NOT coalesce(__gone, false)")
+    left = own.hint("merge").join(marks.hint("merge"), ["i", "t"], "left").where("NOT coalesce(gone, false)")
     # equal rows lie together after the join
-    left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__t").orderBy("__i"))).where("__gone is null or __n = 1")
-    return left.select(*docs.columns)
+    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("i", "t").orderBy("i"))).where("gone is null or nth = 1")
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
