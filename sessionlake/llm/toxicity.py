@@ -45,7 +45,7 @@ TELLING = 32
 #: Standard deviations by which a feature's document frequency in P must exceed that in U.
 SIGNIFICANT = 6.0
 #: Times the frequency in the others at least, which is that in U less the prior's share of that in P.
-LIFT = 5.0
+LIFT = 30.0
 _BLOOM = 20
 #: The bit that is set in plain keys and clear in those of dense texts.
 DENSELY = np.uint64(1)
