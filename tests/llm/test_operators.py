@@ -456,3 +456,21 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_near_vectors_across_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(rabitq, "CELL", 150)
+    r = np.random.default_rng(2)
+    n, dim = 1500, 32
+    a = r.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = r.standard_normal((n, dim))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.9505 * a + math.sqrt(1 - 0.9505**2) * side  # just within the threshold, so a cell's border often parts them
+    v = np.concatenate([a, b])
+    got = {x.vec_id: x for x in rabitq.near_dedup(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")).collect()}
+    links = (v @ v.T >= rabitq.COSINE).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(2 * n)])
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum() and links.sum() >= 2 * n
+    assert sum(got[n + i].component_id == i for i in range(n)) >= 0.9 * n
