@@ -181,6 +181,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The plan of all documents: null text is its end id alone, repeated rows and rows without id are packed like others, an empty table gives no rows."""
     return pack(docs)
 
 

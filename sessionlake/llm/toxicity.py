@@ -248,7 +248,9 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:
-    """The documents scored below the threshold, with their columns; the model is fitted on all_docs (docs by default)."""
+    """The documents scored below the threshold, with all their columns, whatever these are called; the model is fitted on all_docs (docs by default).
+
+    Null and empty texts are judged as texts without features, repeated rows alike; without confirmed labels the score is the prior."""
     model = fit(docs if all_docs is None else all_docs, labels)
     width = len(docs.columns)
     at = docs.columns.index("text")
