@@ -22,8 +22,10 @@ _TOKEN = r"[\p{L}\p{N}]+"
 
 def tokens(content: Column) -> Column:
     """Runs of letters and digits, without case and diacritics."""
-    plain = F.translate(F.regexp_replace(F.lower(content), r"\p{Mn}+", ""), _FROM, _TO)
-    return F.regexp_extract_all(plain, F.lit(f"({_TOKEN})"), F.lit(1))
+    ascii_only = F.octet_length(content) == F.length(content)
+    folded = F.translate(F.regexp_replace(F.lower(content), r"\p{Mn}+", ""), _FROM, _TO)
+    # ASCII texts need no folding and a plainer class
+    return F.regexp_extract_all(F.when(ascii_only, F.lower(content)).otherwise(folded), F.when(ascii_only, F.lit("([a-z0-9]+)")).otherwise(F.lit(f"({_TOKEN})")), F.lit(1))
 
 
 def words(text: str) -> list[str]:
