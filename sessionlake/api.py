@@ -348,7 +348,7 @@ class Corpus:
 
     def explore(self, **filters: str) -> DataFrame:
         """Patterns as they may be shown, filtered as in `explorer.filtered`."""
-        p = E.filtered(self.workflow_patterns(), P.timeline(self.workflow_evolution()), **filters)
+        p = E.filtered(self.workflow_patterns(), P.occurrences(P.memberships(self.workflow_evolution())), **filters)
         return E.bounded_patterns(p.orderBy(*E.pattern_order()))
 
     def validate(self, labels: str) -> DataFrame:

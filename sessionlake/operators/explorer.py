@@ -23,11 +23,11 @@ def pattern_order() -> list[Column]:
     return [F.desc("episodes"), ordinal("kind", R.KINDS), F.col("signal"), ordinal("role", R.AGENT_ROLES), F.col("id")]
 
 
-def filtered(patterns: DataFrame, timeline: DataFrame, query: str = "", since: str = "", until: str = "", reviews: DataFrame | None = None, review: str = "", harness: str = "", **equal: str) -> DataFrame:
+def filtered(patterns: DataFrame, occurrences: DataFrame, query: str = "", since: str = "", until: str = "", reviews: DataFrame | None = None, review: str = "", harness: str = "", **equal: str) -> DataFrame:
     """Patterns whose text holds the query, whose columns (kind, signal, role, outcome) are equal, that saw the harness, have the
     review and any occurrence in the days since..until; empty filters do not filter.
 
-    reviews: id, disposition, label, note; patterns without one are unreviewed."""
+    occurrences: all of them, as of `patterns.occurrences`; reviews: id, disposition, label, note; patterns without one are unreviewed."""
     none = F.lit(None).cast("string")
     p = patterns.join(reviews.select("id", "disposition", "label", "note"), "id", "left") if reviews is not None else patterns.withColumns({c: none for c in ("disposition", "label", "note")})
     p = p.withColumn("disposition", F.coalesce("disposition", F.lit("unreviewed")))
@@ -43,7 +43,7 @@ def filtered(patterns: DataFrame, timeline: DataFrame, query: str = "", since: s
         p = p.where(F.array_contains(F.split("harnesses", r"\|"), harness))
     if since or until:
         day = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd")
-        seen = timeline.where(day.between(since or "0000-01-01", until or "9999-12-31")).select(*P.KEY).distinct()
+        seen = occurrences.where(day.between(since or "0000-01-01", until or "9999-12-31")).select(*P.KEY).distinct()
         p = p.join(seen, P.KEY, "left_semi")
     return p
 

@@ -623,7 +623,7 @@ def label_evidence(spark, sf):
 def pattern_filter(spark, sf):
     groups = _groups(spark, sf)
     p = P.patterns(groups, N.comparisons(groups, N.observations(V.turns(spark, sf))))
-    return E.filtered(p, P.timeline(groups), query="OPERAT", harness="codex", since="2024-01-05", until="2024-01-20").select(*P.KEY)
+    return E.filtered(p, P.occurrences(P.memberships(groups)), query="OPERAT", harness="codex", since="2024-01-05", until="2024-01-20").select(*P.KEY)
 
 
 @query(f"{_CMP} SELECT cm.* EXCLUDE (id), len(projects) AS project_count FROM cm JOIN gr USING (id)")

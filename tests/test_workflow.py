@@ -136,3 +136,15 @@ def test_shown_hits_and_bad_expressions():
     for bad in ("(flake", "flake)", "AND flake", "flake NOT", "NOT flake"):
         with pytest.raises(ValueError):
             S.Expression(bad)
+
+
+def test_pattern_filter_sees_occurrences_beyond_the_timeline(spark, tmp_path):
+    """Patterns with more occurrences than a timeline shows, of which only the older lie in the days."""
+    import oracle
+
+    from sessionlake.plans import queries as plans
+
+    rows = [(c, i, ("user", "assistant")[i % 2], "again") for c in range(3000) for i in range(2)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "conversations.parquet")
+    assert oracle.compare(plans.pattern_filter(spark, str(tmp_path)), oracle.connect(str(tmp_path)), plans.SQL["pattern_filter"]) is None
