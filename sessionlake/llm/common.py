@@ -214,6 +214,16 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int):
     return h[keep], doc[keep]
 
 
+def shingle_weights(weight: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """Sum of the words' weights in every shingle, in the order of `shingle_hashes`."""
+    at = np.arange(len(weight))
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    end = bounds[1:][doc]
+    keep = (end - at >= k) | (at == bounds[:-1][doc])
+    total = np.append(0, np.cumsum(weight, dtype=np.int64))
+    return total[np.minimum(at + k, end)[keep]] - total[at[keep]]
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges start..start+size."""
     sizes = np.asarray(sizes, np.int64)
@@ -239,6 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(e, "edges")
     mark = None
     while True:
+        was = e
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if now == mark or not now.n:
             break
@@ -250,5 +261,6 @@ def components(edges: DataFrame) -> DataFrame:
         near = e.join(low, "u")
         e = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(e, "edges")
+        remove(was)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,8 +6,10 @@ Plain pivots alone do not partition text: unrelated documents are all at distanc
 pivot, so every triangle-inequality window would hold everything.  So the first cut into regions
 uses one fact that stays exact: order the shingles globally, then two sets within eps share a
 shingle among the first floor((1 - t) n) + 1 of each.  A region is the sets that hold a shingle
-in that prefix.  The order puts shingles that are frequent in a bounded sample last, so regions
-of common passages arise only between sets made of little else.  This prefix filter with one pivot a
+in that prefix.  The order goes by the documents expected to hold a shingle: the product of its
+words' frequencies in a bounded sample, or its own count there, if that is more.  Shingles with rare
+words come first, so unrelated texts hardly meet however large the table; common passages come last.
+The order is a function of the shingle's words alone, so it is the same in all documents.  This prefix filter with one pivot a
 region stands in place of Voronoi regions about pivots: no set is assigned to its nearest pivot,
 no boundary set is replicated and nothing recurses.
 
@@ -47,26 +49,36 @@ WORDS, PERCENT = 5, 75
 #: Sets of a region that are compared pair by pair.
 LEAF = 8
 #: Members and outer sets of one task, and bits of the candidate map.
-MEMBERS, OUTER, MAP = 2048, 256, 1 << 24
-#: Documents that are sampled for the shingle order, and frequent shingles kept from them.
-SAMPLE, FREQUENT = 8192, 1 << 17
+MEMBERS, OUTER, MAP = 2048, 1024, 1 << 24
+#: Documents that are sampled for the frequencies of words, and at most SAMPLE * WIDE, one in SHARE, for those of shingles.
+SAMPLE, WIDE, SHARE = 8192, 16, 4
+#: Frequent shingles and words kept from them, and bits of the words' table.
+FREQUENT, VOCABULARY, SLOTS = 1 << 18, 1 << 16, 20
+#: Steps of a doubling in that order.
+GRAIN = 16
 #: Prefix shingles that one bucket gathers about.
 BUCKET = 1 << 20
 
 _U = np.uint64
 
 
-def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS):
-    """(sorted distinct shingle hashes, bounds of each document) of one step."""
-    words, bounds = C.word_hashes(data, off, C.GRAPHIC, 7)
-    h, doc = C.shingle_hashes(words, bounds, k)
+def ranked_shingles(data: np.ndarray, off: np.ndarray, k: int, weight: np.ndarray):
+    """(sorted distinct shingle hashes, bounds of each document, sums of their words' weights) of one step."""
+    words, first = C.word_hashes(data, off, C.GRAPHIC, 7)
+    h, doc = C.shingle_hashes(words, first, k)
+    rank = C.shingle_weights(weight[words >> _U(64 - SLOTS)], first, k)
     order = np.argsort(h, kind="stable")
     order = order[np.argsort(doc[order], kind="stable")]
-    h, doc = h[order], doc[order]
+    h, doc, rank = h[order], doc[order], rank[order]
     if len(h):
         keep = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-        h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(off)))
+        h, doc, rank = h[keep], doc[keep], rank[keep]
+    return h, np.searchsorted(doc, np.arange(len(off))), rank
+
+
+def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS):
+    """(sorted distinct shingle hashes, bounds of each document) of one step."""
+    return ranked_shingles(data, off, k, np.zeros(1 << SLOTS, np.int16))[:2]
 
 
 def set_keys(h: np.ndarray, bounds: np.ndarray):
@@ -101,21 +113,46 @@ def most_shared(na: int, nb: int, difference: int) -> int:
     return min(na, nb, (na + nb - difference) // 2)
 
 
+class Order:
+    """The order of shingles: its ranks are in steps of 1 / GRAIN of a doubling of the documents expected to hold a shingle."""
+
+    def __init__(self, words, n_docs: int, n_shingles: int, n_words: int):
+        """words: (hash, count) in the sample of n_docs."""
+        self.base = int(self._log(n_shingles, n_docs))
+        self.weight = np.full(1 << SLOTS, self._log(0.5, n_words), np.int16)
+        np.maximum.at(self.weight, (words[0] >> _U(64 - SLOTS)).astype(np.int64), self._log(words[1], n_words).astype(np.int16))
+        self.hash, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray, n: np.ndarray, n_docs: int) -> None:
+        """Shingles with their documents in a sample of n_docs."""
+        at = np.argsort(h)
+        self.hash, self.rank = h[at], self._log(n[at], n_docs)
+
+    @staticmethod
+    def _log(n, of):
+        return np.rint(GRAIN * np.log2(np.maximum(n, 0.5) / max(of, 1))).astype(np.int64)
+
+    def ranked(self, data: np.ndarray, off: np.ndarray, k: int):
+        """As `ranked_shingles`, with ranks."""
+        h, bounds, rank = ranked_shingles(data, off, k, self.weight)
+        rank += self.base
+        if len(self.hash) and len(h):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            rank = np.where(self.hash[at] == h, np.maximum(self.rank[at], rank), rank)
+        return h, bounds, rank
+
+
 _SETS = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, sketch binary, prefix binary"
 
 
-def _sets(common_hash: np.ndarray, common_rank: np.ndarray, percent: int, k: int):
+def _sets(ordered: Order, percent: int, k: int):
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(1))
             for i, j in C.steps(off):
-                h, bounds = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                h, bounds, rank = ordered.ranked(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n = np.diff(bounds)
                 s1, s2 = set_keys(h, bounds)
-                rank = np.zeros(len(h), np.int64)
-                if len(common_hash) and len(h):
-                    at = np.minimum(np.searchsorted(common_hash, h), len(common_hash) - 1)
-                    rank = np.where(common_hash[at] == h, common_rank[at], 0)
                 doc = np.repeat(np.arange(j - i), n)
                 order = np.lexsort((rank, doc))  # h ascends within a document already
                 first = h[order]
@@ -127,27 +164,60 @@ def _sets(common_hash: np.ndarray, common_rank: np.ndarray, percent: int, k: int
     return run
 
 
-def _shingle_counts(k: int):
+_COUNTS = "kind int, h bigint, n bigint"
+
+
+def _words(k: int):
+    """kind 0: counts of words, 1: documents, shingles and words in all."""
+
+    def run(batches):
+        for b in batches:
+            data, off = C.buffers(b.column(0))
+            for i, j in C.steps(off):
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                w, bounds = C.word_hashes(part, at, C.GRAPHIC, 7)
+                key, n = np.unique(w, return_counts=True)
+                total = [j - i, len(C.shingle_hashes(w, bounds, k)[0]), len(w)]
+                yield pa.RecordBatch.from_pydict({"kind": np.append(np.zeros(len(key), np.int32), np.ones(3, np.int32)), "h": np.append(key.view(np.int64), np.arange(3)), "n": np.append(n, total)})
+
+    return run
+
+
+def _rare(order: Order, k: int):
+    """kind 0: documents of the shingles that the words put in the first half of a document, 1: documents in all."""
+
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(0))
             for i, j in C.steps(off):
-                h, _ = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                key, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": key.view(np.int64), "n": n})
+                h, bounds, rank = order.ranked(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                n = np.diff(bounds)
+                doc = np.repeat(np.arange(j - i), n)
+                at = np.lexsort((rank, doc))
+                key, n = np.unique(h[at[(np.arange(len(h)) - bounds[:-1][doc]) * 2 <= n[doc]]], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"kind": np.append(np.zeros(len(key), np.int32), np.int32(1)), "h": np.append(key.view(np.int64), 0), "n": np.append(n, j - i)})
 
     return run
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in two or more of the sampled documents, with that count: only the order depends on them."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(SAMPLE)
-    text = docs.join(F.broadcast(ids), "doc_id").select("text")  # SAMPLE rows at most
-    n = text.mapInArrow(_shingle_counts(k), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    got = n.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = np.asarray(got["h"]).view(np.uint64), np.asarray(got["n"])
-    order = np.argsort(h)
-    return h[order], n[order]
+def _order(docs: DataFrame, k: int) -> Order:
+    """The order by sampled documents: words first, then shingles that more documents hold than their words let expect."""
+    n = docs.count()
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("order")), F.lit(1 << 30))
+
+    def counted(run, most: int, limit: int):
+        text = docs.where(part < ((most << 30) // max(n, 1))).select("text")
+        made = C.materialize(text.mapInArrow(run, _COUNTS).groupBy("kind", "h").agg(F.sum("n").alias("n")).where("n > 1 or kind = 1"), "counts")
+        got = made.where("kind = 0").orderBy(F.desc("n"), "h").limit(limit).toArrow()
+        total = {x.h: x.n for x in made.where("kind = 1").collect()}
+        C.remove(made)
+        return (np.asarray(got["h"]).view(np.uint64), np.asarray(got["n"])), [total.get(i, 0) for i in range(3)]
+
+    words, total = counted(_words(k), min(n, SAMPLE), VOCABULARY)
+    order = Order(words, *total)
+    (h, count), total = counted(_rare(order, k), min(n, SAMPLE * WIDE, max(SAMPLE, n // SHARE)), FREQUENT)
+    order.add(h, count, total[0])
+    return order
 
 
 _POST = "kind int, bucket int, h binary, uid binary, n binary"
@@ -347,31 +417,43 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, k: int = WORDS):
         self.percent, self.k = percent, k
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.made.append(C.materialize(df, name, codec))
+        return self.made[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads; without tables, all."""
+        tables = tables or tuple(self.made)
+        self.made = [x for x in self.made if all(x is not t for t in tables)]
+        C.remove(*tables)
 
     def near(self, slack: int = 0):
         """SQL: the pair's shared shingles reach the threshold less slack percent."""
         return f"100 * shared >= {self.percent - slack} * (na + nb - shared)"
 
     def prepare(self) -> None:
-        common_hash, common_rank = _frequent(self.docs, self.k)
-        made = self.docs.select("doc_id", "text", _row_hash("doc_id", "text").alias("th")).mapInArrow(_sets(common_hash, common_rank, self.percent, self.k), _SETS)
-        self.sets = C.materialize(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
+        made = self.docs.select("doc_id", "text", _row_hash("doc_id", "text").alias("th")).mapInArrow(_sets(_order(self.docs, self.k), self.percent, self.k), _SETS)
+        self.sets = self.keep(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
         members = self.sets.where("n > 0").select("uid", "doc_id", "n", "s1", "s2")
-        self.classes = C.materialize(members.groupBy("n", "s1", "s2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("doc_id")), "classes")
-        self.rows = C.materialize(members.drop("doc_id").join(self.classes.drop("doc_id"), ["n", "s1", "s2"]).select("uid", "cid"), "rows")
+        self.classes = self.keep(members.groupBy("n", "s1", "s2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("doc_id")), "classes")
+        self.rows = self.keep(members.drop("doc_id").join(self.classes.drop("doc_id"), ["n", "s1", "s2"]).select("uid", "cid"), "rows")
 
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs of classes that share a region, and the members of large regions: (h, cid)."""
+    def candidates(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs of classes that share a region, the members of large regions: (h, cid), and the table behind the pairs."""
         total = self.sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
         bits = max(8, int(total // 8 // BUCKET).bit_length())
         post = self.sets.where("n > 0").select("uid", "n", "s1", "s2", "prefix").mapInArrow(_postings(bits), _POST)
         shared = post.where("kind = 0").groupBy("bucket").applyInArrow(_regions(self.percent), _POST)
-        both = C.materialize(post.where("kind > 0").unionByName(shared), "regions")
+        both = self.keep(post.where("kind > 0").unionByName(shared), "regions")
+        prefixed, self.sets = self.sets, self.keep(self.sets.drop("prefix"), "sets")
+        self.drop(prefixed)
         pairs = both.where("kind = 1").mapInArrow(_unpack, "h bigint, a bigint, b bigint").select("a", "b").distinct()
         large = both.where("kind = 2").mapInArrow(_unpack, "h bigint, a bigint, b bigint")
         large = large.select("h", F.col("a").alias("uid")).unionByName(large.select("h", F.col("b").alias("uid"))).distinct()
         large = large.join(self.rows, "uid").select("h", "cid").distinct()
-        return self.named(pairs), C.materialize(large, "large")
+        return self.named(pairs), self.keep(large, "large"), both
 
     def named(self, pairs: DataFrame) -> DataFrame:
         """Pairs of rows as distinct pairs of classes."""
@@ -391,20 +473,20 @@ class Join:
         """(cid, h): the shingle sets of the pairs' classes."""
         need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(self.classes, "cid")
         spot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP))
-        need = C.materialize(need.withColumn("spot", spot), "need")
+        need = self.keep(need.withColumn("spot", spot), "need")
         words = need.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("x")).toArrow()  # MAP / 64 rows at most
         bits = np.zeros(MAP // 64, np.int64)
         bits[np.asarray(words["w"])] = np.asarray(words["x"])
         made = self.docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(_full(self.k, bits), "n bigint, s1 bigint, s2 bigint, h binary")
         made = made.hint("merge").join(need.select("n", "s1", "s2", "cid").hint("merge"), ["n", "s1", "s2"]).select("cid", "h").dropDuplicates(["cid"])
-        return C.materialize(made, "full", "none")
+        return self.keep(made, "full", "none")
 
     def exact(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
         """The pairs that reach the threshold, of pairs with na and nb."""
         left = full.select(F.col("cid").alias("a"), F.col("h").alias("ha"))
         right = full.select(F.col("cid").alias("b"), F.col("h").alias("hb"))
         joined = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-        return C.materialize(joined.mapInArrow(_intersections, _BOUND), "met")
+        return self.keep(joined.mapInArrow(_intersections, _BOUND), "met")
 
     def apart(self, pairs: DataFrame, edges: DataFrame) -> DataFrame:
         """Pairs whose classes are not connected yet."""
@@ -412,20 +494,21 @@ class Join:
         left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = pairs.join(left, "a", "left").join(right, "b", "left")
-        return C.materialize(joined.where("coalesce(ra, a) != coalesce(rb, b)").drop("ra", "rb"), "apart")
+        return self.keep(joined.where("coalesce(ra, a) != coalesce(rb, b)").drop("ra", "rb"), "apart")
 
     def linked(self, met: DataFrame) -> DataFrame:
         return met.where(self.near()).select("a", "b")
 
     def edges(self) -> DataFrame:
         self.prepare()
-        pairs, large = self.candidates()
+        pairs, large, both = self.candidates()
         # the most central set of a large region is its pivot, and regions are named by pivots
         degree = large.groupBy("cid").agg(F.count("*").alias("degree"))
         pivot = large.join(degree, "cid").groupBy("h").agg(F.max(F.struct("degree", F.expr("-cid").alias("c"))).alias("m")).select("h", F.expr("-m.c").alias("p"))
-        region = C.materialize(large.join(pivot, "h").select("p", "cid").distinct(), "region")
+        region = self.keep(large.join(pivot, "h").select("p", "cid").distinct(), "region")
         star = region.where("p != cid").select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b"))
-        bounds = C.materialize(self.bounded(pairs.unionByName(star).distinct()).where(self.near(25)), "bounds")
+        bounds = self.keep(self.bounded(pairs.unionByName(star).distinct()).where(self.near(25)), "bounds")
+        self.drop(both, large)
         near = bounds.where(self.near())
         full = self.full(near)
         # first each set with its pivot, or its first partner, then the pairs that are still apart
@@ -433,12 +516,13 @@ class Join:
         ranked = near.join(centre.withColumn("pa", F.lit(0)), F.col("a") == F.col("c"), "left").drop("c").join(centre.withColumn("pb", F.lit(0)), F.col("b") == F.col("c"), "left").drop("c")
         own = ranked.select("a", "b", "na", "nb", F.coalesce("pa", F.lit(1)).alias("pa"), F.coalesce("pb", F.lit(1)).alias("pb"))
         picks = own.select(F.col("b").alias("x"), F.struct("pa", "a", "b", "na", "nb").alias("f")).unionByName(own.where("pb = 0").select(F.col("a").alias("x"), F.struct(F.col("pb").alias("pa"), "a", "b", "na", "nb").alias("f")))
-        first = C.materialize(picks.groupBy("x").agg(F.min("f").alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct(), "first")
+        first = self.keep(picks.groupBy("x").agg(F.min("f").alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct(), "first")
         met = self.exact(first, full)
-        edges = C.materialize(self.linked(met), "links")
+        edges = self.keep(self.linked(met), "links")
         rest = self.apart(near.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), edges)
         more = self.exact(rest, full)
-        edges = C.materialize(edges.unionByName(self.linked(more)), "links")
+        self.drop(full)
+        edges = self.keep(edges.unionByName(self.linked(more)), "links")
         if region.isEmpty():
             return edges
         # sets outside the largest component of their region, against its other components
@@ -449,7 +533,7 @@ class Join:
         of = region.join(roots, region["cid"] == roots["node"], "left").select("p", "cid", F.coalesce("root", "cid").alias("root"))
         of = of.withColumns({"a": F.least("p", "cid"), "b": F.greatest("p", "cid")}).join(known, ["a", "b"], "left")
         self_ = F.col("p") == F.col("cid")
-        of = C.materialize(of.select("p", "cid", "root", F.when(self_, 0.0).otherwise(F.coalesce("d", F.lit(0.5))).alias("d"), (self_ | F.coalesce("settled", F.lit(False))).alias("settled")), "region")
+        of = self.keep(of.select("p", "cid", "root", F.when(self_, 0.0).otherwise(F.coalesce("d", F.lit(0.5))).alias("d"), (self_ | F.coalesce("settled", F.lit(False))).alias("settled")), "region")
         parts = of.groupBy("p", "root").agg(F.count("*").alias("n"))
         main = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
         main = main.select("p", F.col("m.root").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("mc"), F.ceil((F.col("all") - F.col("m.n")) / OUTER).cast("int").alias("oc"))
@@ -458,11 +542,11 @@ class Join:
         ours = rows.select("p", F.expr("cast(pmod(xxhash64(cid), mc) as int)").alias("mi"), F.explode(F.expr("sequence(0, oc - 1)")).alias("oi"), F.lit(True).alias("member"), *cols)
         theirs = rows.where("root != main").select("p", F.explode(F.expr("sequence(0, mc - 1)")).alias("mi"), F.expr("cast(pmod(xxhash64(cid, 1), oc) as int)").alias("oi"), F.lit(False).alias("member"), *cols)
         tasks = ours.unionByName(theirs).groupBy("p", "mi", "oi").applyInArrow(_outer(self.percent), "a bigint, b bigint, na bigint, nb bigint, x bigint, score bigint")
-        last = C.materialize(tasks.join(settled.select("a", "b"), ["a", "b"], "left_anti"), "outer")
+        last = self.keep(tasks.join(settled.select("a", "b"), ["a", "b"], "left_anti"), "outer")
         # again each with its likeliest partner first, then what is still apart
         full = self.full(last)
         best = last.groupBy("x").agg(F.max(F.struct("score", "a", "b", "na", "nb")).alias("f")).select("f.a", "f.b", "f.na", "f.nb").distinct()
-        edges = C.materialize(edges.unionByName(self.linked(self.exact(best, full))), "links")
+        edges = self.keep(edges.unionByName(self.linked(self.exact(best, full))), "links")
         rest = self.apart(last.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb").distinct(), edges)
         return edges.unionByName(self.linked(self.exact(rest, full)))
 
@@ -470,7 +554,9 @@ class Join:
         """doc_id, th, n and root (null: no words) per row."""
         roots = C.components(self.edges())
         of = self.rows.join(roots, self.rows["cid"] == roots["node"], "left").select("uid", F.coalesce("root", "cid").alias("root"))
-        return C.materialize(self.sets.select("uid", "doc_id", "th", "n").join(of, "uid", "left"), "roots")
+        out = C.materialize(self.sets.select("uid", "doc_id", "th", "n").join(of, "uid", "left"), "roots")
+        self.drop()
+        return out
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id per row."""
@@ -488,7 +574,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
 
     One row of repeated equal rows (id and text) stays.  Rows without words are kept."""
     at = [F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("th").alias("t")]
-    of = Join(docs, percent, k).placed().where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), *at).alias("row"))
+    placed = Join(docs, percent, k).placed()
+    of = placed.where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), *at).alias("row"))
     best = of.groupBy("root").agg(F.min("row").alias("best"))
     marks = of.groupBy("root", "row").agg(F.count("*").alias("n")).join(best, "root")
     marks = marks.withColumn("gone", F.col("row") != F.col("best")).where("gone or n > 1").select("row.i", "row.t", "gone")

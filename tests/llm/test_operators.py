@@ -474,3 +474,16 @@ def test_near_vectors_across_many_cells(spark, monkeypatch):
     found = np.array([got[i].n_links for i in range(2 * n)])
     assert (found <= links).all() and found.sum() >= 0.9 * links.sum() and links.sum() >= 2 * n
     assert sum(got[n + i].component_id == i for i in range(n)) >= 0.9 * n
+
+
+def test_jaccard_regions_of_a_passage_outside_the_sample(spark, monkeypatch):
+    """A passage of common words in few of many documents makes no large region, though the sample lacks it."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 64)
+    r = random.Random(5)
+    common = lambda n: [f"c{r.randrange(40)}" for _ in range(n)]
+    passage = common(30)
+    texts = [[w for i in range(40) for w in (f"w{d}x{i}", *common(1))] + (passage if d % 50 == 0 else common(30)) for d in range(1200)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    made = jaccard.Join(docs)
+    made.prepare()
+    assert made.candidates()[1].count() == 0
