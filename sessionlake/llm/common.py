@@ -204,7 +204,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int):
     h = np.zeros(n, np.uint64)
     doc = np.repeat(np.arange(len(size)), size)
     left = bounds[1:][doc] - np.arange(n)
-    for i in range(k):
+    for i in range(min(k, n)):
         ok = left > i
         step = np.zeros(n, np.uint64)
         step[: n - i][ok[: n - i]] = words[i:][ok[: n - i]]

@@ -580,6 +580,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     marks = of.groupBy("root", "row").agg(F.count("*").alias("n")).join(best, "root")
     marks = marks.withColumn("gone", F.col("row") != F.col("best")).where("gone or n > 1").select("row.i", "row.t", "gone")
     marks = C.materialize(marks, "marks")
+    C.remove(placed)
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no column of the caller can clash
     id_, text = F.col(f"c{docs.columns.index('doc_id')}").cast("bigint"), F.col(f"c{docs.columns.index('text')}").cast("string")
     own = flat.withColumns({"i": F.coalesce(id_, F.lit(0)), "t": _row_hash(id_, text)})

@@ -487,3 +487,11 @@ def test_jaccard_regions_of_a_passage_outside_the_sample(spark, monkeypatch):
     made = jaccard.Join(docs)
     made.prepare()
     assert made.candidates()[1].count() == 0
+
+
+def test_jaccard_stage_deletes_its_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard.C, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h")], "doc_id bigint, text string")
+    out = jaccard.one_of_each(spark, docs)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"marks", "edges"}
+    assert sorted(x.doc_id for x in out.collect()) == [1, 3]
