@@ -39,21 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession):
-    """Executions inside delete their shuffle files when they end, as their results are written tables."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def tidy(spark: SparkSession, batch: int | None = None):
+    """Executions inside delete their shuffle files when they end, as their results are written tables.
+
+    batch: bytes after which Arrow batches to Python end, in place of the session's limit."""
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch:
+        conf["spark.sql.execution.arrow.maxBytesPerBatch"] = str(batch)
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with tidy(df.sparkSession):
+    with tidy(df.sparkSession, batch):
         df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
@@ -146,7 +152,7 @@ _powers: dict = {}
 def _tables(n: int, seed: int):
     """Per-byte values, and the powers of one odd base and of its inverse modulo 2**64."""
     if _powers.get("size", 0) < n:
-        n = max(n, STEP_BYTES + 4096)
+        n = max(n, min(STEP_BYTES + 4096, 1 << n.bit_length()))  # short steps make short tables
         base = 0xD6E8FEB86659FD93
         up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1

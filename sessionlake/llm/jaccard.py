@@ -50,6 +50,8 @@ WORDS, PERCENT = 5, 75
 LEAF = 8
 #: Members and outer sets of one task, and bits of the candidate map.
 MEMBERS, OUTER, MAP = 2048, 1024, 1 << 24
+#: Bytes of text of a step and of an Arrow batch: what a Python worker and the JVM hold at once follows these.
+STEP, BATCH = 1 << 18, 1 << 22
 #: Documents that are sampled for the frequencies of words, and at most SAMPLE * WIDE, one in SHARE, for those of shingles.
 SAMPLE, WIDE, SHARE = 8192, 16, 4
 #: Frequent shingles and words kept from them, and bits of the words' table.
@@ -149,7 +151,7 @@ def _sets(ordered: Order, percent: int, k: int):
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(1))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, STEP):
                 h, bounds, rank = ordered.ranked(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n = np.diff(bounds)
                 s1, s2 = set_keys(h, bounds)
@@ -173,7 +175,7 @@ def _words(k: int):
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(0))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, STEP):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 w, bounds = C.word_hashes(part, at, C.GRAPHIC, 7)
                 key, n = np.unique(w, return_counts=True)
@@ -189,7 +191,7 @@ def _rare(order: Order, k: int):
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(0))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, STEP):
                 h, bounds, rank = order.ranked(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(j - i), n)
@@ -207,7 +209,7 @@ def _order(docs: DataFrame, k: int) -> Order:
 
     def counted(run, most: int, limit: int):
         text = docs.where(part < ((most << 30) // max(n, 1))).select("text")
-        made = C.materialize(text.mapInArrow(run, _COUNTS).groupBy("kind", "h").agg(F.sum("n").alias("n")).where("n > 1 or kind = 1"), "counts")
+        made = C.materialize(text.mapInArrow(run, _COUNTS).groupBy("kind", "h").agg(F.sum("n").alias("n")).where("n > 1 or kind = 1"), "counts", batch=BATCH)
         got = made.where("kind = 0").orderBy(F.desc("n"), "h").limit(limit).toArrow()
         total = {x.h: x.n for x in made.where("kind = 1").collect()}
         C.remove(made)
@@ -341,7 +343,7 @@ def _full(k: int, bits: np.ndarray):
             spot = np.asarray(b.column(2))
             b = b.take(pa.array(np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)))
             data, off = C.buffers(b.column(1))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, STEP):
                 h, bounds = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 s1, s2 = set_keys(h, bounds)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (np.diff(bounds), s1, s2)), pa.array([C.blob(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["n", "s1", "s2", "h"])
@@ -420,7 +422,7 @@ class Join:
         self.made: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        self.made.append(C.materialize(df, name, codec))
+        self.made.append(C.materialize(df, name, codec, BATCH))
         return self.made[-1]
 
     def drop(self, *tables: DataFrame) -> None:

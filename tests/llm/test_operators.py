@@ -495,3 +495,40 @@ def test_jaccard_stage_deletes_its_tables(spark, monkeypatch, tmp_path):
     out = jaccard.one_of_each(spark, docs)
     assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"marks", "edges"}
     assert sorted(x.doc_id for x in out.collect()) == [1, 3]
+
+
+def test_jaccard_memory_of_a_worker_follows_the_step(spark, monkeypatch):
+    """Sets are made of short steps, and no Arrow batch of texts is much longer than BATCH."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4000), "text": texts, "th": range(4000)})
+    order = jaccard.Order((np.zeros(0, np.uint64), np.zeros(0, np.int64)), 1, 1, 1)
+    jaccard.C._powers.clear()
+    tracemalloc.start()
+    assert sum(x.num_rows for x in jaccard._sets(order, 75, 5)([batch])) == 4000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+
+    sets = jaccard._sets
+
+    def watched(*args):
+        run = sets(*args)
+
+        def checked(batches):
+            for b in batches:
+                assert b.num_rows < 3000, b.num_rows  # 4,000 rows have 7 MB
+                yield from run([b])
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_sets", watched)
+    made = jaccard.Join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    made.prepare()
+    assert made.sets.count() == 4000
+    made.drop()
