@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step handles; a longer document makes a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text that one numpy step handles, and one step of a tokenizer; a longer document makes a step of its own.
+STEP_BYTES, ENCODE_BYTES = 1 << 18, 2 << 20
+#: Bytes of an Arrow batch of texts: with the steps, what a Python worker and the JVM hold at once.
+BATCH = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:

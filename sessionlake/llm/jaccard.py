@@ -51,7 +51,7 @@ LEAF = 8
 #: Members and outer sets of one task, and bits of the candidate map.
 MEMBERS, OUTER, MAP = 2048, 1024, 1 << 24
 #: Bytes of text of a step and of an Arrow batch: what a Python worker and the JVM hold at once follows these.
-STEP, BATCH = 1 << 18, 1 << 22
+STEP, BATCH = C.STEP_BYTES, C.BATCH
 #: Documents that are sampled for the frequencies of words, and at most SAMPLE * WIDE, one in SHARE, for those of shingles.
 SAMPLE, WIDE, SHARE = 8192, 16, 4
 #: Frequent shingles and words kept from them, and bits of the words' table.

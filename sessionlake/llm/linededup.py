@@ -223,12 +223,12 @@ def _masks(batches):
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (xxhash64 of text), mask: which lines of the document go; only documents that lose any."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    seq = C.materialize(base.mapInArrow(_sequences, _SEQ), "lines")
+    seq = C.materialize(base.mapInArrow(_sequences, _SEQ), "lines", batch=C.BATCH)
     doc = F.struct("doc_id", "th")
     held = seq.select("doc_id", "th", "h", "w").mapInArrow(_keys(min_words), "doc_id bigint, th bigint, key bigint")
     owners = held.groupBy("key").agg(F.min(doc).alias("owner"), F.max(doc).alias("last")).where("owner != last").select("key", "owner")
     pairs = held.join(owners, "key").where(F.col("owner") != doc).select("doc_id", "th", F.col("owner.doc_id").alias("oid"), F.col("owner.th").alias("oth")).distinct()
-    pairs = C.materialize(pairs, "pairs")
+    pairs = C.materialize(pairs, "pairs", batch=C.BATCH)
     once = seq.dropDuplicates(["doc_id", "th"])
     theirs = once.select(F.col("doc_id").alias("oid"), F.col("th").alias("oth"), F.col("h").alias("oh"))
     # owners are copied as often as their pairs need tasks, so a line that a third of all documents share is no hot key
@@ -238,7 +238,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     both = dealt.join(copies, ["oid", "oth", "part"]).join(once, ["doc_id", "th"]).select("doc_id", "th", "h", "w", "at", "oh")
     gone = both.mapInArrow(_align(min_words), "doc_id bigint, th bigint, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    return C.materialize(gone.mapInArrow(_masks, "doc_id bigint, th bigint, mask array<boolean>"), "masks")
+    return C.materialize(gone.mapInArrow(_masks, "doc_id bigint, th bigint, mask array<boolean>"), "masks", batch=C.BATCH)
 
 
 def _edited(docs: DataFrame, min_words: int):

@@ -43,7 +43,7 @@ def _pieces(size: int, end: int, path: str, drops_space: bool, with_ids: bool, m
         for b in batches:
             ids, null = C.int64s(b.column(0))
             data, off = C.buffers(b.column(1))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, C.ENCODE_BYTES):
                 tok, bounds = T.with_end(*enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i]), end)
                 count = -(-np.diff(bounds) // size)
                 doc = np.repeat(np.arange(j - i), count)

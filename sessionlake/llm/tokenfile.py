@@ -289,7 +289,7 @@ def _write(end: int, path: str, drops_space: bool, marks: bool):
         for b in batches:
             ids, null = C.int64s(b.column(0))
             data, off = C.buffers(b.column(1))
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, C.ENCODE_BYTES):
                 tok, bounds = T.with_end(*enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i]), end)
                 held.append((ids[i:j], null[i:j], bounds, tok))
                 size += len(tok)

@@ -26,6 +26,7 @@ score is the prior.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,34 +70,44 @@ class Model:
             out[i:j] += np.bincount(doc, self.weights[feature], j - i)
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
+    @cached_property
+    def lookup(self):
+        return Lookup(self.sorted)
+
     def present(self, data, off):
         """Distinct (feature, document) pairs."""
-        key, doc = held(data, off, self.sorted)
+        key, doc = self.lookup.held(data, off)
         return self.order[key], doc
 
 
-def held(data, off, keys: np.ndarray):
-    """(place in the ascending keys, document) of every key that a document holds, by documents.
+class Lookup:
+    """Ascending keys, to be found in texts.
 
     A key's upper form, one bit flipped, stands for a document that is dense with it."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, doc, words = features(data, off)
-    plain = np.unique(keys | DENSELY)
-    bloom = np.zeros(1 << _BLOOM, bool)
-    bloom[plain >> np.uint64(64 - _BLOOM)] = True
-    hit = np.flatnonzero(bloom[found >> np.uint64(64 - _BLOOM)])
-    found, doc = found[hit], doc[hit]
-    at = np.minimum(np.searchsorted(plain, found), len(plain) - 1)
-    ok = plain[at] == found
-    pair, n = np.unique(doc[ok] * np.int64(len(plain)) + at[ok], return_counts=True)
-    doc, found = pair // len(plain), plain[pair % len(plain)]
-    dense = dense_with(n, words[doc])
-    found, doc = np.append(found, found[dense] ^ DENSELY), np.append(doc, doc[dense])
-    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-    ok = np.flatnonzero(keys[at] == found)
-    ok = ok[np.argsort(doc[ok], kind="stable")]
-    return at[ok], doc[ok]
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.plain = keys, np.unique(keys | DENSELY)
+        self.bloom = np.zeros(1 << _BLOOM, bool)
+        self.bloom[self.plain >> np.uint64(64 - _BLOOM)] = True
+
+    def held(self, data, off):
+        """(place in the keys, document) of every key that a document holds, by documents."""
+        keys, plain = self.keys, self.plain
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, doc, words = features(data, off)
+        hit = np.flatnonzero(self.bloom[found >> np.uint64(64 - _BLOOM)])
+        found, doc = found[hit], doc[hit]
+        at = np.minimum(np.searchsorted(plain, found), len(plain) - 1)
+        ok = plain[at] == found
+        pair, n = np.unique(doc[ok] * np.int64(len(plain)) + at[ok], return_counts=True)
+        doc, found = pair // len(plain), plain[pair % len(plain)]
+        dense = dense_with(n, words[doc])
+        found, doc = np.append(found, found[dense] ^ DENSELY), np.append(doc, doc[dense])
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        ok = np.flatnonzero(keys[at] == found)
+        ok = ok[np.argsort(doc[ok], kind="stable")]
+        return at[ok], doc[ok]
 
 
 def dense_with(n: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -139,11 +150,11 @@ def _frequencies(candidates: np.ndarray):
     """(candidate, documents that hold it): one row for each in a task."""
 
     def run(batches):
-        total = np.zeros(len(candidates), np.int64)
+        total, lookup = np.zeros(len(candidates), np.int64), Lookup(candidates)
         for b in batches:
             data, off = C.buffers(b.column(0))
             for i, j in C.steps(off):
-                total += np.bincount(held(data[off[i] : off[j]], off[i : j + 1] - off[i], candidates)[0], minlength=len(candidates))
+                total += np.bincount(lookup.held(data[off[i] : off[j]], off[i : j + 1] - off[i])[0], minlength=len(candidates))
         if total.any():
             yield pa.RecordBatch.from_pydict({"key": candidates[total > 0].view(np.int64), "n": total[total > 0]})
 
@@ -154,9 +165,10 @@ def _rows(model: Model):
     def run(batches):
         for b in batches:
             data, off = C.buffers(b.column(1))
-            feature, doc = model.present(data, off)
-            bounds = np.searchsorted(doc, np.arange(len(off))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(feature.astype(np.int32)))], names=["kind", "x"])
+            for i, j in C.steps(off):
+                feature, doc = model.present(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                bounds = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(feature.astype(np.int32)))], names=["kind", "x"])
 
     return run
 
@@ -200,16 +212,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rest = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
     ids = C.materialize(chosen.unionByName(rest).distinct(), "sample")
     sample = docs.join(F.broadcast(ids), "doc_id").select("kind", "text")  # ids: positives + unlabelled rows at most
-    sample = C.materialize(sample, "sample-text")
+    sample = C.materialize(sample, "sample-text", batch=C.BATCH)
     size = {r.kind: r.n for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     p, u = max(size.get(1, 0), 1), max(docs.count(), 1)
     count = F.sum("n").alias("n")
-    ours = sample.where("kind = 1").select("text").mapInArrow(_agreed, "key bigint, n bigint").groupBy("key").agg(count)
-    ours = ours.where(F.col("n") >= AGREE).orderBy(F.desc("n"), "key").limit(CANDIDATES).toArrow()
+    agreed = sample.where("kind = 1").select("text").mapInArrow(_agreed, "key bigint, n bigint").groupBy("key").agg(count)
+    agreed = C.materialize(agreed.where(F.col("n") >= AGREE), "agreed", batch=C.BATCH)
+    ours = agreed.orderBy(F.desc("n"), "key").limit(CANDIDATES).toArrow()
     keys, own = np.asarray(ours["key"]).view(np.uint64), np.asarray(ours["n"]).astype(float)
     order = np.argsort(keys)
     keys, own = keys[order], own[order]
-    seen = docs.select("text").mapInArrow(_frequencies(keys), "key bigint, n bigint").groupBy("key").agg(count).toArrow()  # at most CANDIDATES rows
+    counts = C.materialize(docs.select("text").mapInArrow(_frequencies(keys), "key bigint, n bigint").groupBy("key").agg(count), "frequencies", batch=C.BATCH)
+    seen = counts.toArrow()  # at most CANDIDATES rows
+    C.remove(agreed, counts)
     everywhere = np.zeros(len(keys))
     everywhere[np.searchsorted(keys, np.asarray(seen["key"]).view(np.uint64))] = np.asarray(seen["n"])
     r = (everywhere + 1) / (u + 2)

@@ -532,3 +532,41 @@ def test_jaccard_memory_of_a_worker_follows_the_step(spark, monkeypatch):
     made.prepare()
     assert made.sets.count() == 4000
     made.drop()
+
+
+def test_stage_memory_of_a_worker_follows_the_step():
+    """One long Arrow batch of texts: toxicity and line dedup hold the arrays of a short step only, and find the same as step by step."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(5000)]
+    texts = [" ".join(r.choices(words, k=300)) + "\n" + " ".join(r.choices(words, k=300)) for _ in range(1500)]  # 8 MB
+    column = pa.array(texts)
+    data, off = toxicity.C.buffers(pa.array(texts[:50]))
+    keys = np.unique(toxicity.features(data, off)[0])
+    model = toxicity.Model(keys, np.ones(len(keys)), 0.0, 0.1)
+    whole = toxicity.Lookup(keys).held(*toxicity.C.buffers(column))
+    seen = np.bincount(whole[0], minlength=len(keys))
+    size = np.bincount(whole[1], minlength=len(texts)).tolist()
+    del whole
+
+    def peak(run, *columns):
+        batch = pa.RecordBatch.from_arrays(list(columns), names=[f"c{i}" for i in range(len(columns))])
+        toxicity.C._powers.clear()
+        tracemalloc.start()
+        out = [f(x) for x in run([batch])]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 50e6, most
+        return out
+
+    f = lambda x: dict(zip(np.asarray(x.column(0)).view(np.uint64).tolist(), x.column(1).to_pylist(), strict=True))
+    assert peak(toxicity._frequencies(keys), column) == [{k: n for k, n in zip(keys.tolist(), seen.tolist(), strict=True) if n}]
+    f = lambda x: x.column(1).value_lengths().to_pylist()
+    assert sum(peak(toxicity._rows(model), pa.array([0] * len(texts)), column), []) == size
+    f = lambda x: x.num_rows
+    assert sum(peak(toxicity._agreed, column)) > 0
+    assert sum(peak(toxicity._scores(model), pa.array(range(len(texts))), column, pa.array([False] * len(texts)))) == len(texts)
+    assert sum(peak(linededup._sequences, pa.array(range(len(texts))), pa.array(range(len(texts))), column)) == len(texts)
