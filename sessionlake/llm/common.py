@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -114,6 +115,12 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
+def trim() -> None:
+    """Give what this process has freed back to the system; a worker keeps it between tasks otherwise.  Nothing happens without glibc."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def int64s(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values with 0 for null, null mask)."""
     column = column.cast(pa.int64())

@@ -64,6 +64,7 @@ def _pieces(size: int, end: int, path: str, drops_space: bool, with_ids: bool, m
                     "ids": pa.array([bytes(x) for x in cut] if with_ids else [None] * len(cut), pa.binary()),
                 })
                 n += len(doc)
+        C.trim()
 
     return run
 

@@ -157,6 +157,7 @@ def _frequencies(candidates: np.ndarray):
                 total += np.bincount(lookup.held(data[off[i] : off[j]], off[i : j + 1] - off[i])[0], minlength=len(candidates))
         if total.any():
             yield pa.RecordBatch.from_pydict({"key": candidates[total > 0].view(np.int64), "n": total[total > 0]})
+        C.trim()
 
     return run
 
@@ -169,6 +170,7 @@ def _rows(model: Model):
                 feature, doc = model.present(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 bounds = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(feature.astype(np.int32)))], names=["kind", "x"])
+        C.trim()
 
     return run
 
@@ -274,6 +276,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, all_docs
         for b in batches:
             data, off = C.buffers(b.column(at))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(model.score(data, off))], names=[*(f"c{i}" for i in range(width)), "score"])
+        C.trim()
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", score double"
     out = docs.toDF(*(f"c{i}" for i in range(width))).mapInArrow(run, schema)
