@@ -39,9 +39,9 @@ from . import common as C
 from . import tokens as T
 
 END, VOCABULARY = 2, "byte_bpe_50k.json"
-BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
-#: Ids of a segment about; a longer document makes a longer one.
-SEGMENT = 1 << 22
+BLOCK, LEAST_BLOCK, LANES = 2048, 256, 2048
+#: Ids of a segment about; a longer document makes a longer one.  Those of over BLOCK * LANES ids have more blocks, so no more steps.
+SEGMENT = 1 << 23
 MAGIC = b"TIDS2\0"
 
 _RENORM, _LOW, _ALL = 1 << 32, (1 << 32) - 1, (1 << 48) - 1
@@ -50,6 +50,8 @@ _SLOTS1, _SLOTS2 = 256, 512
 #: Weights are kept in 16 bits and used in 8; their sum stays under _FULL, so order 0 always has a share.
 _WEIGHT_BITS, _FULL, _RATE = 8, 65000, 5
 _NONE = 0xFFFF
+#: Steps of the encoder that are looked up together.
+_STEPS = 4
 #: Ids from whose neighbours the first order-1 guesses are taken; only the compression depends on it.
 _LEARN = 1 << 18
 
@@ -95,130 +97,182 @@ class Prior:
         return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n))
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """-1 where two arrays of values from 0 on are equal, else 0: masks of 32 bits cost no conversions."""
+    return ((a ^ b) - 1) >> 31
+
+
 class _Model:
-    """Prediction state of many blocks, one lane each; a lane knows nothing of the others."""
+    """Prediction state of many blocks, one lane each; a lane knows nothing of the others.
+
+    Methods take one step of all lanes, or rows of steps; where orders 1 and 2 are treated alike, the
+    last axis but one has both.  Lanes lie side by side in each slot, as contexts that are frequent in
+    one are in others: what is in use stays in the cache."""
 
     def __init__(self, prior: Prior, lanes: int):
-        self.follower = prior.follower
-        self.first = np.full(lanes * _SLOTS1, _NONE << 16, np.uint32)  # id before, id after
-        self.second = np.full(lanes * _SLOTS2, _NONE << 16, np.uint32)  # hash of the two ids before, id after
-        lane = np.arange(lanes)
-        self.row1, self.row2, self.row6 = lane * _SLOTS1, lane * _SLOTS2, lane * 6
+        self.follower = prior.follower.astype(np.int32)
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        # id before and id after, then hash of the two ids before and id after
+        self.slots = np.full((_SLOTS1 + _SLOTS2) * lanes, _NONE << 16, np.uint32).view(np.int32)
         # by context: whether order 1 was seen in the block; no order 2, it agrees, it differs
-        self.w1 = np.tile(np.array([0, 0, 12000] * 2), lanes)
-        self.w2 = np.tile(np.array([16000, 30000, 16000] * 2), lanes)
-        self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self):
-        """Guesses of order 1 and 2 and the weights of both and of order 0."""
-        p = self.before
-        self.at1 = self.row1 + (p & (_SLOTS1 - 1))
-        slot = self.first.take(self.at1).astype(np.int64)
-        seen = (slot >> 16) == p
-        one = np.where(seen, slot & _NONE, self.follower.take(p))
-        h = p * 40503 + self.earlier * 30011
-        self.at2 = self.row2 + ((h >> 4) & (_SLOTS2 - 1))
-        self.tag = h & _NONE
-        slot = self.second.take(self.at2).astype(np.int64)
-        known = (slot >> 16) == self.tag
-        two = np.where(known, slot & _NONE, one)
-        self.apart = one != two
-        at = self.row6 + seen * 3
-        at += known
-        at += self.apart
-        self.at, self.one, self.two = at, one, two
-        self.a, self.b = self.w1.take(at), self.w2.take(at)
-        u, v = self.a >> 8, self.b >> 8
-        return one, two, u, v, (1 << _WEIGHT_BITS) - u - v
-
-    def update(self, x: np.ndarray) -> None:
-        """Weights move towards the orders that were right; the tables take the id."""
-        self.w1[self.at] = self.a + ((((x == self.one) & self.apart) * _FULL - self.a) >> _RATE)
-        self.w2[self.at] = self.b + (((x == self.two) * _FULL - self.b) >> _RATE)
-        self.first[self.at1] = (self.before << 16) | x
-        self.second[self.at2] = (self.tag << 16) | x
-        self.earlier, self.before = self.before, x
+        self.weights = np.repeat(np.array([0, 0, 12000] * 2 + [16000, 30000, 16000] * 2, np.int32), lanes)
+        self.orders = np.array([[0], [6 * lanes]])
+
+    def places(self, before: np.ndarray, earlier: np.ndarray):
+        """Slots of both orders, and what has to stand there."""
+        shape = (*before.shape[:-1], 2, before.shape[-1])
+        at, key = np.empty(shape, np.int64), np.empty(shape, np.int32)
+        h = before * 40503 + earlier * 30011
+        key[..., 0, :] = before
+        np.bitwise_and(h, _NONE, out=key[..., 1, :])
+        at[..., 0, :] = before & (_SLOTS1 - 1)
+        at[..., 1, :] = ((h >> 4) & (_SLOTS2 - 1)) + _SLOTS1
+        at *= self.lanes
+        at += self.lane
+        return at, key
+
+    def guess(self, key: np.ndarray, slot: np.ndarray):
+        """Guesses of both orders, whether they differ, the places of their weights."""
+        same = _same((slot.view(np.uint32) >> 16).view(np.int32), key)
+        both = slot & _NONE
+        one, two, seen, known = both[..., 0, :], both[..., 1, :], same[..., 0, :], same[..., 1, :]
+        one ^= (one ^ self.follower.take(key[..., 0, :])) & ~seen
+        two ^= (two ^ one) & ~known
+        apart = ~_same(one, two)
+        at = self.lane - (seen * 3 + known + apart) * self.lanes
+        return both, apart, at[..., None, :] + self.orders
+
+    @staticmethod
+    def moved(held: np.ndarray, hit: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Weights after a step: they move towards the orders that were right."""
+        aim = hit & _FULL
+        aim[..., 0, :] &= apart
+        return held + ((aim - held) >> _RATE)
 
 
 def encode(x: np.ndarray, prior: Prior, block: int) -> list[bytes]:
-    """Code words of each block of places in the prior."""
+    """Code words of each block of places in the prior.
+
+    The ids are known, so all that does not need the step before is done for `_STEPS` steps at once."""
     lanes = -(-len(x) // block)
     wide = np.zeros(lanes * block, np.uint16)
     wide[: len(x)] = x
     cols = np.ascontiguousarray(wide.reshape(lanes, block).T)
-    m, cum = _Model(prior, lanes), prior.cum
+    m, cum, freq = _Model(prior, lanes), prior.cum.astype(np.int32), prior.freq.astype(np.int32)
+    slots, weights = m.slots, m.weights
     total = prior.bits + _WEIGHT_BITS
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _ALL)
-    room = 3 * block + 8
-    out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-    for t in range(block):
-        s = cols[t].astype(np.int64)
-        one, two, u, v, w = m.predict()
-        start = w * cum.take(s) + (((one < s) * u + (two < s) * v) << prior.bits)
-        size = w * prior.freq.take(s) + (((one == s) * u + (two == s) * v) << prior.bits)
-        r = rng >> total
-        low += r * start
-        rng = r * size
-        carry = np.flatnonzero(low > _ALL)
-        if len(carry):
-            low[carry] &= _ALL
-            at = pos[carry] - 1
-            while len(at):
-                out[at] += 1
-                at = at[out[at] == 0] - 1
-        live = np.flatnonzero(rng < _RENORM)
-        while len(live):
-            part, at, wider = low[live], pos[live], rng[live] << 16
-            out[at] = part >> 32
-            pos[live], low[live], rng[live] = at + 1, (part & _LOW) << 16, wider
-            live = live[wider < _RENORM]
-        m.update(s)
+    past = np.zeros((_STEPS + 2, lanes), np.int32)  # two steps before these, and these
+    slot, held = np.empty((_STEPS, 2, lanes), np.int32), np.empty((_STEPS, 2, lanes), np.int32)
+    who, what = [], []  # lanes and their code words; bit 16 of a word is a carry to the word before
+
+    def emit(live: np.ndarray, part: np.ndarray):
+        who.append(live.astype(np.uint32))
+        what.append((part >> 32).astype(np.uint32))
+
+    for t in range(0, block, _STEPS):
+        n = min(_STEPS, block - t)
+        past[2 : n + 2] = cols[t : t + n]
+        s, before, earlier = past[2 : n + 2], past[1 : n + 1], past[:n]
+        at, key = m.places(before, earlier)
+        put = (key << 16) | s[:, None]
+        for k in range(n):
+            slot[k] = slots.take(at[k])
+            slots[at[k]] = put[k]
+        both, apart, at = m.guess(key, slot[:n])
+        hit = _same(both, s[:, None])
+        for k in range(n):
+            held[k] = weights.take(at[k])
+            weights[at[k]] = m.moved(held[k], hit[k], apart[k])
+        share = held[:n] >> _WEIGHT_BITS
+        w = (1 << _WEIGHT_BITS) - share[:, 0] - share[:, 1]
+        less, own = ((both - s[:, None]) >> 31) & share, hit & share
+        start = (w * cum.take(s) + ((less[:, 0] + less[:, 1]) << prior.bits)).astype(np.int64)
+        size = (w * freq.take(s) + ((own[:, 0] + own[:, 1]) << prior.bits)).astype(np.int64)
+        for k in range(n):
+            r = rng >> total
+            low += r * start[k]
+            rng = r * size[k]
+            live = np.flatnonzero(rng < _RENORM)
+            while len(live):
+                part, wider = low.take(live), rng.take(live) << 16
+                emit(live, part)
+                low[live], rng[live] = (part & _LOW) << 16, wider
+                live = live[wider < _RENORM]
+        past[:2] = past[n : n + 2].copy()
     for _ in range(3):
-        out[pos] = low >> 32
-        pos += 1
+        emit(np.arange(lanes), low)
         low = (low & _LOW) << 16
-    begin = np.arange(lanes) * room
-    return [out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), pos.tolist(), strict=True)]
+    return _words(np.concatenate(who), np.concatenate(what), lanes)
+
+
+def _words(lane: np.ndarray, word: np.ndarray, lanes: int) -> list[bytes]:
+    """The words of each lane in the order given, carries added to the words before."""
+    word = word[np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")]
+    out = word & _NONE
+    out[:-1] += word[1:] >> 16
+    over = np.flatnonzero(out > _NONE)
+    while len(over):
+        out[over] &= _NONE
+        over -= 1
+        out[over] += 1
+        over = over[out[over] > _NONE]
+    raw = memoryview(out.astype("<u2").tobytes())
+    edge = 2 * np.append(0, np.cumsum(np.bincount(lane, minlength=lanes)))
+    return [bytes(raw[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def decode(words: list[bytes], prior: Prior, total_ids: int, block: int) -> np.ndarray:
     """The ids of all blocks."""
     lanes = len(words)
-    m, cum, symbol = _Model(prior, lanes), prior.cum, prior.symbol
-    total = prior.bits + _WEIGHT_BITS
-    size = np.array([len(w) // 2 for w in words], np.int64)
-    data = np.concatenate([np.frombuffer(b"".join(words), "<u2"), np.zeros(8, np.uint16)]).astype(np.int64)
-    pos = np.cumsum(size) - size
-    code = (data[pos] << 32) | (data[pos + 1] << 16) | data[pos + 2]
+    m, cum, freq, symbol = _Model(prior, lanes), prior.cum.astype(np.int32), prior.freq.astype(np.int32), prior.symbol.astype(np.int32)
+    slots, weights = m.slots, m.weights
+    bits, total = prior.bits, prior.bits + _WEIGHT_BITS
+    length = np.array([len(w) // 2 for w in words], np.int64)
+    data = np.concatenate([np.frombuffer(b"".join(words), "<u2"), np.zeros(8, np.uint16)])
+    pos = np.cumsum(length) - length
+    # whole numbers below 2**48 as floats, which hold them and the quotients below 2**26 exactly
+    code = data[pos] * 2.0**32 + data[pos + 1] * 2.0**16 + data[pos + 2]
     pos += 3
-    rng = np.full(lanes, _ALL)
+    rng = np.full(lanes, float(_ALL))
     cols = np.empty((block, lanes), np.uint16)
+    before, earlier = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for t in range(block):
         live = np.flatnonzero(rng < _RENORM)
         while len(live):
-            at, wider = pos[live], rng[live] << 16
-            code[live] = (code[live] << 16) | data.take(at, mode="clip")
+            at, wider = pos.take(live), rng.take(live) * 2.0**16
+            code[live] = code.take(live) * 2.0**16 + data.take(at, mode="clip")
             pos[live], rng[live] = at + 1, wider
             live = live[wider < _RENORM]
-        one, two, u, v, w = m.predict()
-        # the guesses in ascending order cut the code range in five: order 0 around both, and both
-        lo, hi = np.minimum(one, two), np.maximum(one, two)
-        both, first = (u + v) << prior.bits, np.where(one < two, u, v) << prior.bits
-        a1, a2 = w * cum.take(lo), w * cum.take(hi) + first
-        b1, b2 = w * cum.take(lo + 1) + first, w * cum.take(hi + 1) + both
-        r = rng >> total
-        value = np.minimum(code // r, (1 << total) - 1)
-        past1, past2 = value >= b1, value >= b2
-        less = past1 * first + past2 * (both - first)
-        x = symbol.take((value - less) // w, mode="clip")
-        in1, in2 = (value >= a1) & ~past1, (value >= a2) & ~past2
-        x = np.where(in1, lo, np.where(in2, hi, x))
-        start = np.where(in1, a1, np.where(in2, a2, w * cum.take(x) + less))
-        end = np.where(in1, b1, np.where(in2, b2, w * cum.take(x + 1) + less))
-        code -= r * start
-        rng = r * (end - start)
+        at, key = m.places(before, earlier)
+        both, apart, spot = m.guess(key, slots.take(at))
+        one, two = both
+        held = weights.take(spot)
+        share = held >> _WEIGHT_BITS
+        w = (1 << _WEIGHT_BITS) - share[0] - share[1]
+        share <<= bits
+        r = np.floor(rng * 0.5**total)
+        value = np.minimum(code / r, float((1 << total) - 1)).astype(np.int32)
+        # where each guess begins and ends in the code range; order 0 lies around them
+        begin = w * cum.take(both)
+        after = (two - one) >> 31
+        begin[0] += after & share[1]
+        begin[1] += ~after & share[0]  # guesses that agree give order 1 no share
+        end = begin + w * freq.take(both) + share
+        value = ~value
+        past = (end + value) >> 31
+        hit = ((begin + value) >> 31) ^ past
+        own, less = hit & share, past & share
+        less = less[0] + less[1]
+        x = symbol.take((~value - less) // w, mode="clip")
+        x ^= (x ^ one) & hit[0]
+        x ^= (x ^ two) & hit[1]
+        code -= r * (w * cum.take(x) + less)
+        rng = r * (w * freq.take(x) + own[0] + own[1])
         cols[t] = x
-        m.update(x)
+        weights[spot] = m.moved(held, hit, apart)
+        slots[at] = (key << 16) | x
+        before, earlier = x, before
     return prior.known.astype(np.uint16)[cols.T.reshape(-1)[:total_ids]].astype(np.uint32)
 
 

@@ -25,8 +25,8 @@ from . import common as C
 
 #: Pieces that are kept between steps at most, and slots of their table (a power of two).
 KEEP, SLOTS = 1 << 20, 1 << 22
-#: Pieces in one call of the library.
-CALL = 4096
+#: Pieces in one call of the library, and words in one text for its model.
+CALL, WORDS = 4096, 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -45,8 +45,21 @@ _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _VISIBLE = C.GRAPHIC & ~_MAYBE
 _VISIBLE[:32] = _VISIBLE[127] = False
 
-#: One pre-token of either file: Latin letters, after a space in the byte-level file.
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+def _bits(*classes: np.ndarray) -> bytes:
+    """A translation table: bit k of a byte's value says whether it is in class k."""
+    return sum(c.astype(np.uint8) << k for k, c in enumerate(classes)).astype(np.uint8).tobytes()
+
+
+def _only(byte: int) -> np.ndarray:
+    return np.arange(256) == byte
+
+
+#: Pairs of neighbours that tell of a cut, by the bit that left and right share: the run of letters ends, it begins after
+#: a sign, a space before what is visible, a line feed before a letter, and visible ASCII before a line feed.
+_LEFT = _bits(_LETTER, _SIGN, _only(32), _only(10), _VISIBLE & (np.arange(256) < 128))
+_RIGHT = _bits(_OTHER, _LETTER, _VISIBLE, _LETTER, _only(10))
+_EDGE, _SPACED, _BROKEN = 3, 4, 16
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -56,7 +69,9 @@ def _visible_bytes() -> dict[int, str]:
 
 
 _ALPHABET = _visible_bytes()
-_SPACE = _ALPHABET[32]
+#: Code points of that alphabet, and what stands before a word that begins without a space: no word has it.
+_POINTS = np.array([ord(_ALPHABET.get(b, chr(b))) for b in range(256)], "<u4")
+_MARK = _ALPHABET[10]
 
 
 def vocabulary(name: str) -> str:
@@ -71,11 +86,17 @@ def vocabulary(name: str) -> str:
 class Encoder:
     def __init__(self, path: str, drops_space: bool, marks: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.tokenizer.encode_special_tokens = not marks
-        self.model = self.tokenizer.model
+        # the model alone, over words one after another
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        (self.mark,) = self.bare.encode(_MARK, add_special_tokens=False).ids
+        known = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(known.values()) + 1, bool)
+        self.begins[[self.mark, *(k for x, k in known.items() if x[0] == _ALPHABET[32])]] = True
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, added))) if marks and added else None
         self.drops_space = drops_space
@@ -92,25 +113,53 @@ class Encoder:
         """Ids of whole texts by the tokenizers library."""
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one pre-token."""
+    def words(self, data: np.ndarray, off: np.ndarray):
+        """Which pieces are one pre-token of Latin letters, after a space in the byte-level file; data in the case the model takes."""
+        begin = np.zeros(len(data) + 1, bool)
+        begin[off] = True
+        # letters of two bytes: C3, then 80 to BF without the signs 97 and B7
+        tail = ((data & 0xC0) == 0x80) & (data != 0x97) & (data != 0xB7)
+        pair = (data[:-1] == 0xC3) & tail[1:] & ~begin[1:-1]
+        second = np.append(False, pair)
+        good = _LETTER[data] | second
+        good[:-1] |= pair
         if self.drops_space:
-            text = text.lower()
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(_ALPHABET)
-        elif text[0] == " ":
-            text = _SPACE + text[1:]
-        return [t.id for t in self.model.tokenize(text)]
+            data = data + np.uint8(32) * (((data >= 65) & (data <= 90)) | (second & (data <= 0x9E)))
+        else:
+            good |= (data == 32) & begin[:-1]
+        n = np.diff(off)
+        return (np.add.reduceat(~good, off[:-1], dtype=np.int64) == 0) & ((n > 1) | (data[off[:-1]] != 32)), data
+
+    def modelled(self, data: np.ndarray, off: np.ndarray):
+        """(all ids, ids of each word) by the model.
+
+        One call takes many words; a word begins at a token that begins with a space, or after a mark."""
+        n = len(off) - 1
+        bare = data[off[:-1]] != 32
+        at = off + np.append(0, np.cumsum(1 + 2 * bare))  # a blank after each word, a mark and a blank before it
+        points = np.full(at[-1], 32, "<u4")
+        points[at[:-1][bare]] = ord(_MARK)
+        points[np.arange(len(data)) + np.repeat(at[:-1] + 2 * bare - off[:-1], np.diff(off))] = _POINTS[data]
+        flat = []
+        for i in range(0, n, WORDS):
+            text = points[at[i] : at[min(i + WORDS, n)]].tobytes().decode("utf-32-le")
+            flat += self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        flat = np.array(flat, np.int32)
+        begin = np.flatnonzero(self.begins[flat])
+        if len(begin) != n:
+            raise ValueError(f"{n} words came back as {len(begin)}")
+        return flat[flat != self.mark], np.diff(begin, append=len(flat)) - bare
 
     def pieces(self, data: np.ndarray, off: np.ndarray):
         """(starts, ends, first piece of each document + total)."""
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
-            left, right = data[:-1], data[1:]
-            inner = (_LETTER[left] & _OTHER[right]) | (_SIGN[left] & _LETTER[right])
+            raw = data.tobytes()
+            pair = np.frombuffer(raw.translate(_LEFT), np.uint8)[:-1] & np.frombuffer(raw.translate(_RIGHT), np.uint8)[1:]
+            inner = (pair & _EDGE) != 0
             if not self.drops_space:
-                inner[:-1] |= ((left == 32) & _VISIBLE[right])[1:]
-                inner[1:] |= (left[1:] == 10) & _LETTER[right[1:]] & _VISIBLE[left[:-1]] & (left[:-1] < 128)
+                inner[:-1] |= (pair[1:] & _SPACED) != 0
+                inner[1:] |= ((pair[1:] << 1) & pair[:-1] & _BROKEN) != 0
             cut[1:-1] = inner
         cut[off] = True
         cut[-1] = False
@@ -133,21 +182,20 @@ class Encoder:
         """(ids, id bounds of each document) for documents of one step."""
         raw = data.tobytes()
         if self.special is None or not (found := [m.start() for m in self.special.finditer(raw)]):
-            return self.memoised(data, off, raw)
+            return self.memoised(data, off)
         # documents that hold a special token go to the library whole, the others between them as before
         out, bounds, done = [], [np.zeros(1, np.int64)], 0
         total = 0
         for i in np.unique(np.searchsorted(off, found, "right") - 1).tolist():
             for lo, hi, plain in ((done, i, False), (i, i + 1, True)):
                 if hi > lo:
-                    part = raw[off[lo] : off[hi]]
-                    ids, b = self.whole(part) if plain else self.memoised(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], part)
+                    ids, b = self.whole(raw[off[lo] : off[hi]]) if plain else self.memoised(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     out.append(ids)
                     bounds.append(b[1:] + total)
                     total += len(ids)
             done = i + 1
         if done < len(off) - 1:
-            ids, b = self.memoised(data[off[done] :], off[done:] - off[done], raw[off[done] :])
+            ids, b = self.memoised(data[off[done] :], off[done:] - off[done])
             out.append(ids)
             bounds.append(b[1:] + total)
         return np.concatenate(out), np.concatenate(bounds)
@@ -156,7 +204,7 @@ class Encoder:
         ids = np.array(self.library([text.decode("utf-8", "replace")])[0], np.int32)
         return ids, np.array([0, len(ids)])
 
-    def memoised(self, data: np.ndarray, off: np.ndarray, raw: bytes):
+    def memoised(self, data: np.ndarray, off: np.ndarray):
         start, end, first = self.pieces(data, off)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
@@ -169,8 +217,7 @@ class Encoder:
                 miss = np.arange(len(key))
             one = self.distinct(key[miss], second[miss])
             new = miss[one[0]]
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            place[miss] = self.learn(key[new], second[new], *self.each(texts))[one[1]]
+            place[miss] = self.learn(key[new], second[new], *self.each(data, start[new], end[new]))[one[1]]
         size = self.size[place]
         bounds = np.append(0, np.cumsum(size))[first]
         return self.ids[C.ragged(self.at[place], size)], bounds
@@ -186,9 +233,11 @@ class Encoder:
         return order[new], of
 
     def homes(self, key: np.ndarray, second: np.ndarray):
-        """The slots in which a piece may stand."""
+        """The slots in which a piece may stand, one after another."""
         low = np.uint64(SLOTS - 1)
-        return [(h & low).astype(np.int64) for h in (key, second, key >> np.uint64(32), second >> np.uint64(32))]
+        for shift in (np.uint64(0), np.uint64(32)):
+            for h in (key, second):
+                yield ((h >> shift) & low).astype(np.int64)
 
     def find(self, key: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Place of each piece among the kept ones, else -1."""
@@ -227,15 +276,26 @@ class Encoder:
             left = left[self.slots[spot] != left]
         return place
 
-    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def each(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each piece)."""
-        word = _WORD.fullmatch
-        made = [self.word(x) if word(x) else None for x in texts]
-        rest = [i for i, x in enumerate(made) if x is None]
+        n = end - start
+        data, off = data[C.ragged(start, n)], np.append(0, np.cumsum(n))
+        word, cased = self.words(data, off)
+        size = np.zeros(len(n), np.int64)
+        parts = []
+        if word.any():
+            ids, size[word] = self.modelled(cased[np.repeat(word, n)], np.append(0, np.cumsum(n[word])))
+            parts.append((np.flatnonzero(word), ids))
+        rest, raw = np.flatnonzero(~word), data.tobytes()
         for i in range(0, len(rest), CALL):
-            for k, x in zip(rest[i : i + CALL], self.library([texts[k] for k in rest[i : i + CALL]]), strict=True):
-                made[k] = x
-        return np.array([k for x in made for k in x], np.int32), np.array([len(x) for x in made], np.int64)
+            some = rest[i : i + CALL]
+            made = self.library([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[some].tolist(), off[some + 1].tolist(), strict=True)])
+            size[some] = [len(x) for x in made]
+            parts.append((some, np.array([k for x in made for k in x], np.int32)))
+        flat, at = np.empty(size.sum(), np.int32), np.cumsum(size) - size
+        for some, ids in parts:
+            flat[C.ragged(at[some], size[some])] = ids
+        return flat, size
 
 
 _encoders: dict = {}

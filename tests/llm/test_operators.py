@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -265,6 +266,44 @@ def test_encoder_equals_the_library(name, drops):
             assert [ids[x:y].tolist() for x, y in zip(b[:-1], b[1:], strict=True)] == want
 
 
+def calls(f, *args):
+    """How many Python and C functions f calls."""
+    n = 0
+
+    def tick(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(tick)
+    try:
+        f(*args)
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_new_words_go_to_the_library_together(name, drops):
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    words = list(dict.fromkeys("".join(r.choice("aeinrstäÖßÿÑ") for _ in range(r.randrange(1, 9))) for _ in range(6000)))
+    text = "".join(r.choice([" ", " ", "\n", "  ", ".\n", "-", " ×", "÷"]) + w for w in words)
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    enc = tokens.Encoder(name, drops)
+    assert calls(enc.encode, data, off) < len(words)  # of each new word there were several calls before
+    want = Tokenizer.from_file(tokens.vocabulary(name)).encode(text, add_special_tokens=False).ids
+    assert enc.encode(data, off)[0].tolist() == want == tokens.Encoder(name, drops).encode(data, off)[0].tolist()
+
+
+def test_range_coder_takes_many_ids_a_call():
+    ids = np.random.default_rng(0).zipf(1.3, 6_000_000).clip(0, 50000).astype(np.int32)
+    args = np.array([1]), np.array([False]), np.array([0, len(ids)]), ids
+    raw = tokenfile.pack_segment(*args)
+    assert (tokenfile.unpack_segment(raw)[3] == ids).all()
+    assert calls(tokenfile.pack_segment, *args) + calls(tokenfile.unpack_segment, raw) < len(ids) // 28  # one in 23 before
+
+
 def test_token_file_and_packing(docs, none):
     from tokenizers import Tokenizer
 
